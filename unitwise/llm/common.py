@@ -74,23 +74,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once for each word and forgotten when `limit` words are held."""
+def byte_words(text: str | None) -> list[bytes]:
+    r"""The words [^\x20\x09-\x0D]+ of a text in UTF-8, A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        import xxhash
 
-        self.limit, self._hash = limit, xxhash.xxh3_64_intdigest
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = self._hash(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
