@@ -263,7 +263,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = find(docs, id_col, text_col)
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.base AND x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
     return found.select(id_col, *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"))
 
 
