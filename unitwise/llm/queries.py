@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, token_files
+from . import bpe, decontaminate, language, pii, token_files, toxicity
 from .common import shared_dir, table
 
 
@@ -19,6 +19,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(spark, out)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate}
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
