@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, pii, token_files, toxicity
+from . import bpe, decontaminate, jaccard_join, language, pii, token_files, toxicity
 from .common import shared_dir, table
 
 
@@ -27,6 +27,31 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), k=4, threshold=85)
+
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS g
+  FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (
+  WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+  SELECT a, min(b) AS m FROM reach GROUP BY a
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(r.m, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -57,5 +82,5 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate}
-ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op8_decontaminate": op8_decontaminate}
+ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_decontaminate": OP8_SQL}
