@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,35 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options)
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_words: int = 2_000_000) -> DataFrame:
+    """The rows of docs that are not contaminated, columns as they are.
+
+    A benchmark of one slice is applied in the pass over docs itself; a larger one by a join with its report."""
+    spark = ship(docs.sparkSession)
+    slices = list(islice(_slices(items, item_col, item_text_col, slice_words), 2))
+    if not slices:
+        return docs
+    if len(slices) > 1:
+        bad = report(docs, items, id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, slice_words=slice_words).where("contaminated")
+        return docs.join(bad.select(id_col), id_col, "left_anti")
+    index = Index(slices[0], window)
+    index.choose(_counts(docs, text_col, index.shingles()))
+    sent, place = spark.sparkContext.broadcast(index), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        filters = {k: Filter(np.fromiter(a, np.uint64, len(a))) for k, a in index.anchors.items()}
+        for b in batches:
+            keep = []
+            for text in b.column(place).to_pylist():
+                words = words_of(text)
+                n_hit = sum(e - s for s, e in find(words, index, filters)[0])
+                keep.append(not (n_hit and 20 * n_hit >= len(words)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest_of(items: list[str]) -> str:
     """The digest of item ids as `report` gives it."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

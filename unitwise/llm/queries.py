@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard_join, language, near_vectors, pii, secret_scan, token_files, toxicity
+from . import bpe, decontaminate, jaccard_join, language, lm_scoring, near_vectors, pii, secret_scan, token_files, toxicity
 from .common import shared_dir, table
 
 
@@ -90,5 +90,9 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.classes(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_decontaminate": op8_decontaminate, "op9_near_vectors": op9_near_vectors}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_decontaminate": op8_decontaminate, "op9_near_vectors": op9_near_vectors, "op10_lm_scoring": op10_lm_scoring}
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_decontaminate": OP8_SQL}
