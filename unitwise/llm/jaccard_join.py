@@ -17,7 +17,8 @@ order of the rest does not touch the result, only its cost.
 Hot groups. Exact copies are one set, known by its 64-bit hash. A bucket of one signature is never paired
 with itself: every set is verified against the least set of all its buckets, then, where a bucket still
 holds several components, against one delegate of the bucket, and only what is then still apart in a bucket
-is paired across components. So the work follows the bucket's size, and no link is lost: a pair that was
+is paired across components. Pairs first pass a parity sketch of some 4 D cells, whose differing cells are never
+more than the differing elements; only the texts of pairs that pass are read. So the work follows the bucket's size, and no link is lost: a pair that was
 not verified is already in one component.
 
 Verification counts both shingle sets of the texts. Null texts and texts without words have no set and stay
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_words, materialize, mix64, shared_dir, shingle_hashes, ship, word_hashes, words_as_one
@@ -98,6 +99,16 @@ class Partition:
             self._segments[band] = found
         return found
 
+    def sketches(self, s: np.ndarray) -> tuple[int, list[np.ndarray]]:
+        """The set's band, and for each place the parity of its elements in some 4 D cells: cells that differ bound the differences from below."""
+        out = []
+        for band, _ in self.places(len(s)):
+            self.segments(band)
+            cells = max(64, 1 << int(4 * self.differences(2 * (self.starts[band + 1] - 1)) + 3).bit_length())
+            at = (mix64(s ^ U(0x5851F42D4C957F2D)) % U(cells)).astype(np.int64)
+            out.append(np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool)).view(np.int64))
+        return self.band_of(len(s)), out
+
     def signatures(self, s: np.ndarray) -> list[tuple[np.ndarray, int | None]]:
         """For each place of a set: its signatures, and how many of them to index (None: all)."""
         out = []
@@ -176,17 +187,18 @@ def _index(docs: DataFrame, text_col: str, k: int, partition: Partition, heavy:
             for text in b.column(0).to_pylist():
                 s = shingle_set(text, k)
                 if len(s) and (e := set_hash(s)) not in rows:
-                    rows[e] = (len(s), partition.indexed(s, sent.value).view(np.int64))
-            e, values = list(rows), list(rows.values())
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array([v[0] for v in values], pa.int32()), pa.array([v[1] for v in values], pa.list_(pa.int64()))], names=["e", "n", "sigs"])
+                    rows[e] = (len(s), partition.indexed(s, sent.value).view(np.int64), *partition.sketches(s))
+            n, sigs, band, cells = zip(*rows.values(), strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(band, pa.int32()), pa.array(cells, pa.list_(pa.list_(pa.int64())))], names=["e", "n", "sigs", "band", "cells"])
 
-    return docs.select(text_col).mapInArrow(run, "e long, n int, sigs array<long>")
+    return docs.select(text_col).mapInArrow(run, "e long, n long, sigs array<long>, band int, cells array<array<long>>")
 
 
 class Verifier:
     """Counts the common shingles of pairs (a, b) of sets, from the text of each set's first document."""
 
-    def __init__(self, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int, threshold: int):
+    def __init__(self, docs: DataFrame, firsts: DataFrame, sketches: DataFrame, id_col: str, text_col: str, k: int, threshold: int):
+        self.sketches = sketches
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         self.firsts, self.k, self.threshold = firsts, k, threshold
 
@@ -196,6 +208,22 @@ class Verifier:
         side = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
         return self.docs.join(side, "doc").select(*columns, F.col("text").alias(f"text_{key}"))
 
+    def side(self, x: str) -> DataFrame:
+        return self.sketches.select(F.col("e").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "cells")))
+
+    def fits(self) -> Column:
+        """Whether the sizes and sketches of a and b allow a link, as a join condition."""
+        t = self.threshold
+        cells = "get(cells_{0}, greatest(band_a, band_b) - band_{0})"
+        apart = f"aggregate(zip_with({cells.format('a')}, {cells.format('b')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        return F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and {apart} <= floor((n_a + n_b) * {100 - t} / {100 + t})")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and sketches allow a link."""
+        left = pairs.select("a", "b").join(self.side("a"), "a")
+        right = self.side("b").withColumnRenamed("b", "e")
+        return left.join(right, (F.col("b") == F.col("e")) & self.fits()).select("a", "b")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
         k, threshold = self.k, self.threshold
@@ -226,7 +254,7 @@ def roots(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
         e = materialize(small, "components")
@@ -236,7 +264,7 @@ def roots(edges: DataFrame) -> DataFrame:
         size = new
 
 
-def classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 200_000, repeated: int = 8) -> DataFrame:
+def classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 300_000, repeated: int = 2) -> DataFrame:
     """One row for each id: id, n_shingles, component_id (the least id reachable by links, itself included)."""
     spark: SparkSession = ship(docs.sparkSession)
     partition = Partition(threshold)
@@ -253,27 +281,31 @@ def classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", tex
     buckets = rows.groupBy("sig").agg(F.min("e").alias("least"), F.max("e").alias("most")).where("least <> most").select("sig", "least")
     members = materialize(rows.join(buckets, "sig").select("sig", "e", "least").distinct(), "jaccard-members")
     firsts = materialize(sizes.where("n > 0").groupBy("e").agg(F.min("doc").alias("doc"), F.first("n").alias("n")), "jaccard-firsts")
-    verifier = Verifier(docs, firsts, id_col, text_col, k, threshold)
+    sketches = materialize(index.select("e", "n", "band", "cells").join(members.select("e").distinct(), "e", "left_semi").dropDuplicates(["e"]), "jaccard-sketches")
+    verifier = Verifier(docs, firsts, sketches, id_col, text_col, k, threshold)
 
-    links = materialize(verifier.links(members.where("e <> least").groupBy(F.col("e").alias("b")).agg(F.min("least").alias("a")).select("a", "b")), "jaccard-links")
-    found = roots(links)
-    apart = _apart(members, found)
+    to_least = members.where("e <> least").select(F.col("least").alias("a"), F.col("e").alias("b")).distinct()
+    links = materialize(verifier.links(verifier.possible(to_least).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "jaccard-links")
+    parent = links.select(F.col("b").alias("e"), F.col("a").alias("root"))
+    above = parent.select(F.col("e").alias("root"), F.col("root").alias("top"))
+    label = parent.join(above, "root", "left").select("e", F.coalesce("top", "root").alias("root"))  # near the component's least is enough here
+
+    apart = _apart(members, label)
     delegate = F.min(F.struct(F.xxhash64("sig", "e").alias("h"), F.col("e").alias("a"), F.col("root").alias("of")))
     chosen = apart.groupBy("sig").agg(delegate.alias("d")).select("sig", "d.a", "d.of")
     second = apart.join(chosen, "sig").where("root <> of").select(F.least("a", "e").alias("a"), F.greatest("a", "e").alias("b")).distinct()
-    more = verifier.links(_sized(second, firsts, threshold))
-    links = materialize(links.unionByName(more), "jaccard-links")
+    links = materialize(links.unionByName(verifier.links(verifier.possible(second))), "jaccard-links")
     found = roots(links)
 
     apart = _apart(members, found)
-    left = apart.select("sig", F.col("e").alias("a"), F.col("root").alias("ra"))
-    right = apart.select("sig", F.col("e").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "sig").where("a < b and ra <> rb").select("a", "b").distinct()
-    tried = second.unionByName(members.where("e <> least").groupBy(F.col("e").alias("b")).agg(F.min("least").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    rest = materialize(_sized(rest.join(tried, ["a", "b"], "left_anti"), firsts, threshold), "jaccard-rest")
+    left = apart.select("sig", F.col("e").alias("a"), F.col("root").alias("ra")).join(verifier.side("a"), "a")
+    right = apart.select(F.col("sig").alias("s"), F.col("e").alias("b"), F.col("root").alias("rb")).join(verifier.side("b"), "b")
+    rest = left.join(right, (F.col("sig") == F.col("s")) & F.expr("a < b and ra <> rb") & verifier.fits()).select("a", "b").distinct()
+    rest = materialize(rest, "jaccard-rest")
     if not rest.isEmpty():
-        links = materialize(links.unionByName(verifier.links(rest)), "jaccard-links")
-        found = roots(links)
+        more = materialize(verifier.links(rest), "jaccard-links")
+        if not more.isEmpty():
+            found = roots(more.unionByName(found.select(F.col("root").alias("a"), F.col("e").alias("b"))))
 
     named = found.join(firsts, "e").select("e", "root", "doc").unionByName(found.select(F.col("root").alias("e"), "root").distinct().join(firsts, "e").select("e", "root", "doc"))
     of_root = named.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -290,14 +322,7 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(both.join(mixed, "sig", "left_semi"), "jaccard-apart")
 
 
-def _sized(pairs: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    n = firsts.select("e", "n")
-    sized = pairs.join(n.select(F.col("e").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("e").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
-
-
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the least id of each component; columns as they are. Documents without a set all stay."""
+    """The document of the least id of each component; columns as they are. Documents without a set or an id all stay."""
     kept = classes(docs, k, threshold, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(id_col)
-    return docs.join(kept, id_col, "left_semi")
+    return docs.join(kept, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -136,7 +136,7 @@ class ShardReader:
 class LibraryTokenizer:
     """The tokenizers library behind a memo of the chunks between spaces, where byte-level vocabularies split anyway."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -144,22 +144,34 @@ class LibraryTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memo, self.old, self.limit = {}, {}, limit // 2
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """uint32 ids of each text."""
-        for text in texts:
-            first, rest = chunks(text)
-            new = list(set(rest).difference(self.memo))
-            if new:
-                if len(self.memo) > self.limit:
-                    self.memo, self.old = {}, self.memo
-                known = self.old.keys() & set(rest)
-                self.memo.update((c, self.old[c]) for c in known)
-                new = list(set(rest).difference(self.memo))
-                for c, e in zip(new, self._library([" " + c for c in new]), strict=True):
-                    self.memo[c] = np.array(e.ids, "<u4").tobytes()
-            head = np.array(self._library([first])[0].ids, "<u4").tobytes()
-            yield np.frombuffer(head + b"".join(map(self.memo.__getitem__, rest)), "<u4")
+        for i in range(0, len(texts), 256):
+            cut = [chunks(text) for text in texts[i : i + 256]]
+            wanted = set().union(*(rest for _, rest in cut))
+            if len(self.memo) > self.limit:
+                self.memo, self.old = {}, self.memo
+            self.memo.update((c, self.old[c]) for c in self.old.keys() & wanted)
+            self._learn(list(wanted.difference(self.memo)))
+            heads = self._library([first for first, _ in cut])
+            for (_, rest), head in zip(cut, heads, strict=True):
+                yield np.frombuffer(np.array(head.ids, "<u4").tobytes() + b"".join(map(self.memo.__getitem__, rest)), "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes chunks: those without white space in one text, a line each, for the line end is a token of its own."""
+        lines = [c for c in new if c.split() == [c]]
+        if lines:
+            ids = np.array(self._library(["\n".join(" " + c for c in lines)])[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) == len(lines) - 1:
+                raw = ids.tobytes()
+                starts, stops = [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), len(raw)]
+                self.memo.update((c, raw[a:b]) for c, a, b in zip(lines, starts, stops, strict=True))
+        rest = [c for c in new if c not in self.memo]
+        for c, e in zip(rest, self._library([" " + c for c in rest]), strict=True):
+            self.memo[c] = np.array(e.ids, "<u4").tobytes()
 
     def _library(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
