@@ -60,8 +60,10 @@ def welch(runs: DataFrame, condition: str, first: str, second: str, value: str)
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Aggregate; null for fewer than three pairs or no variance."""
-    return F.when((F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    """Aggregate over pairs; null for fewer than three or no variance."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.when(F.count(x) >= 3, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def t_of_r(r: Column, n: Column) -> Column:
