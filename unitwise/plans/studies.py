@@ -212,3 +212,93 @@ def similar_units(spark, d):
 @query("j17_centroid_scatter", f"WITH {FRAMES}, {LINEAR} SELECT unit, round(avg(col_centroid), 6) + 0.0 AS mean, round(stddev_pop(col_centroid), 6) + 0.0 AS sd, unit % 10 = 3 AS target FROM feat GROUP BY unit")
 def centroid_scatter(spark, d):
     return rounded(featured(spark, d).groupBy("unit").agg(F.avg("col_centroid").alias("mean"), F.stddev_pop("col_centroid").alias("sd"))).withColumn("target", F.pmod("unit", F.lit(10)) == 3)
+
+
+@query("b10_field_kinds", r"""WITH f AS (SELECT unnest(regexp_extract_all(url, '(\d+)', 1)) AS v, unnest(range(len(regexp_extract_all(url, '(\d+)', 1)))) AS i FROM pages), c AS (SELECT i, CAST(v AS BIGINT) AS v, count(*) AS n FROM f GROUP BY ALL),
+g AS (SELECT i, count(*) AS d, max(v) - min(v) + 1 = count(*) AS contiguous, median(n) AS m FROM c GROUP BY i)
+SELECT i AS field, CASE WHEN d = 1 THEN 'constant' WHEN d <= 30 AND m > 20 THEN 'group' WHEN contiguous AND m <= 1.5 THEN 'counter' ELSE 'other' END AS kind FROM g""")
+def field_kinds(spark, d):
+    """What each integer field of a name looks like: constant, a group (few values, each often), a running counter, or other."""
+    from .experiments import fields
+
+    g = fields(spark, d)
+    kind = F.when(F.col("n_distinct") == 1, "constant").when((F.col("n_distinct") <= 30) & (F.col("median_count") > 20), "group").when(F.col("contiguous") & (F.col("median_count") <= 1.5), "counter").otherwise("other")
+    return g.select("field", kind.alias("kind"))
+
+
+@query("c14_energy_share", f"""WITH {FRAMES}, {LINEAR}, o AS (SELECT unit, frame_id, list_reverse_sort(linear) AS o FROM lin)
+SELECT unit, round(median(list_sum(o[1:6]) / list_sum(o)), 6) + 0.0 AS top_5, round(median(list_sum(o[1:12]) / list_sum(o)), 6) + 0.0 AS top_10 FROM o GROUP BY unit""")
+def energy_share(spark, d):
+    """Median share of linear power in the strongest 5 and 10 percent of cells."""
+    share = lambda k: A.let(lambda s: A.total(F.slice(s["o"], 1, k)) / A.total(s["o"]), o=F.sort_array(A.peak_relative(F.col("cells")), asc=False))
+    return rounded(frames(spark, d).select("unit", share(6).alias("a"), share(12).alias("b")).groupBy("unit").agg(F.median("a").alias("top_5"), F.median("b").alias("top_10")))
+
+
+@query("e5_units_by_class", """WITH u AS (SELECT lang AS class, source AS unit, count(DISTINCT doc_id % 3) AS folders FROM documents GROUP BY ALL)
+SELECT class, count(*) AS n_units, CAST(sum(folders) AS BIGINT) AS n_folders, count(*) FILTER (WHERE folders > 1) AS n_multi FROM u GROUP BY class""")
+def units_by_class(spark, d):
+    u = B.table(spark, d, "documents").groupBy(F.col("lang").alias("class"), F.col("source").alias("unit")).agg(F.countDistinct(F.pmod("doc_id", F.lit(3))).alias("folders"))
+    return u.groupBy("class").agg(F.count(F.lit(1)).alias("n_units"), F.sum("folders").alias("n_folders"), F.count_if(F.col("folders") > 1).alias("n_multi"))
+
+
+@query("f8_adaptive_threshold")
+def adaptive_threshold(spark, d):
+    """Random median plus half its distance to the median of neighbours."""
+    v = vectors(spark, d)
+    near = S.adjacency(v, "class", "frame_id", "frame_id", F.col("cells")).agg(F.median("corr").alias("adjacent"))
+    random = L.sampled_pairs(v, "frame_id", "v", 2000).agg(F.median("similarity").alias("random"))
+    return rounded(near.join(random).select("adjacent", "random", (F.col("random") + 0.5 * (F.col("adjacent") - F.col("random"))).alias("threshold")))
+
+
+@query("h3_validation_carve", f"""WITH {FRAMES}, k AS (SELECT DISTINCT CAST(unit % 3 AS VARCHAR) AS class, unit FROM frames), t AS (SELECT class, unit, CASE WHEN row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws('|', '11', class, unit)), unit) <= greatest(1, round_even(0.3 * count(*) OVER (PARTITION BY class), 0)) THEN 'test' ELSE 'train' END AS side FROM k),
+w AS (SELECT class, unit, CASE WHEN row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws('|', '12', class, unit)), unit) <= greatest(1, round_even(0.15 * count(*) OVER (PARTITION BY class), 0)) THEN 'val' ELSE 'train' END AS side FROM t WHERE side = 'train')
+SELECT frame_id, coalesce(w.side, t.side) AS side FROM frames JOIN t USING (unit) LEFT JOIN w ON w.unit = t.unit""")
+def validation_carve(spark, d):
+    """Of the train side of a grouped split, 15 % of each class's units become validation."""
+    from ..operators import splits as P
+
+    f = frames(spark, d).select("frame_id", "unit", F.pmod("unit", F.lit(3)).cast("string").alias("class"))
+    s = P.grouped_split(f, 0.3, 11)
+    carved = P.grouped_split(s.where("side = 'train'").drop("side"), 0.15, 12).withColumn("side", F.when(F.col("side") == "test", "val").otherwise("train"))
+    return carved.select("frame_id", "side").unionByName(s.where("side = 'test'").select("frame_id", "side"))
+
+
+@query("h6_fold_sides", f"""WITH {FOLDS} SELECT frame_id, f.fold, CASE WHEN rows.fold = f.fold THEN 'test' ELSE 'train' END AS side FROM rows, (SELECT unnest(range(5)) AS fold) f WHERE protocol = 'grouped'""")
+def fold_sides(spark, d):
+    rows = protocol_rows(spark, d).where("protocol = 'grouped'").select("frame_id", F.col("fold").alias("own"))
+    sides = rows.select("frame_id", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("fold"))
+    return sides.select("frame_id", "fold", F.when(F.col("own") == F.col("fold"), "test").otherwise("train").alias("side"))
+
+
+@query("i14_additive_excess", f"""WITH {PRED}, a AS (SELECT seed, avg(CAST(y_true = y_pred AS DOUBLE)) AS a FROM pred GROUP BY seed), d AS (SELECT max(a) FILTER (WHERE seed = 0) - max(a) FILTER (WHERE seed = 1) AS x, max(a) FILTER (WHERE seed = 0) - max(a) FILTER (WHERE seed = 2) AS y, max(a) FILTER (WHERE seed = 0) - max(a) FILTER (WHERE seed = 3) AS z FROM a)
+SELECT round(x, 6) + 0.0 AS input_drop, round(y, 6) + 0.0 AS weights_drop, round(z, 6) + 0.0 AS joint_drop, round(z - x - y, 6) + 0.0 AS excess, z > 1.8 * (x + y) AS more_than_additive FROM d""")
+def additive_excess(spark, d):
+    """Drops of two axes alone and jointly, and whether the joint drop passes 1.8 times their sum."""
+    right = (F.col("y_true") == F.col("y_pred")).cast("double")
+    a = predictions(spark, d).groupBy("seed").agg(F.avg(right).alias("a"))
+    at = lambda s: F.max(F.when(F.col("seed") == s, F.col("a")))
+    g = a.agg((at(0) - at(1)).alias("input_drop"), (at(0) - at(2)).alias("weights_drop"), (at(0) - at(3)).alias("joint_drop"))
+    both = F.col("input_drop") + F.col("weights_drop")
+    return rounded(g.select("*", (F.col("joint_drop") - both).alias("excess"), (F.col("joint_drop") > 1.8 * both).alias("more_than_additive")))
+
+
+@query("j7_label_check")
+def label_check(spark, d):
+    """By class: how near a target unit's frames are to each class's centroid, the target left out of the centroids."""
+    v = vectors(spark, d)
+    target = F.col("unit").endswith("/3")
+    return rounded(L.nearest_centroid(v.where(target), L.vector_mean(v.where(~target), ["class"], "v").withColumnRenamed("class", "name"), "frame_id", "v").groupBy("nearest").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("similarity")))
+
+
+@query("j13_shift_augmentation")
+def shift_augmentation(spark, d):
+    """Accuracy by shift width: train rows are joined by a shifted copy of themselves, test rows stay as they are."""
+    rows = protocol_rows(spark, d).where("protocol = 'grouped'").drop("protocol", "v").join(B.frames_from_embeddings(B.table(spark, d, "embeddings")).select("frame_id", "cells"), "frame_id")
+    out = None
+    for k in (0, 1, 2, 4):
+        by = A.draw(f"shift{k}", F.col("frame_id"), 2 * k + 1) - k
+        plain = rows.withColumn("v", A.unit(A.centre(F.col("cells"))))
+        copies = plain if k == 0 else plain.unionByName(rows.withColumn("v", A.unit(A.centre(A.shift_columns(F.col("cells"), 4, 16, by)))))
+        acc = X.accuracy(X.predict(plain, X.fold_centroids(copies, []), ["fold"]), ["fold"]).withColumn("shift", F.lit(k))
+        out = acc if out is None else out.unionByName(acc)
+    return rounded(out)
