@@ -98,7 +98,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def words_as_one(words: np.ndarray) -> np.ndarray:
     """The hash of a whole sequence shorter than a shingle, kept apart by its length from those of shingles."""
-    h = np.uint64(len(words)) * np.uint64(0xD6E8FEB86659FD93)
+    h = np.uint64(len(words) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
     with np.errstate(over="ignore"):
         for w in words:
             h = mix64(np.array([h * np.uint64(0x9E3779B97F4A7C15) + w]))[0]

@@ -17,7 +17,7 @@ order of the rest does not touch the result, only its cost.
 Hot groups. Exact copies are one set, known by its 64-bit hash. A bucket of one signature is never paired
 with itself: every set is verified against the least set of all its buckets, then, where a bucket still
 holds several components, against one delegate of the bucket, and only what is then still apart in a bucket
-is paired across components. Pairs first pass a parity sketch of some 4 D cells, whose differing cells are never
+is paired across components. Pairs first pass a parity sketch of some 8 D cells, whose differing cells are never
 more than the differing elements; only the texts of pairs that pass are read. So the work follows the bucket's size, and no link is lost: a pair that was
 not verified is already in one component.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_words, materialize, mix64, shared_dir, shingle_hashes, ship, word_hashes, words_as_one
 
-U = np.uint64
+U, MASK = np.uint64, (1 << 64) - 1
 #: Rows of two numbers that a join may broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -53,7 +53,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def set_hash(s: np.ndarray) -> int:
-    return int(mix64(np.array([mix64(s + U(0x51)).sum(dtype=np.uint64) + U(len(s)) * U(0xA24BAED4963EE407)]))[0].view(np.int64)) if len(s) else 0
+    return int(mix64(np.array([mix64(s + U(0x51)).sum(dtype=np.uint64) + U(len(s) * 0xA24BAED4963EE407 & MASK)]))[0].view(np.int64)) if len(s) else 0
 
 
 @dataclass
@@ -100,11 +100,11 @@ class Partition:
         return found
 
     def sketches(self, s: np.ndarray) -> tuple[int, list[np.ndarray]]:
-        """The set's band, and for each place the parity of its elements in some 4 D cells: cells that differ bound the differences from below."""
+        """The set's band, and for each place the parity of its elements in some 8 D cells: cells that differ bound the differences from below."""
         out = []
         for band, _ in self.places(len(s)):
             self.segments(band)
-            cells = max(64, 1 << int(4 * self.differences(2 * (self.starts[band + 1] - 1)) + 3).bit_length())
+            cells = max(64, 1 << int(8 * self.differences(2 * (self.starts[band + 1] - 1)) + 7).bit_length())
             at = (mix64(s ^ U(0x5851F42D4C957F2D)) % U(cells)).astype(np.int64)
             out.append(np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool)).view(np.int64))
         return self.band_of(len(s)), out
@@ -114,7 +114,7 @@ class Partition:
         out = []
         for band, d in self.places(len(s)):
             m, deletions = self.segments(band)
-            h = mix64(s + U(band + 1) * U(0x9E3779B97F4A7C15))
+            h = mix64(s + U((band + 1) * 0x9E3779B97F4A7C15 & MASK))
             segment = (h >> U(40)).astype(np.int64) % m
             order = np.argsort(segment, kind="stable")
             segment, value = segment[order], mix64(h[order])
