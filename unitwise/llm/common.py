@@ -103,3 +103,17 @@ def words_as_one(words: np.ndarray) -> np.ndarray:
         for w in words:
             h = mix64(np.array([h * np.uint64(0x9E3779B97F4A7C15) + w]))[0]
     return np.array([h], np.uint64)
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows whose count reaches the least level, in eighths of powers of two, that `limit` rows or fewer reach.
+
+    Only the sizes of the levels come to the driver, some five hundred numbers at most; no task sends its own top rows."""
+    level = F.floor(8 * F.log2(F.col(n).cast("double"))).cast("long")
+    sizes = sorted(((r["level"], r["size"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect()), reverse=True)
+    kept, least = 0, None
+    for at, size in sizes:
+        if kept + size > limit:
+            break
+        kept, least = kept + size, at
+    return counts.where(F.lit(False)) if least is None else counts.where(level >= least)

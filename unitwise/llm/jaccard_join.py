@@ -11,7 +11,7 @@ each indexed with its one-deletion neighbourhood: some segment then differs by o
 bands M is about 1.5 (D+1), and each set is indexed under a subset of D+1 of its segments, the cheapest by
 the signatures' frequency in the whole corpus (any M - D common segments force a common one among the D+1
 first of each side in one global order). The frequencies come from counts of all documents: signatures
-repeated within a task are summed over tasks, and the `heavy_limit` most frequent go to the tasks; the
+repeated within a task are summed over tasks, and the most frequent, `heavy_limit` at most, go to the tasks; the
 order of the rest does not touch the result, only its cost.
 
 Hot groups. Exact copies are one set, known by its 64-bit hash. A bucket of one signature is never paired
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_words, materialize, mix64, shared_dir, shingle_hashes, ship, word_hashes, words_as_one
+from .common import byte_words, materialize, mix64, most_frequent, shared_dir, shingle_hashes, ship, word_hashes, words_as_one
 
 U, MASK = np.uint64, (1 << 64) - 1
 #: Rows of two numbers that a join may broadcast; larger tables are joined by a shuffle.
@@ -272,7 +272,8 @@ def classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", tex
     _first_pass(docs, id_col, text_col, k, partition, repeated).write.parquet(first)
     first = spark.read.parquet(first)
     sizes = first.where("n is not null").select(F.col(id_col).alias("doc"), "n", "e")
-    counted = first.where("sig is not null").groupBy("sig").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "sig").limit(heavy_limit).toPandas()
+    counted = materialize(first.where("sig is not null").groupBy("sig").agg(F.sum("count").alias("count")), "jaccard-counts")
+    counted = most_frequent(counted, "count", heavy_limit).toPandas()
     sig, count = counted["sig"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
     order = np.argsort(sig)
     index = materialize(_index(docs, text_col, k, partition, (sig[order], count[order])), "jaccard-index")
