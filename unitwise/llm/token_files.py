@@ -10,7 +10,7 @@ the fewest that hold the vocabulary's largest id, as little-endian 64-bit words:
 `bits` words, so packing and unpacking are 64 vectorised shifts whatever the number of ids. Block
 offsets and document starts give random access to one document without reading the rest.
 
-Nulls are empty texts and hold the end id alone. Ties (repeated ids) stay in the order of the sort.
+Null texts are empty and hold the end id alone; rows without an id have no place in the order and are not written. Ties (repeated ids) stay in the order of the sort.
 An empty table gives no files and no rows.
 """
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import chunks
+from .bpe import LineMemo
 from .common import ship
 
 HEAD, TAIL = struct.Struct("<4sHHI"), struct.Struct("<QQQ4s")
@@ -143,38 +143,14 @@ class LibraryTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memo, self.old, self.limit = {}, {}, limit // 2
-        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.memo = LineMemo(self._library, limit)
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """uint32 ids of each text."""
-        for i in range(0, len(texts), 256):
-            cut = [chunks(text) for text in texts[i : i + 256]]
-            wanted = set().union(*(rest for _, rest in cut))
-            if len(self.memo) > self.limit:
-                self.memo, self.old = {}, self.memo
-            self.memo.update((c, self.old[c]) for c in self.old.keys() & wanted)
-            self._learn(list(wanted.difference(self.memo)))
-            heads = self._library([first for first, _ in cut])
-            for (_, rest), head in zip(cut, heads, strict=True):
-                yield np.frombuffer(np.array(head.ids, "<u4").tobytes() + b"".join(map(self.memo.__getitem__, rest)), "<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes chunks: those without white space in one text, a line each, for the line end is a token of its own."""
-        lines = [c for c in new if c.split() == [c]]
-        if lines:
-            ids = np.array(self._library(["\n".join(" " + c for c in lines)])[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_end)
-            if len(ends) == len(lines) - 1:
-                raw = ids.tobytes()
-                starts, stops = [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), len(raw)]
-                self.memo.update((c, raw[a:b]) for c, a, b in zip(lines, starts, stops, strict=True))
-        rest = [c for c in new if c not in self.memo]
-        for c, e in zip(rest, self._library([" " + c for c in rest]), strict=True):
-            self.memo[c] = np.array(e.ids, "<u4").tobytes()
-
-    def _library(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return self.memo.ids(texts)
 
 
 _tokenizers: dict[str, LibraryTokenizer] = {}
