@@ -79,6 +79,18 @@ def test_jaccard_join_equals_brute_force(spark, rng, k, threshold):
     assert got == brute_classes(texts, k, threshold)
 
 
+@pytest.mark.parametrize(("k", "threshold"), [(4, 85), (5, 80)])
+def test_jaccard_join_of_one_word_more_at_every_size(spark, k, threshold):
+    texts = []
+    for n in range(1, 61):
+        base = [f"s{n}w{i}" for i in range(n + k - 1)]
+        texts += [" ".join(base), " ".join([*base, "more"])]
+        other = [f"t{n}w{i}" for i in range(n + k - 1)]
+        texts += [" ".join(other), " ".join(other[1:])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(table(spark, texts), k, threshold).collect()}
+    assert got == brute_classes(texts, k, threshold)
+
+
 def test_linked_sets_share_a_signature(rng):
     part = jaccard_join.Partition(85)
     none = (np.empty(0, np.uint64), np.empty(0, np.int64))

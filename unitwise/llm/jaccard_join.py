@@ -99,15 +99,18 @@ class Partition:
             self._segments[band] = found
         return found
 
-    def sketches(self, s: np.ndarray) -> tuple[int, list[np.ndarray]]:
-        """The set's band, and for each place the parity of its elements in some 8 D cells: cells that differ bound the differences from below."""
-        out = []
-        for band, _ in self.places(len(s)):
+    def sketches(self, s: np.ndarray) -> tuple[int, list[np.ndarray | None]]:
+        """The set's band, and from there on for each band the parity of its elements in some 8 D cells: cells that differ bound the differences from below.
+
+        A band where the set has no place holds None, so that the own band always comes first."""
+        own, places = self.band_of(len(s)), [band for band, _ in self.places(len(s))]
+        out: list[np.ndarray | None] = [None] * (max(places, default=own - 1) - own + 1)
+        for band in places:
             self.segments(band)
             cells = max(64, 1 << int(8 * self.differences(2 * (self.starts[band + 1] - 1)) + 7).bit_length())
             at = (mix64(s ^ U(0x5851F42D4C957F2D)) % U(cells)).astype(np.int64)
-            out.append(np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool)).view(np.int64))
-        return self.band_of(len(s)), out
+            out[band - own] = np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool)).view(np.int64)
+        return own, out
 
     def signatures(self, s: np.ndarray) -> list[tuple[np.ndarray, int | None]]:
         """For each place of a set: its signatures, and how many of them to index (None: all)."""
@@ -212,11 +215,11 @@ class Verifier:
         return self.sketches.select(F.col("e").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "cells")))
 
     def fits(self) -> Column:
-        """Whether the sizes and sketches of a and b allow a link, as a join condition."""
+        """Whether the sizes and sketches of a and b allow a link, as a join condition; a missing sketch allows it."""
         t = self.threshold
         cells = "get(cells_{0}, greatest(band_a, band_b) - band_{0})"
         apart = f"aggregate(zip_with({cells.format('a')}, {cells.format('b')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-        return F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and {apart} <= floor((n_a + n_b) * {100 - t} / {100 + t})")
+        return F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and coalesce({apart}, 0) <= floor((n_a + n_b) * {100 - t} / {100 + t})")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and sketches allow a link."""
