@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -82,9 +83,21 @@ _LOOKALIKE = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТХУІЈ
 _DASHES = "".join(map(chr, [*range(0x2010, 0x2016), 0x2212, 0xFE63, 0xFF0D]))
 _DOTS = "".join(map(chr, [0x2024, 0x3002, 0xFF0E, 0xFF61]))
 _INVISIBLE = "".join(map(chr, [*range(0x200B, 0x200E), 0x2060, 0xFEFF, 0xAD]))
-#: No-break and other odd spaces, full-width forms, mathematical letters and digits, Arabic and Indic digits.
-_RANGES = [(0xA0, 0xA0), (0x2000, 0x200A), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0x660, 0x669), (0x6F0, 0x6F9), (0x966, 0x96F)]
-_ODD = re.compile(f"[{_INVISIBLE}{_DASHES}{_DOTS}{''.join(_LOOKALIKE)}{''.join(f'{chr(a)}-{chr(b)}' for a, b in _RANGES)}]").search
+
+
+def _folded(c: str) -> str:
+    """What a character is read as: itself, or its ASCII form."""
+    new = "" if c in _INVISIBLE else "-" if c in _DASHES else "." if c in _DOTS else _LOOKALIKE.get(c)
+    if new is None:
+        k = unicodedata.normalize("NFKC", c)
+        d = unicodedata.digit(c, None)
+        new = str(d) if d is not None and "0" <= str(d) <= "9" and not k.isascii() else k if len(k) == 1 and k.isascii() else c
+    return new
+
+
+#: Every character that is read as another, over all of Unicode; the gate is made of the same.
+_FOLD = {c: new for c in map(chr, range(0x80, sys.maxunicode + 1)) if (new := _folded(c)) != c}
+_ODD = re.compile(f"[{''.join(map(re.escape, _FOLD))}]")
 
 _DIGIT_WORDS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789", strict=True))
 _WORD = "|".join(_DIGIT_WORDS)
@@ -125,18 +138,7 @@ class Tape:
 
 
 def _fold_characters(tape: Tape) -> None:
-    edits = []
-    for i, c in enumerate(tape.text):
-        if c < " ":
-            continue
-        new = "" if c in _INVISIBLE else "-" if c in _DASHES else "." if c in _DOTS else _LOOKALIKE.get(c)
-        if new is None:
-            k = unicodedata.normalize("NFKC", c)
-            d = unicodedata.digit(c, None)
-            new = str(d) if d is not None and "0" <= str(d) <= "9" and not k.isascii() else k if len(k) == 1 and k.isascii() else c
-        if new != c:
-            edits.append((i, i + 1, new))
-    tape.replace(edits)
+    tape.replace([(*m.span(), _FOLD[m[0]]) for m in _ODD.finditer(tape.text)])
 
 
 def _spelled_digits(tape: Tape) -> None:
@@ -176,7 +178,7 @@ def _at_and_dot(tape: Tape) -> None:
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of identifiers that only the normalised text shows."""
-    odd, low = not text.isascii() and _ODD(text) is not None, text.lower()
+    odd, low = not text.isascii() and _ODD.search(text) is not None, text.lower()
     spelled = _TWO_DIGIT_WORDS(low) is not None
     around = " dot " in low or "@" in low and (" @" in low or "@ " in low) or _BRACKETED(low) is not None
     if not (odd or spelled or around):
