@@ -8,7 +8,8 @@ or after the first word) and the length bound (it ends by the last) cut what can
 words of what is left are compared one by one.
 
 The index of the items is sent to the tasks only up to `slice_words` words; a larger benchmark is cut
-into slices by item, each joined in turn, and the hits of the slices are merged by document.
+into slices by item, each joined in turn, and the hits of the slices are merged by document row: rows are
+written once with a key of their own, so that null and repeated ids stay apart.
 
 Nulls and texts without words have no windows and no hits. Repeated items count each by its item_id; a
 document's repeated passages are all hit. Ties of rarity go to the smaller hash, then the earlier place.
@@ -19,14 +20,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, ship, word_hashes
+from .common import materialize, shingle_hashes, ship, word_hashes
 
 #: Upper case to lower, and everything below 0x80 that is no letter or digit to a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -156,32 +157,59 @@ def find(words: list[bytes], index: Index, filters: dict[int, Filter]) -> tuple[
 _HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
+def _slice_hits(docs: DataFrame, found: dict[str, list[bytes]], id_col: str, text_col: str, window: int) -> DataFrame:
+    """The hits of one slice of items for each row of docs."""
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    text_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    index = Index(found, window)
+    index.choose(_counts(docs, text_col, index.shingles()))
+    sent = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        filters = {k: Filter(np.fromiter(a, np.uint64, len(a))) for k, a in index.anchors.items()}
+        for b in batches:
+            rows = []
+            for text in b.column(1).to_pylist():
+                words = words_of(text)
+                spans, items = find(words, index, filters)
+                rows.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted(items)))
+            n, spans, items = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, text_type), pa.array(items, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {_HITS}")
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written once, with a key of each row, and the key's name."""
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "decontaminate-rows"), key
+
+
+def _merged(keyed: DataFrame, key: str, slices: Iterator[dict[str, list[bytes]]], text_col: str, window: int) -> DataFrame:
+    """key, n_words, spans, items of each row over all slices."""
+    merged = None
+    for found in slices:
+        part = _slice_hits(keyed, found, key, text_col, window)
+        merged = part if merged is None else merged.unionByName(part)
+    merged = merged.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    union = F.expr("""aggregate(s, cast(array() as array<struct<start:long,end:long>>), (a, x) ->
+        CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
+             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
+             ELSE concat(a, array(x)) END)""")
+    return merged.select(key, "n_words", union.alias("spans"), "items")
+
+
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_words: int = 2_000_000) -> DataFrame:
     """For each row of docs: id, n_words, spans (hit word ranges, merged, end exclusive), items (sorted item ids)."""
-    spark = ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    text_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    parts = []
-    for found in _slices(items, item_col, item_text_col, slice_words):
-        index = Index(found, window)
-        index.choose(_counts(docs, text_col, index.shingles()))
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            filters = {k: Filter(np.fromiter(a, np.uint64, len(a))) for k, a in index.anchors.items()}
-            for b in batches:
-                rows = []
-                for text in b.column(1).to_pylist():
-                    words = words_of(text)
-                    spans, items = find(words, index, filters)
-                    rows.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted(items)))
-                n, spans, items = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, text_type), pa.array(items, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
-
-        parts.append(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {_HITS}"))
-    if not parts:
-        empty = Index({"": []}, window)
+    ship(docs.sparkSession)
+    slices = _slices(items, item_col, item_text_col, slice_words)
+    first, second = next(slices, None), next(slices, None)
+    if first is None:
+        kind = docs.schema[id_col].dataType.simpleString()
+        text_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
         def none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -190,45 +218,47 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nothing, text_type), pa.array(nothing, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
 
         return docs.select(id_col, text_col).mapInArrow(none, f"`{id_col}` {kind}, {_HITS}")
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    merged = merged.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    union = F.expr("""aggregate(s, cast(array() as array<struct<start:long,end:long>>), (a, x) ->
-        CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
-             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
-             ELSE concat(a, array(x)) END)""")
-    return merged.select(id_col, "n_words", union.alias("spans"), "items")
+    if second is None:
+        return _slice_hits(docs, first, id_col, text_col, window)
+    keyed, key = _keyed(docs.select(id_col, text_col))
+    found = _merged(keyed, key, chain([first, second], slices), text_col, window)
+    return keyed.select(key, id_col).join(found, key).select(id_col, "n_words", "spans", "items")
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated (some word is hit, and at least one in twenty)."""
     found = hits(docs, items, id_col=id_col, **options)
-    n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)")
+    n_hit, contaminated = _judged()
     return found.select(
         id_col,
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        contaminated.alias("contaminated"),
     )
 
 
+def _judged() -> tuple[Column, Column]:
+    """n_hit and contaminated, of a row of hits."""
+    n_hit = F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)")
+    return n_hit, (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_words: int = 2_000_000) -> DataFrame:
     """The rows of docs that are not contaminated, columns as they are.
 
-    A benchmark of one slice is applied in the pass over docs itself; a larger one by a join with its report."""
+    A benchmark of one slice is applied in the pass over docs itself; a larger one by a join with its hits on a key of each row."""
     spark = ship(docs.sparkSession)
-    slices = list(islice(_slices(items, item_col, item_text_col, slice_words), 2))
-    if not slices:
+    slices = _slices(items, item_col, item_text_col, slice_words)
+    first, second = next(slices, None), next(slices, None)
+    if first is None:
         return docs
-    if len(slices) > 1:
-        bad = report(docs, items, id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, slice_words=slice_words).where("contaminated")
-        return docs.join(bad.select(id_col), id_col, "left_anti")
-    index = Index(slices[0], window)
+    if second is not None:
+        keyed, key = _keyed(docs)
+        bad = _merged(keyed, key, chain([first, second], slices), text_col, window).where(_judged()[1])
+        return keyed.join(bad.select(key), key, "left_anti").select(docs.columns)
+    index = Index(first, window)
     index.choose(_counts(docs, text_col, index.shingles()))
     sent, place = spark.sparkContext.broadcast(index), docs.columns.index(text_col)
 
