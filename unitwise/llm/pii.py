@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -95,8 +94,8 @@ def _folded(c: str) -> str:
     return new
 
 
-#: Every character that is read as another, over all of Unicode; the gate is made of the same.
-_FOLD = {c: new for c in map(chr, range(0x80, sys.maxunicode + 1)) if (new := _folded(c)) != c}
+#: Every character that is read as another, the gate being made of the same. Outside these ranges (ideographs, syllables, surrogates, private use, planes above 1) none is; a test holds that over all of Unicode.
+_FOLD = {c: new for c in map(chr, [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000)]) if (new := _folded(c)) != c}
 _ODD = re.compile(f"[{''.join(map(re.escape, _FOLD))}]")
 
 _DIGIT_WORDS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789", strict=True))
