@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +42,46 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that the driver and all executors see.
 
-    Only where that setting is absent (tests, local use) a temporary folder takes its place."""
+    Only in local mode a temporary folder may take its place; on a cluster the setting is required."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="unitwise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+def materialize(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Writes a table to the shared folder (in folders by the columns `parts`) and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    if parts:
+        conf, key = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        before = conf.get(key)
+        conf.set(key, "16")  # a file for each folder stays open, so that no task sorts its rows by folder
+        df.write.option("parquet.block.size", 16 << 20).partitionBy(*parts).parquet(path)
+        conf.set(key, before)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for path in {re.sub(r"(/[^/]*=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,6 +114,50 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or starts.max() < 1 << 30) else np.int64
+    return np.repeat((starts - before).astype(kind), sizes) + np.arange(total, dtype=kind)
+
+
+def steps(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """The texts in slices of about `size` bytes (one text at least); nulls as empty texts."""
+    texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+    ends, start = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def coded_words(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    r"""The words [^\x20\x09-\x0D]+ of texts, A-Z in lower case, for some texts at a time: hashes, a number into these for each word, the bounds of each text.
+
+    What stands between spaces is told apart by Arrow's dictionary encoding, so that each distinct string is hashed once."""
+    for part in steps(texts, size):
+        split = pc.split_pattern(pc.ascii_lower(part), " ")
+        n = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        words = [c.split() for c in pc.cast(coded.dictionary, pa.large_binary()).to_pylist()]
+        sizes, at = np.fromiter(map(len, words), np.int64, len(words)), coded.indices.to_numpy()
+        hashed = word_hashes([w for c in words for w in c])
+        if len(sizes) and sizes.max() == 1 and sizes.min() == 1:
+            yield hashed, at, np.concatenate(([0], np.cumsum(n)))
+        else:
+            length = sizes[at]
+            yield hashed, spread((np.cumsum(sizes) - sizes)[at], length), np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(n)))]
+
+
+def hashed_words(texts: pa.Array, size: int = 2_000_000) -> Iterator[np.ndarray]:
+    """The word hashes of each text, as `word_hashes(byte_words(text))` gives them."""
+    for hashed, at, cuts in coded_words(texts, size):
+        flat, cuts = hashed[at], cuts.tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield flat[a:b]
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of all runs of k words; order within a run counts."""
     n = len(words) - k + 1
