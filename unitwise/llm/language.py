@@ -1,15 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of one stretch between white space (longer ones in pieces of
-`MAX_BYTES`), forwards and backwards, and labels every byte position; a document's probabilities are the
-mean of those of all its positions. Stretches are independent of each other, so each distinct one
-is computed once for many documents and memoised: pooled results are the same as computing each in place.
-
-Training is back-propagation through time in numpy on a bounded sample: at most about `per_language`
-documents of each language by hash, and `stretches` stretches of them.
-
-A null text, or one without a letter, is "und" with score 0. Without training rows every text is.
-Repeated rows are labelled alike; of equal probabilities the first language in order wins.
+The network reads the UTF-8 bytes of a text (A-Z in lower case, white space as single spaces), forwards and
+backwards, and labels every byte position; a document's probabilities are the mean of those of all its positions.
+Texts are read in windows: of the positions of a text, each `STRIDE` form one window's own, read with `CONTEXT`
+bytes more on either side, so that each position is labelled once, with what stands around it in neighbouring
+words. All cuts lie before the first byte of a character. Windows of many texts go through the network together.
+
+Training is back-propagation through time in numpy on a bounded sample: about `per_language` documents of each
+language by hash, and `n_windows` windows of `TRAINED` bytes of them, languages weighing alike.
+
+A null text, or one without a letter, is "und" with score 0. Without training rows every text is. A row without
+an id is never learned from, and `held_out` is false for it. Repeated rows are labelled alike; of equal
+probabilities the first language in order wins. Work and memory grow with a text's length, whatever that is.
 """
 
 from __future__ import annotations
@@ -25,17 +27,46 @@ from pyspark.sql import functions as F
 
 from .common import fold, ship
 
-MAX_BYTES = 24
+CONTEXT, STRIDE, TRAINED = 20, 240, 48
 PAD = 256
 _LETTER = re.compile(r"[^\W\d_]").search
 
 
-def stretches(text: str) -> list[bytes]:
-    """The byte stretches of a text: A-Z in lower case, cut at white space and after MAX_BYTES."""
-    out = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(max(out, key=len, default=b"")) > MAX_BYTES:
-        out = [w[i : i + MAX_BYTES] for w in out for i in range(0, len(w), MAX_BYTES)]
-    return out
+def read_as(text: str) -> bytes:
+    """The bytes that the network reads of a text."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+
+
+def cuts(text: np.ndarray, stride: int = STRIDE) -> np.ndarray:
+    """Where the windows' own positions begin, and the end of the text; each cut stands before a character's first byte."""
+    at = np.arange(stride, len(text), stride)
+    for _ in range(3):
+        at -= (text[at] & 0xC0) == 0x80
+    return np.concatenate(([0], at, [len(text)]))
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Padded windows of all texts, each one's text, and the first and last (exclusive) of its own places."""
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    first, last, low, high, owner, start = [], [], [], [], [], 0
+    for i, t in enumerate(texts):
+        c = cuts(joined[start : start + len(t)])
+        c = c[np.concatenate(([True], c[1:] > c[:-1]))] + start
+        edges = c[:, None] + np.arange(-CONTEXT, -CONTEXT + 4)[None]  # a context begins before a character, too
+        inside = np.clip(edges, start, start + len(t))
+        good = np.append(joined, 0)[inside] & 0xC0 != 0x80
+        lead = inside[np.arange(len(c)), good.argmax(1)]
+        first.append(c[:-1])
+        last.append(c[1:])
+        low.append(np.maximum(lead[:-1], start))
+        high.append(np.minimum(c[1:] + CONTEXT, start + len(t)))
+        owner.append(np.full(len(c) - 1, i))
+        start += len(t)
+    first, last, low, high, owner = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, last, low, high, owner))
+    width = int((high - low).max()) if len(low) else 0
+    at = low[:, None] + np.arange(width)[None]
+    x = np.where(at < high[:, None], joined[np.minimum(at, max(0, len(joined) - 1))], PAD).astype(np.int64) if width else np.empty((0, 0), np.int64)
+    return x, owner, first - low, last - low
 
 
 def padded(words: list[bytes]) -> np.ndarray:
@@ -95,15 +126,57 @@ class BiGru:
         q = np.exp(logits - logits.max(2, keepdims=True))
         return q / q.sum(2, keepdims=True)
 
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """The sum of the position probabilities of each stretch."""
-        out = np.empty((len(words), len(self.languages)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for i in range(0, len(order), 2048):
-            part = order[i : i + 2048]
-            x = padded([words[j] for j in part])
-            q = self._out(np.concatenate((self._run(x, "f", False)[0], self._run(x, "b", False)[0]), 2))
-            out[part] = (q * (x != PAD).T[:, :, None]).sum(0)
+    def _logits(self, x: np.ndarray, d: str, shortest: int, out: np.ndarray) -> None:
+        """Adds one direction's part to the logits (time, window, language). No padding stands before `shortest`."""
+        e, u, b, v = self.p[f"E{d}"], self.p[f"U{d}"], self.p[f"b{d}"], self.p["V"]
+        k = u.shape[0]
+        v = v[:k] if d == "f" else v[k:]
+        # exp alone is cheap: a gate is 1 / (1 + exp(-a)), and tanh(a) is 2 / (1 + exp(-2 a)) - 1
+        scale = np.repeat(np.float32([-1, -2]), [2 * k, k])
+        e, u, b = e * scale, u * scale, b * scale[2 * k :]
+        h, states = np.zeros((len(x), k), np.float32), np.empty((x.shape[1], len(x), k), np.float32)
+        by_time = np.ascontiguousarray(x.T)
+        for t in range(len(by_time)) if d == "f" else range(len(by_time) - 1, -1, -1):
+            a, r = e.take(by_time[t], 0), h @ u
+            gates = a[:, : 2 * k] + r[:, : 2 * k]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            new = r[:, 2 * k :] + b
+            new *= gates[:, k:]
+            new += a[:, 2 * k :]
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            h -= new
+            h *= gates[:, :k]
+            h += new
+            if t >= shortest:
+                h[by_time[t] == PAD] = 0  # padding stands at the end only: behind a text, or before it when read backwards
+            states[t] = h
+        out += states @ v
+
+    def pooled(self, texts: list[bytes], most: int = 1024) -> np.ndarray:
+        """The sum of the probabilities of all positions of each text."""
+        x, owner, first, last = windows(texts)
+        out = np.zeros((len(texts), len(self.languages)))
+        length = (x != PAD).sum(1)
+        order = np.argsort(length, kind="stable")
+        for i in range(0, len(order), most):
+            part = order[i : i + most]
+            w = x[part, : length[part].max()]
+            logits = np.empty((w.shape[1], len(w), len(self.languages)), np.float32)
+            logits[:] = self.p["c"]
+            with np.errstate(over="ignore"):
+                for d in "fb":
+                    self._logits(w, d, int(length[part].min()), logits)
+            logits -= logits.max(2, keepdims=True)
+            q = np.exp(logits, out=logits)
+            q /= q.sum(2, keepdims=True)
+            t = np.arange(len(q))[:, None]
+            q *= ((t >= first[part]) & (t < last[part]))[:, :, None]
+            np.add.at(out, owner[part], q.sum(0))
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -134,7 +207,7 @@ class BiGru:
         loss = -(np.log(np.maximum(q[:, np.arange(len(y)), y], 1e-9)) * mask).sum() / total
         return float(loss), g
 
-    def fit(self, words: list[bytes], y: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 1) -> BiGru:
+    def fit(self, words: list[bytes], y: np.ndarray, steps: int = 300, batch: int = 192, rate: float = 0.02, seed: int = 1) -> BiGru:
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -148,57 +221,23 @@ class BiGru:
         return self
 
 
-class Labeller:
-    """A network with the pooled results of the stretches seen of late."""
-
-    def __init__(self, net: BiGru, limit: int = 300_000):
-        self.net, self.limit = net, limit
-        self.rows: dict[bytes, int] = {}
-        self.sums = np.empty((0, len(net.languages)), np.float32)
-
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        held, size = [], 0
-        for t in texts:
-            held.append(stretches(t) if t and _LETTER(t) else [])
-            size += len(held[-1])
-            if size > 300_000:
-                self._finish(held, names, scores)
-                held, size = [], 0
-        self._finish(held, names, scores)
-        return names, scores
-
-    def _finish(self, cut: list[list[bytes]], names: list[str], scores: list[float]) -> None:
-        self._know(cut)
-        for words in cut:
-            if not words:
-                names.append("und")
-                scores.append(0.0)
-                continue
-            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-            mean = self.sums[at].sum(0, dtype=np.float64)
-            mean /= mean.sum()
-            best = int(mean.argmax())
-            names.append(self.net.languages[best])
-            scores.append(float(min(1.0, mean[best])))
-
-    def _know(self, cut: list[list[bytes]]) -> None:
-        wanted = set().union(*cut)
-        new = list(wanted.difference(self.rows))
-        if not new:
-            return
-        if len(self.rows) + len(new) > self.limit:
-            self.rows, self.sums, new = {}, self.sums[:0], list(wanted)
-        start = len(self.rows)
-        self.rows.update(zip(new, range(start, start + len(new)), strict=True))
-        if start + len(new) > len(self.sums):
-            grown = np.empty((max(4096, 2 * (start + len(new))), self.sums.shape[1]), np.float32)
-            grown[:start] = self.sums[:start]
-            self.sums = grown
-        self.sums[start : start + len(new)] = self.net.pooled(new)
-
-
-def train(docs: DataFrame, learn_from: Column | None = None, per_language: int = 400, n_stretches: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGru | None:
+def labelled(net: BiGru, texts: list[str | None], step: int = 2_000_000) -> tuple[list[str], list[float]]:
+    """The language and its probability for each text; some `step` bytes go through the network at a time."""
+    read = [read_as(t) if t and _LETTER(t) else b"" for t in texts]
+    ends, start, sums = np.cumsum([len(r) for r in read]), 0, []
+    while start < len(read):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + step, "right")))
+        sums.append(net.pooled(read[start:stop]))
+        start = stop
+    names, scores = [], []
+    for r, s in zip(read, np.concatenate(sums) if sums else (), strict=True):
+        best = int(s.argmax())
+        names.append(net.languages[best] if r else "und")
+        scores.append(float(min(1.0, s[best] / s.sum())) if r else 0.0)
+    return names, scores
+
+
+def train(docs: DataFrame, learn_from: Column | None = None, per_language: int = 400, n_windows: int = 30_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGru | None:
     """Fits a network; None without rows to learn from. Documents are drawn by hash, about `per_language` of each language."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     if learn_from is not None:
@@ -207,19 +246,20 @@ def train(docs: DataFrame, learn_from: Column | None = None, per_language: int =
     if not counts:
         return None
     languages = sorted(counts)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(29)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(29)), F.lit(1 << 30))
     take = None
     for lang, n in counts.items():
         one = (F.col(lang_col) == lang) & (draw < int((1 << 30) * min(1.0, per_language / n)))
         take = one if take is None else take | one
-    sample = sorted((r[id_col], r[lang_col], r[text_col]) for r in rows.where(take).select(id_col, lang_col, text_col).collect())
+    sample = sorted((str(r[id_col]), r[lang_col], r[text_col]) for r in rows.where(take).select(id_col, lang_col, text_col).collect())
     rng = np.random.default_rng(5)
     words, y = [], []
-    share = n_stretches // max(1, len(sample)) + 1
+    share = n_windows // max(1, len(sample)) + 1
     for _, lang, text in sample:
-        own = stretches(text)
-        for i in rng.integers(0, len(own), min(share, len(own))) if own else ():
-            words.append(own[i])
+        own = np.frombuffer(read_as(text), np.uint8)
+        heads = np.flatnonzero(own & 0xC0 != 0x80)
+        for at in rng.choice(heads, min(share, len(heads) // 16 + 1)).tolist() if len(heads) else ():
+            words.append(own[at : at + TRAINED].tobytes())
             y.append(languages.index(lang))
     if not words:
         return None
@@ -235,10 +275,10 @@ def label(docs: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col:
     sent = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(sent.value) if sent.value else None
+        net = sent.value
         for b in batches:
             n = b.num_rows
-            names, scores = labeller.label(b.column(1).to_pylist()) if labeller else (["und"] * n, [0.0] * n)
+            names, scores = labelled(net, b.column(1).to_pylist()) if net else (["und"] * n, [0.0] * n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -247,5 +287,5 @@ def label(docs: DataFrame, net: BiGru | None, id_col: str = "doc_id", text_col:
 
 def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, held_out, lang_pred, score; rows held out (crc32 of the id modulo 3 is 1) are never learned from."""
-    held_out = fold(id_col, 3) == 1
-    return label(docs, train(docs, ~held_out, id_col=id_col), id_col).select(id_col, held_out.alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(fold(id_col, 3) == 1, F.lit(False))
+    return label(docs, train(docs, ~held_out & F.col(id_col).isNotNull(), id_col=id_col), id_col).select(id_col, held_out.alias("held_out"), "lang_pred", "score")
