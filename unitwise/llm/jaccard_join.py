@@ -15,15 +15,18 @@ repeated within a task are summed over tasks, and the most frequent, `heavy_limi
 order of the rest does not touch the result, only its cost.
 
 Hot groups. Exact copies are one set, known by its 64-bit hash. A bucket of one signature is never paired
-with itself: every set is verified against the least set of all its buckets, then, where a bucket still
-holds several components, against one delegate of the bucket, and only what is then still apart in a bucket
-is paired across components. Pairs first pass a parity sketch of some 8 D cells, whose differing cells are never
-more than the differing elements; only the texts of pairs that pass are read. So the work follows the bucket's size, and no link is lost: a pair that was
-not verified is already in one component.
+with itself: first every set is verified against the least set of the bucket that it shares most with; then, as long as
+buckets hold several components and links are found, against one delegate of each bucket (`rounds` times at most); only
+what is then still apart in a bucket is paired across components. Pairs first pass a parity sketch of some 8 D cells,
+whose differing cells are never more than the differing elements; only the texts of pairs that pass are read. So the
+work follows the bucket's size, and no link is lost: a pair that was not verified is already in one component. The sets
+that many others are verified against are dealt over `SALTS` tasks.
 
 Verification counts both shingle sets of the texts. Null texts and texts without words have no set and stay
-alone; fewer words than a shingle make one element. Rows with equal ids count as one document. Sets of
-different content with equal 64-bit hashes of the whole set would be taken for copies.
+alone; fewer words than a shingle make one element. Every row is a document of its own, whatever its id: rows of equal
+ids are told apart by their texts' hashes, rows without an id link like others, and `component_id` is the least id that
+is not null (null where there is none). Sets of different content with equal 64-bit hashes of the whole set, and texts
+of one id with equal 64-bit hashes, would be taken for copies.
 """
 
 from __future__ import annotations
@@ -36,20 +39,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_words, materialize, mix64, most_frequent, shared_dir, shingle_hashes, ship, word_hashes, words_as_one
+from .common import byte_words, discard, hashed_words, materialize, mix64, most_frequent, shingle_hashes, ship, unused, word_hashes, words_as_one
 
 U, MASK = np.uint64, (1 << 64) - 1
 #: Rows of two numbers that a join may broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+SALTS = 16
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    words = byte_words(text)
-    if not words:
+def set_of(words: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text, given its words' hashes."""
+    if not len(words):
         return np.empty(0, np.uint64)
-    hashed = word_hashes(words)
-    return np.unique(shingle_hashes(hashed, k) if len(words) >= k else words_as_one(hashed))
+    return np.unique(shingle_hashes(words, k) if len(words) >= k else words_as_one(words))
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    return set_of(word_hashes(byte_words(text)), k)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The side of a join that is broadcast where its rows, a few numbers each, are few enough; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -99,18 +110,12 @@ class Partition:
             self._segments[band] = found
         return found
 
-    def sketches(self, s: np.ndarray) -> tuple[int, list[np.ndarray | None]]:
-        """The set's band, and from there on for each band the parity of its elements in some 8 D cells: cells that differ bound the differences from below.
-
-        A band where the set has no place holds None, so that the own band always comes first."""
-        own, places = self.band_of(len(s)), [band for band, _ in self.places(len(s))]
-        out: list[np.ndarray | None] = [None] * (max(places, default=own - 1) - own + 1)
-        for band in places:
-            self.segments(band)
-            cells = max(64, 1 << int(8 * self.differences(2 * (self.starts[band + 1] - 1)) + 7).bit_length())
-            at = (mix64(s ^ U(0x5851F42D4C957F2D)) % U(cells)).astype(np.int64)
-            out[band - own] = np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool)).view(np.int64)
-        return own, out
+    def sketch(self, s: np.ndarray, band: int) -> np.ndarray:
+        """The parity of a set's elements in some 8 D cells: cells that differ between two sets of a band bound their differences from below."""
+        self.segments(band)
+        cells = max(64, 1 << int(8 * self.differences(2 * (self.starts[band + 1] - 1)) + 7).bit_length())
+        at = (mix64(s ^ U(0x5851F42D4C957F2D)) % U(cells)).astype(np.int64)
+        return np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool)).view(np.int64)
 
     def signatures(self, s: np.ndarray) -> list[tuple[np.ndarray, int | None]]:
         """For each place of a set: its signatures, and how many of them to index (None: all)."""
@@ -132,10 +137,10 @@ class Partition:
                 out.append((whole, d + 1))
         return out
 
-    def indexed(self, s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """The signatures that a set is indexed under, given the frequent signatures (sorted) and their counts."""
-        out = [np.empty(0, np.uint64)]
-        for sig, n in self.signatures(s):
+    def chosen(self, s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+        """Each band of a set with the signatures that it is indexed under there, given the frequent signatures (sorted) and their counts."""
+        out = []
+        for (band, _), (sig, n) in zip(self.places(len(s)), self.signatures(s), strict=True):
             if n is not None and n < len(sig):
                 if len(heavy[0]):
                     at = np.minimum(np.searchsorted(heavy[0], sig), len(heavy[0]) - 1)
@@ -143,13 +148,17 @@ class Partition:
                 else:
                     cost = np.zeros(len(sig), np.int64)
                 sig = sig[np.lexsort((sig, cost))[:n]]
-            out.append(sig)
-        return np.unique(np.concatenate(out))
+            out.append((band, np.unique(sig)))
+        return out
+
+    def indexed(self, s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """All signatures that a set is indexed under."""
+        return np.unique(np.concatenate([np.empty(0, np.uint64), *(sig for _, sig in self.chosen(s, heavy))]))
 
 
 def _first_pass(docs: DataFrame, id_col: str, text_col: str, k: int, partition: Partition, repeated: int) -> DataFrame:
-    """Rows (id, n, e = set hash) of documents, and rows (sig, count) of signatures repeated within a task."""
-    names = [id_col, "n", "e", "sig", "count"]
+    """Rows (doc, th = hash of the text, n, e = set hash) of documents, and rows (sig, count) of signatures repeated within a task."""
+    names = ["doc", "th", "n", "e", "sig", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -158,12 +167,12 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, k: int, partition:
             sig, count = np.unique(np.concatenate(held), return_counts=True)
             sig, count = sig[count >= repeated], count[count >= repeated]
             none = pa.nulls(len(sig), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(sig.view(np.int64)), pa.array(count.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(sig.view(np.int64)), pa.array(count.astype(np.int64))], names=names)
 
         for b in batches:
             n, e = [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, k)
+            for words in hashed_words(b.column(2)):
+                s = set_of(words, k)
                 n.append(len(s))
                 e.append(set_hash(s))
                 for sig, wanted in partition.signatures(s) if len(s) else ():
@@ -171,30 +180,36 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, k: int, partition:
                         held.append(sig)
                         size += len(sig)
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(e, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(e, pa.int64()), none, none], names=names)
             if size > 3_000_000:
                 yield heavy()
                 held, size = [], 0
         if held:
             yield heavy()
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, n long, e long, sig long, count long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _index(docs: DataFrame, text_col: str, k: int, partition: Partition, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """A row for each band of each set: s (its key there), e, n, sigs, cells (its sketch)."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {}
-            for text in b.column(0).to_pylist():
-                s = shingle_set(text, k)
-                if len(s) and (e := set_hash(s)) not in rows:
-                    rows[e] = (len(s), partition.indexed(s, sent.value).view(np.int64), *partition.sketches(s))
-            n, sigs, band, cells = zip(*rows.values(), strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(band, pa.int32()), pa.array(cells, pa.list_(pa.list_(pa.int64())))], names=["e", "n", "sigs", "band", "cells"])
+            seen, rows = set(), []
+            for words in hashed_words(b.column(0)):
+                s = set_of(words, k)
+                if len(s) and (e := set_hash(s)) not in seen:
+                    seen.add(e)
+                    for band, sigs in partition.chosen(s, sent.value):
+                        key = int(mix64(np.array([e & MASK ^ (band + 1) * 0x9E3779B97F4A7C15 & MASK], np.uint64)).view(np.int64)[0])
+                        rows.append((key, e, len(s), sigs.view(np.int64), partition.sketch(s, band)))
+            key, e, n, sigs, cells = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(e, pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, lists), pa.array(cells, lists)], names=["s", "e", "n", "sigs", "cells"])
 
-    return docs.select(text_col).mapInArrow(run, "e long, n long, sigs array<long>, band int, cells array<array<long>>")
+    return docs.select(text_col).mapInArrow(run, "s long, e long, n long, sigs array<long>, cells array<long>")
 
 
 class Verifier:
@@ -202,30 +217,31 @@ class Verifier:
 
     def __init__(self, docs: DataFrame, firsts: DataFrame, sketches: DataFrame, id_col: str, text_col: str, k: int, threshold: int):
         self.sketches = sketches
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
         self.firsts, self.k, self.threshold = firsts, k, threshold
 
-    def _texts(self, of: DataFrame, key: str, columns: list[str]) -> DataFrame:
-        """`of` (with the set hash in `key`) with the set's text: the small side is broadcast while its size is known to be small."""
-        of = materialize(of.join(self.firsts.select(F.col("e").alias(key), "doc"), key), "jaccard-ids")
-        side = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
-        return self.docs.join(side, "doc").select(*columns, F.col("text").alias(f"text_{key}"))
+    def _texts(self, of: DataFrame, key: str) -> DataFrame:
+        """`of` (with the set hash in `key`) with the set's text; a text that several rows hold comes once."""
+        first = self.firsts.select(F.col("e").alias(key), F.col("doc").alias("d"), F.col("th").alias("t"))
+        of = materialize(of.join(first, key), "jaccard-ids")
+        found = self.docs.join(small(of), F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+        return found.select(*[c for c in of.columns if c not in "dt"], F.col("text").alias(f"text_{key}"))
 
     def side(self, x: str) -> DataFrame:
-        return self.sketches.select(F.col("e").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "cells")))
+        return self.sketches.select(F.col("s").alias(f"s{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("e", "n", "cells")))
 
     def fits(self) -> Column:
-        """Whether the sizes and sketches of a and b allow a link, as a join condition; a missing sketch allows it."""
+        """Whether the sizes and sketches of a and b, of one band, allow a link, as a join condition."""
         t = self.threshold
-        cells = "get(cells_{0}, greatest(band_a, band_b) - band_{0})"
-        apart = f"aggregate(zip_with({cells.format('a')}, {cells.format('b')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-        return F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and coalesce({apart}, 0) <= floor((n_a + n_b) * {100 - t} / {100 + t})")
+        apart = "aggregate(zip_with(cells_a, cells_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        return F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and {apart} <= floor((n_a + n_b) * {100 - t} / {100 + t})")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and sketches allow a link."""
-        left = pairs.select("a", "b").join(self.side("a"), "a")
-        right = self.side("b").withColumnRenamed("b", "e")
-        return left.join(right, (F.col("b") == F.col("e")) & self.fits()).select("a", "b")
+        """(a, b) as set hashes, a below b, of the pairs (sa, sb) whose sizes and sketches allow a link."""
+        pairs = materialize(pairs.select("sa", "sb"), "jaccard-pairs")
+        left = self.side("a").join(small(pairs), "sa")
+        right = self.side("b").withColumnRenamed("sb", "s")
+        return left.join(right, (F.col("sb") == F.col("s")) & F.expr("e_a <> e_b") & self.fits()).select(F.least("e_a", "e_b").alias("a"), F.greatest("e_a", "e_b").alias("b")).distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
@@ -235,98 +251,129 @@ class Verifier:
             last, own = None, None
             for batch in batches:
                 keep = []
-                for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                others = hashed_words(batch.column(3))
+                for a, ta, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), others, strict=True):
                     if a != last:
                         last, own = a, shingle_set(ta, k)
-                    other = shingle_set(tb, k)
+                    other = set_of(words, k)
                     common = len(np.intersect1d(own, other, assume_unique=True))
                     keep.append(100 * common >= threshold * (len(own) + len(other) - common))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        right = self._texts(pairs, "b", ["a", "b"])
-        left = self._texts(pairs.select("a").distinct(), "a", ["a"])
-        return right.join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        pairs = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")), "jaccard-pairs")
+        right = self._texts(pairs, "b")
+        left = self._texts(pairs.select("a", "salt").distinct(), "a")
+        both = right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+        return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def roots(edges: DataFrame) -> DataFrame:
     """(e, root): connected components of edges (a, b), each labelled by its least member.
 
-    Alternating large-star and small-star steps; every step is two aggregations, written to the shared folder."""
+    Alternating large-star and small-star steps; every step is two aggregations, written to the shared folder. The least
+    neighbour of each node is broadcast while the edges are few; beyond that adaptive execution splits a hub's partition."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     size = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
     while True:
+        few = F.broadcast if size[0] <= BROADCAST_ROWS else lambda df: df
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(few(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
-        e = materialize(small, "components")
+        small = large.join(few(least), "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select(F.col("x.a").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
+        e, old = materialize(small, "components"), e
+        discard(old)
         new = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if new == size:
             return e.select(F.col("a").alias("e"), F.col("b").alias("root"))
         size = new
 
 
-def classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 300_000, repeated: int = 2) -> DataFrame:
-    """One row for each id: id, n_shingles, component_id (the least id reachable by links, itself included)."""
+def labelled(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 300_000, repeated: int = 2, rounds: int = 4) -> DataFrame:
+    """One row for each row of docs: doc (its id), th (the hash of its text), n (its set's size), e (the set's hash), root (the component's)."""
     spark: SparkSession = ship(docs.sparkSession)
     partition = Partition(threshold)
-    first = shared_dir(spark, "jaccard-sets")
-    _first_pass(docs, id_col, text_col, k, partition, repeated).write.parquet(first)
-    first = spark.read.parquet(first)
-    sizes = first.where("n is not null").select(F.col(id_col).alias("doc"), "n", "e")
+    first = materialize(_first_pass(docs, id_col, text_col, k, partition, repeated), "jaccard-sets")
+    sizes = first.where("n is not null").select("doc", "th", "n", "e")
     counted = materialize(first.where("sig is not null").groupBy("sig").agg(F.sum("count").alias("count")), "jaccard-counts")
-    counted = most_frequent(counted, "count", heavy_limit).toPandas()
-    sig, count = counted["sig"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
+    heavy = most_frequent(counted, "count", heavy_limit).toPandas()
+    discard(counted)
+    sig, count = heavy["sig"].to_numpy(np.int64).view(np.uint64), heavy["count"].to_numpy(np.int64)
     order = np.argsort(sig)
     index = materialize(_index(docs, text_col, k, partition, (sig[order], count[order])), "jaccard-index")
 
-    rows = index.select("e", F.explode("sigs").alias("sig"))
-    buckets = rows.groupBy("sig").agg(F.min("e").alias("least"), F.max("e").alias("most")).where("least <> most").select("sig", "least")
-    members = materialize(rows.join(buckets, "sig").select("sig", "e", "least").distinct(), "jaccard-members")
-    firsts = materialize(sizes.where("n > 0").groupBy("e").agg(F.min("doc").alias("doc"), F.first("n").alias("n")), "jaccard-firsts")
-    sketches = materialize(index.select("e", "n", "band", "cells").join(members.select("e").distinct(), "e", "left_semi").dropDuplicates(["e"]), "jaccard-sketches")
+    # one exchange serves the buckets, what joins them and the rows without repeats
+    rows = index.select("s", F.explode("sigs").alias("sig")).repartition("sig")
+    buckets = rows.groupBy("sig").agg(F.min("s").alias("least"), F.max("s").alias("most")).where("least <> most").select("sig", "least")
+    members = materialize(rows.join(buckets, "sig").select("sig", "s", "least").distinct(), "jaccard-members")
+    sketches = materialize(index.select("s", "e", "n", "cells").join(members.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), "jaccard-sketches")
+    discard(index)
+    firsts = materialize(sizes.where("n > 0").groupBy("e").agg(F.min(F.struct(F.isnull("doc"), "doc", "th")).alias("x")).select("e", "x.doc", "x.th"), "jaccard-firsts")
     verifier = Verifier(docs, firsts, sketches, id_col, text_col, k, threshold)
+    named = materialize(members.join(sketches.select("s", "e"), "s").select("sig", "s", "e"), "jaccard-members")
 
-    to_least = members.where("e <> least").select(F.col("least").alias("a"), F.col("e").alias("b")).distinct()
-    links = materialize(verifier.links(verifier.possible(to_least).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "jaccard-links")
-    parent = links.select(F.col("b").alias("e"), F.col("a").alias("root"))
-    above = parent.select(F.col("e").alias("root"), F.col("root").alias("top"))
-    label = parent.join(above, "root", "left").select("e", F.coalesce("top", "root").alias("root"))  # near the component's least is enough here
-
-    apart = _apart(members, label)
-    delegate = F.min(F.struct(F.xxhash64("sig", "e").alias("h"), F.col("e").alias("a"), F.col("root").alias("of")))
-    chosen = apart.groupBy("sig").agg(delegate.alias("d")).select("sig", "d.a", "d.of")
-    second = apart.join(chosen, "sig").where("root <> of").select(F.least("a", "e").alias("a"), F.greatest("a", "e").alias("b")).distinct()
-    links = materialize(links.unionByName(verifier.links(verifier.possible(second))), "jaccard-links")
+    shared = members.where("s <> least").groupBy("s", "least").agg(F.count(F.lit(1)).alias("n"))
+    most = shared.groupBy("s").agg(F.max(F.struct("n", "least")).alias("x")).select(F.col("s").alias("sb"), F.col("x.least").alias("sa"))
+    links = materialize(verifier.links(verifier.possible(most)), "jaccard-links")
+    discard(members)
     found = roots(links)
-
-    apart = _apart(members, found)
-    left = apart.select("sig", F.col("e").alias("a"), F.col("root").alias("ra")).join(verifier.side("a"), "a")
-    right = apart.select(F.col("sig").alias("s"), F.col("e").alias("b"), F.col("root").alias("rb")).join(verifier.side("b"), "b")
-    rest = left.join(right, (F.col("sig") == F.col("s")) & F.expr("a < b and ra <> rb") & verifier.fits()).select("a", "b").distinct()
+    for turn in range(rounds):
+        apart = _apart(named, found)
+        delegate = F.min(F.struct(F.xxhash64("sig", "s", F.lit(turn)).alias("h"), F.col("s").alias("sa"), F.col("root").alias("of")))
+        chosen = apart.groupBy("sig").agg(delegate.alias("d")).select("sig", "d.sa", "d.of")
+        pairs = apart.join(chosen, "sig").where("root <> of").select(F.least("sa", "s").alias("sa"), F.greatest("sa", "s").alias("sb")).distinct()
+        more = materialize(verifier.links(verifier.possible(pairs)), "jaccard-links")
+        discard(apart)
+        if more.isEmpty():
+            break
+        found, old = roots(more.unionByName(found.select(F.col("root").alias("a"), F.col("e").alias("b")))), found
+        discard(old)
+
+    apart = _apart(named, found)
+    left = apart.select("sig", F.col("s").alias("sa"), F.col("root").alias("ra")).join(verifier.side("a"), "sa")
+    right = apart.select(F.col("sig").alias("t"), F.col("s").alias("sb"), F.col("root").alias("rb")).join(verifier.side("b"), "sb")
+    rest = left.join(right, (F.col("sig") == F.col("t")) & F.expr("ra < rb") & verifier.fits()).select(F.least("e_a", "e_b").alias("a"), F.greatest("e_a", "e_b").alias("b")).distinct()
     rest = materialize(rest, "jaccard-rest")
     if not rest.isEmpty():
         more = materialize(verifier.links(rest), "jaccard-links")
         if not more.isEmpty():
             found = roots(more.unionByName(found.select(F.col("root").alias("a"), F.col("e").alias("b"))))
+    discard(apart, named, sketches)
+    linked = materialize(sizes.join(found.where("e <> root"), "e", "left").select("doc", "th", "n", "e", F.coalesce("root", "e").alias("root")), "jaccard-labelled")
+    discard(first)
+    return linked
+
 
-    named = found.join(firsts, "e").select("e", "root", "doc").unionByName(found.select(F.col("root").alias("e"), "root").distinct().join(firsts, "e").select("e", "root", "doc"))
-    of_root = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    known = named.join(of_root, "root").select("e", "component_id").unionByName(firsts.join(named.select("e"), "e", "left_anti").select("e", F.col("doc").alias("component_id")))
-    per_doc = sizes.groupBy("doc").agg(F.max(F.struct("n", "e")).alias("x")).select("doc", "x.n", "x.e")
-    alone = per_doc.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
-    return per_doc.where("n > 0").join(known, "e").select("doc", "n", "component_id").unionByName(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+def classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id (the least id reachable by links, its own included)."""
+    rows = labelled(docs, k, threshold, id_col, text_col, **options)
+    least = rows.where("n > 0").groupBy("root").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", "component_id")
+    found = rows.where("n > 0").join(least, "root", "left").select("doc", "n", F.coalesce("component_id", "doc").alias("component_id"))
+    return found.unionByName(rows.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(sig, e, root) of the buckets that still hold several components."""
-    both = members.select("sig", "e").join(found, "e", "left").select("sig", "e", F.coalesce("root", "e").alias("root"))
+    """(sig, s, root) of the buckets that still hold several components."""
+    both = members.join(found, "e", "left").select("sig", "s", F.coalesce("root", "e").alias("root"))
     mixed = both.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     return materialize(both.join(mixed, "sig", "left_semi"), "jaccard-apart")
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the least id of each component; columns as they are. Documents without a set or an id all stay."""
-    kept = classes(docs, k, threshold, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(id_col)
-    return docs.join(kept, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component, that of the least id (of equal ids, of the least text hash); columns as they are.
+
+    Rows without a set all stay. The rows to drop are broadcast where they are few, else joined by a shuffle."""
+    rows = labelled(docs, k, threshold, id_col, text_col).where("n > 0")
+    d, t = unused(docs, "doc"), unused(docs, "th")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc"), "doc", "th")).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1").select("root", F.col("x.doc").alias("kd"), F.col("x.th").alias("kt"))
+    many = materialize(rows.join(best, "root").select("doc", "th", "kd", "kt"), "jaccard-many")
+    same = F.col("doc").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))
+    drop = many.where(~same).select(F.col("doc").alias(d), F.col("th").alias(t)).distinct()
+    again = many.where(same).groupBy(F.col("doc").alias(d), F.col("th").alias(t)).agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(d, t)  # rows repeated with id and text
+    drop, again = materialize(drop, "jaccard-drop"), materialize(again, "jaccard-again")
+    keys = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(t))
+    kept = docs.join(small(drop), keys, "left_anti")
+    if again.isEmpty():
+        return kept
+    once = docs.join(small(again), keys, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(small(again), keys, "left_anti").unionByName(once)
