@@ -34,3 +34,32 @@ def test_other_disguises_are_found(text, kind):
         added = [(k, whole[s:e]) for s, e, k in every if (s, e, k) not in base]
         assert added == [(kind, text)]
         assert pii.masked(whole) == around.format(f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize(
+    "email",
+    [
+        "a.b.c.d.e.f at example dot com",
+        " dot ".join("abcdefgh") + " at " + " dot ".join(["mail"] * 9) + " dot org",
+        "x" * 65 + " at example dot com",
+        "x" * 5000 + " [at] " + "y" * 100 + " (dot) com",
+    ],
+)
+def test_disguised_names_of_any_length(email):
+    text = f"write to {email} now"
+    base, every = pii.spans(text)
+    assert not base
+    assert [(k, text[s:e]) for s, e, k in every] == [("email", email)]
+
+
+@pytest.mark.parametrize("part", ["a dot ", "a at ", "a . ", " ", "one ", "(at) ", "[.]a", "a @ b.", "1 dot "])
+def test_disguise_scan_is_linear(part):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        pii.spans(part * n)
+        return time.process_time() - t
+
+    seconds(1000)
+    assert seconds(64_000) < 40 * max(seconds(8_000), 2e-3)

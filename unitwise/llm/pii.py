@@ -96,18 +96,24 @@ def _folded(c: str) -> str:
 
 #: Every character that is read as another, the gate being made of the same. Outside these ranges (ideographs, syllables, surrogates, private use, planes above 1) none is; a test holds that over all of Unicode.
 _FOLD = {c: new for c in map(chr, [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000)]) if (new := _folded(c)) != c}
+#: Those of the basic plane as a class (looked up by a bitmap, where a class that reaches beyond is searched range by range), the rest by themselves.
+_ODD_BASIC = re.compile(f"[{''.join(re.escape(c) for c in _FOLD if c < chr(0x10000))}]").search
 _ODD = re.compile(f"[{''.join(map(re.escape, _FOLD))}]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]").search
 
 _DIGIT_WORDS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789", strict=True))
 _WORD = "|".join(_DIGIT_WORDS)
 _PLUS = r"plus[\x20]+"
 _SPELLED = re.compile(rf"(?i)\b(?:{_PLUS})?(?:double[\x20]+|triple[\x20]+)?(?:{_WORD})(?:[\x20,.-]{{1,2}}(?:(?:double|triple)[\x20]+)?(?:{_WORD}|[0-9]))+\b")
 _SPELLED_PART = re.compile(rf"(?i)plus|double|triple|{_WORD}|[0-9]|[.]")
-_AT = r"(?:\x20*[\[({<]\x20*(?:at|@)\x20*[\])}>]\x20*|\x20+at\x20+|\x20+@\x20*|@\x20+)"
-_DOT = r"(?:\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+|\.)"
-_DISGUISED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}?)({_AT})([A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}})(?![A-Za-z0-9-])")
+_AT = re.compile(r"(?i)(?<!\x20)(?:\x20*+[\[({<]\x20*+(?:at|@)\x20*+[\])}>]\x20*+|\x20++at\x20++|\x20++@\x20*+|@\x20++)").finditer
+_DOT = r"(?:(?<!\x20)\x20*+[\[({<]\x20*+(?:dot|\.)\x20*+[\])}>]\x20*+|(?<!\x20)\x20++dot\x20++|\.)"
+#: What stands before an at, read backwards, and what follows it: names of any length, any number of them, between dots.
+_NAMES_BACK = re.compile(r"(?i)[A-Za-z0-9_%+-]++(?:(?:\x20*+[\])}>]\x20*+(?:tod|\.)\x20*+[\[({<]\x20*+|\x20++tod\x20++|\.)[A-Za-z0-9_%+-]++)*+").match
+_NAMES = re.compile(rf"(?i)[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++").match
 _DOT_ONCE = re.compile(f"(?i){_DOT}")
-_DOTTED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\x20*[\[({{<]\x20*(?:dot|\.)\x20*[\])}}>]\x20*|\x20+dot\x20+)[0-9]{{1,3}}){{3}}(?![0-9])")
+_WORDY = re.compile(r"(?i)\bdot\b|[\[({<]").search
+_DOTTED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\x20*+[\[({{<]\x20*+(?:dot|\.)\x20*+[\])}}>]\x20*+|\x20++dot\x20++)[0-9]{{1,3}}){{3}}(?![0-9])")
 _BRACKETED = re.compile(r"[\[({<]\x20*(?:at|@|dot|\.)\x20*[\])}>]").search
 _TWO_DIGIT_WORDS = re.compile(rf"(?:{_WORD})[\x20,.-]{{1,2}}(?:double[\x20]+|triple[\x20]+)?(?:{_WORD}|[0-9])").search
 
@@ -159,17 +165,24 @@ def _spelled_digits(tape: Tape) -> None:
 
 
 def _at_and_dot(tape: Tape) -> None:
-    edits = []
-    for m in _DISGUISED.finditer(tape.text):
-        plain_at, plain_dots = "@" in m[2] and m[2].strip() == "@" and " " not in m[2], not re.search(r"(?i)\bdot\b|[\[({<]", m[1] + m[3])
-        bracketed = re.search(r"[\[({<]", m[2]) is not None
-        if plain_at and plain_dots:
+    text, edits, done, before = tape.text, [], 0, 0
+    for m in _AT(text):
+        reach, before = max(done, before), m.end()  # names reach over no other at, so that each place is read once from either side
+        right = _NAMES(text, m.end())
+        left = right and _NAMES_BACK(text[reach : m.start()][::-1])
+        if not left:
+            continue
+        start, sign = m.start() - left.end(), m[0]
+        local, domain = text[start : m.start()], right[0]
+        plain_dots = not _WORDY(local + " " + domain)
+        if sign == "@" and plain_dots:
             continue
-        if not bracketed and "@" not in m[2] and plain_dots:
+        if not _WORDY(sign) and "@" not in sign and plain_dots:
             continue  # "at" as a word counts only with "dot" or brackets
-        edits += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _DOT_ONCE.finditer(m[1])]
-        edits.append((*m.span(2), "@"))
-        edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _DOT_ONCE.finditer(m[3])]
+        edits += [(start + d.start(), start + d.end(), ".") for d in _DOT_ONCE.finditer(local)]
+        edits.append((*m.span(), "@"))
+        edits += [(m.end() + d.start(), m.end() + d.end(), ".") for d in _DOT_ONCE.finditer(domain)]
+        done = right.end()
     for m in _DOTTED_IP.finditer(tape.text):
         edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT_ONCE.finditer(m[0])]
     tape.replace(sorted(edits))
@@ -177,7 +190,7 @@ def _at_and_dot(tape: Tape) -> None:
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans of identifiers that only the normalised text shows."""
-    odd, low = not text.isascii() and _ODD.search(text) is not None, text.lower()
+    odd, low = not text.isascii() and (_ODD_BASIC(text) is not None or _BEYOND(text) is not None and _ODD.search(text) is not None), text.lower()
     spelled = _TWO_DIGIT_WORDS(low) is not None
     around = " dot " in low or "@" in low and (" @" in low or "@ " in low) or _BRACKETED(low) is not None
     if not (odd or spelled or around):
