@@ -11,7 +11,8 @@ Lexicon, trees and calibration each learn from their own share of the sample, so
 the calibration see what the lexicon has memorised. Scoring is one pass over all whole texts.
 
 Null and empty texts have all features 0 and get the score of such. Without any label of one class the
-score is the prior. Texts without labels are scored alike; clashing extra columns are ignored.
+score is the prior. Texts without labels are scored alike; clashing extra columns are ignored. Of rows that share
+an id the least text is learned from; `held_out` is false for a row without an id.
 """
 
 from __future__ import annotations
@@ -278,10 +279,11 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30))
     drawn = wanted.where(draw < int((1 << 30) * min(1.0, sample / max(1, n))))
     # the draw bounds its size: about `sample` rows of two numbers
-    rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(drawn), id_col).select(id_col, "__text", "__y").collect()
-    rows.sort(key=lambda r: (r[id_col], r["__text"] or ""))
-    ids = np.array([hash(r[id_col]) for r in rows], np.int64).view(np.uint64)
-    shares = (mix64(ids) >> np.uint64(11)).astype(float) / 2**53
+    rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(drawn), id_col)
+    # of rows that share an id the least text stands for all, so that the draw's bound holds
+    rows = rows.groupBy(id_col).agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"), F.xxhash64(F.col(id_col), F.lit(19)).alias("__share")).collect()
+    rows.sort(key=lambda r: (r["__share"], r["__text"] or ""))
+    shares = (mix64(np.array([r["__share"] for r in rows], np.int64).view(np.uint64)) >> np.uint64(11)).astype(float) / 2**53
     return fit([r["__text"] or "" for r in rows], np.array([r["__y"] for r in rows], float), shares)
 
 
@@ -312,6 +314,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id") -> DataFrame:
     """id, held_out, score, predicted; labels of rows held out (crc32 of the id modulo 4 is 2) are never seen."""
-    held_out = fold(id_col, 4) == 2
+    held_out = F.coalesce(fold(id_col, 4) == 2, F.lit(False))  # labels are joined by id, so rows without one are never learned from
     model = train(docs, labels, ~held_out, id_col=id_col)
     return score(docs, model, id_col).select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
