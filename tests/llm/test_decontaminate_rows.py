@@ -17,3 +17,13 @@ def test_slices_equal_one_slice_on_null_and_repeated_ids(spark):
     kept = decontaminate.keep_clean(docs, bench, **many)
     assert kept.columns == docs.columns
     assert sorted(r.row_key for r in kept.collect()) == sorted(r.row_key for r in decontaminate.keep_clean(docs, bench, **one).collect()) == [1, 3, 4, 7]
+
+
+def test_items_without_an_id_hit_words(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "clean words only")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), ("", passage)], "item_id string, text string")
+    for slice_words in (2_000_000, 5):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench, slice_words=slice_words).collect()}
+        assert got == {1: (20, 1, True), 2: (0, 0, False)}
+        assert [r.doc_id for r in decontaminate.keep_clean(docs, bench.where("item_id is null"), slice_words=slice_words).collect()] == [2]

@@ -11,8 +11,8 @@ The index of the items is sent to the tasks only up to `slice_words` words; a la
 into slices by item, each joined in turn, and the hits of the slices are merged by document row: rows are
 written once with a key of their own, so that null and repeated ids stay apart.
 
-Nulls and texts without words have no windows and no hits. Repeated items count each by its item_id; a
-document's repeated passages are all hit. Ties of rarity go to the smaller hash, then the earlier place.
+Nulls and texts without words have no windows and no hits. Repeated items count each by its item_id; words of items
+without an item_id are hit, but such items are neither counted nor named. A document's repeated passages are all hit. Ties of rarity go to the smaller hash, then the earlier place.
 """
 
 from __future__ import annotations
@@ -93,14 +93,14 @@ class Index:
 
 def _slices(items: DataFrame, item_col: str, text_col: str, slice_words: int) -> Iterator[dict[str, list[bytes]]]:
     """Items in slices of about `slice_words` words at most, by the hash of the item."""
-    kept = items.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    kept = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = kept.agg(F.sum(F.length("text") - F.length(F.regexp_replace("text", "\\s+", "")) + 1)).first()[0] or 0
     n = int(-(-total // slice_words)) or 1
     for k in range(n):
-        part = kept.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else kept
+        part = kept.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else kept
         found: dict[str, list[bytes]] = {}
         for r in part.toLocalIterator():
-            found[f"{r.item}\0{len(found)}"] = words_of(r.text)  # an item_id may repeat
+            found[f"{'' if r.item is None else '=' + r.item}\0{len(found)}"] = words_of(r.text)  # an item_id may repeat, or be null
         if found:
             yield found
 
@@ -151,7 +151,7 @@ def find(words: list[bytes], index: Index, filters: dict[int, Filter]) -> tuple[
                 if first >= 0 and first + width <= len(words) and words[first : first + width] == index.items[item][start : start + width]:
                     spans.append((first, first + width))
                     items.add(item.rpartition("\0")[0])
-    return _merge(spans), items
+    return _merge(spans), {item[1:] for item in items if item}
 
 
 _HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
