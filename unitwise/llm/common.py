@@ -132,7 +132,7 @@ def steps(texts: pa.Array, size: int) -> Iterator[pa.Array]:
         start = stop
 
 
-def coded_words(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def coded_words(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     r"""The words [^\x20\x09-\x0D]+ of texts, A-Z in lower case, for some texts at a time: hashes, a number into these for each word, the bounds of each text.
 
     What stands between spaces is told apart by Arrow's dictionary encoding, so that each distinct string is hashed once."""
@@ -150,7 +150,7 @@ def coded_words(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[np.nda
             yield hashed, spread((np.cumsum(sizes) - sizes)[at], length), np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(n)))]
 
 
-def hashed_words(texts: pa.Array, size: int = 2_000_000) -> Iterator[np.ndarray]:
+def hashed_words(texts: pa.Array, size: int = 4_000_000) -> Iterator[np.ndarray]:
     """The word hashes of each text, as `word_hashes(byte_words(text))` gives them."""
     for hashed, at, cuts in coded_words(texts, size):
         flat, cuts = hashed[at], cuts.tolist()
