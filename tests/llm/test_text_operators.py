@@ -325,17 +325,31 @@ def test_near_vectors_reach_brute_force(spark):
     v = [c + g.normal(size=16) * s for c in centres for s in (0.0, 0.02, 0.1, 0.2, 0.25)] + [centres[0]] * 30 + list(g.normal(size=(200, 16)))
     rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)]
     n = len(rows)
+    table = spark.createDataFrame([(None, rows[0][1]), (None, None)] + rows, "vec_id long, embedding array<double>")
+    got = near_vectors.classes(table).where("vec_id is null or vec_id = 0").collect()
+    assert sorted((r.vec_id is None, r.n_links > 0, r.component_id, r.kept) for r in got if r.n_links) == [(False, True, 0, True), (True, True, 0, False)]
+    assert [(r.vec_id, r.component_id, r.kept) for r in got if not r.n_links] == [(None, None, False)]
     odd = [(n, None), (n + 1, []), (n + 2, [0.0] * 16), (n + 3, [float("nan")] * 16), (n + 4, [float("inf")] + [1.0] * 15), (n + 5, [None] + [1.0] * 15)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     x = np.array([r[1] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
-    for options in ({}, {"shard_rows": 60, "block_rows": 50}):
+    for options in ({}, {"shard_rows": 60, "block_rows": 50, "region_rows": 150}, {"shard_rows": 60, "block_rows": 50, "overlap": 9}):
         got = {r.vec_id: r for r in near_vectors.classes(table, **options).collect()}
         assert len(got) == n + len(odd)
         assert all((got[n + i].n_links, got[n + i].component_id, got[n + i].kept) == (0, n + i, True) for i in range(len(odd)))
         found = np.array([got[i].n_links for i in range(n)])
-        assert (found <= near.sum(1)).all() and found.sum() >= 0.95 * near.sum()
+        assert (found <= near.sum(1)).all() and found.sum() >= (1 if "overlap" in options else 0.95) * near.sum()  # more shards than allowed: the exact way
         assert all(got[i].component_id == got[0].component_id for i in range(300, 330))
     assert near_vectors.classes(table.where(F.lit(False))).count() == 0
+
+
+def test_graph_by_insertion_finds_nearest_neighbours():
+    g = np.random.default_rng(4)
+    x = near_vectors.unit(g.normal(size=(600, 12)))
+    lists = near_vectors.graph(x)
+    block = near_vectors.Block(x, lists)
+    best = [int(np.argsort(-(x @ q))[1]) for q in x]
+    assert max(map(len, lists)) < 200
+    assert np.mean([b in block.within(q, i, float(x[b] @ q) - 1e-9, 0.3) for i, (q, b) in enumerate(zip(x, best, strict=True))]) > 0.97

@@ -1,20 +1,26 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors are one node with a count. Nodes are dealt to overlapping shards: each to its `overlap` nearest
-of the centroids that k-means finds on a bounded sample. A shard of more than `block_rows` nodes is cut into
-blocks by hash. In each block every node's nearest candidates are robustly pruned to a few diverse
-neighbours, reverse edges are added, and what the medoid cannot reach is tied to it. The adjacency lists of
-a node from all its shards are united. Then every node is searched for in each block of its shards: a greedy
-walk from the medoid (and from its own place) towards it, and from there in all directions while similarity
-stays above the threshold less `slack`. Pairs count only if their cosine, in double precision, reaches the
-threshold; a pair that meets in two shards counts in the first. A block gives each node its number of links
-and the least node of its component there, so rows grow with nodes, never with pairs.
-
-Recall is audited against brute force for `audit` vectors over all rows; below `least_recall` the search is
-repeated with one more shard for each node, up to `max_overlap`.
+Equal vectors are one node, known by the 64-bit hash of its parts, with a count. Nodes are dealt to overlapping shards:
+each to its `overlap` nearest of the centroids that k-means finds on a bounded sample. A shard of more than `block_rows`
+nodes is cut into blocks by hash. A block's graph is built by insertion: batches of nodes are searched for, by a beam
+from the medoid, in the graph of those before them; what the beam holds is robustly pruned to a few diverse neighbours,
+reverse edges are added and pruned again where a list overflows, and a second turn inserts all nodes anew. The adjacency
+lists of a node from all its shards are united. Shards of near centroids form regions of some `region_rows` nodes, and
+there the united graph is walked over the borders of shards: greedily from the medoid (and from the node's own place)
+towards each node, and from there in all directions while similarity stays above the threshold less `slack`. Pairs count
+only if their cosine, in double precision, reaches the threshold; a pair that meets in two regions counts in the first. A
+region gives each node its number of links and the least node of its component there, so rows grow with nodes, never
+with pairs.
+
+Recall is audited against brute force: links between different vectors are counted for `audit` nodes over all nodes,
+and for more of them until `least_links` true links are seen. Below `least_recall` the search is repeated with one more
+shard for each node, up to `max_overlap`, and then by an exact comparison of all shards that the triangle inequality of
+angles does not rule out, block by block.
 
 Vectors that are null, empty, zero, or hold null or non-finite parts link with nothing. Shorter vectors
-count as padded with zeros. An empty table gives no rows. A block's work is bounded by `block_rows` squared.
+count as padded with zeros. Rows without an id link like others; `component_id` is the least id that is not null (null
+where there is none), and such rows are never `kept` in its place. An empty table gives no rows. Different vectors with
+equal hashes would be taken for copies. A group's work is bounded by `region_rows` and `block_rows` squared.
 """
 
 from __future__ import annotations
@@ -30,14 +36,14 @@ from .common import materialize, ship
 from .jaccard_join import roots
 
 
-def prune(x: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Robust pruning of each node's candidates (nearest first, all rows alike long) to `degree` neighbours; -1 pads."""
+def prune(x: np.ndarray, own: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Robust pruning of the candidates of the nodes `own` (nearest first; -1 pads) to `degree` neighbours; -1 pads."""
     out = np.full((len(near), degree), -1, np.int64)
     for i in range(0, len(near), 256):
-        own, cand = x[i : i + 256], near[i : i + 256]
+        cand = near[i : i + 256]
         c = x[cand]
-        far = 1 - np.einsum("nd,nkd->nk", own, c)
-        alive = np.ones(cand.shape, bool)
+        far = 1 - np.einsum("nd,nkd->nk", x[own[i : i + 256]], c)
+        alive = (cand >= 0) & (cand != own[i : i + 256, None])
         rows = np.arange(len(cand))
         for r in range(degree):
             some = alive.any(1)
@@ -55,41 +61,67 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(0)).argmax())
 
 
-def graph(x: np.ndarray, degree: int = 12, candidates: int = 40, alpha: float = 1.2) -> list[np.ndarray]:
-    """Adjacency lists of a block of unit vectors."""
-    n = len(x)
-    if n == 1:
-        return [np.empty(0, np.int64)]
-    k = min(candidates, n - 1)
-    near = np.empty((n, k), np.int64)
-    for i in range(0, n, 512):
-        s = x[i : i + 512] @ x.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        top = np.argpartition(-s, k - 1, 1)[:, :k]
-        near[i : i + 512] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), 1, kind="stable"), 1)
-    kept = prune(x, near, min(degree, k), alpha)
-    a = np.repeat(np.arange(n), kept.shape[1])
-    b = kept.reshape(-1)
-    a, b = a[b >= 0], b[b >= 0]
-    adjacency = _lists(np.concatenate((a, b)), np.concatenate((b, a)), n, 3 * degree)
-    centre, reached = medoid(x), np.zeros(n, bool)
-    _reach(adjacency, centre, reached)
-    ties = []
-    for i in range(n):
+def beam(x: np.ndarray, near: np.ndarray, start: int, q: np.ndarray, width: int) -> np.ndarray:
+    """The nodes that a beam search from `start` ends with for each query, nearest first; -1 pads."""
+    n, rows = len(q), np.arange(len(q))
+    pool, sims, open_ = np.full((n, width), -1, np.int64), np.full((n, width), -np.inf), np.zeros((n, width), bool)
+    pool[:, 0], sims[:, 0], open_[:, 0] = start, q @ x[start], True
+    live = rows
+    while len(live):
+        pick = np.where(open_[live], sims[live], -np.inf).argmax(1)
+        open_[live, pick] = False
+        cand = near[pool[live, pick]]
+        s = np.einsum("nkd,nd->nk", x[cand], q[live])
+        s[(cand < 0) | (cand[:, :, None] == pool[live][:, None, :]).any(2)] = -np.inf
+        every, value = np.concatenate((pool[live], cand), 1), np.concatenate((sims[live], s), 1)
+        flag = np.concatenate((open_[live], s > -np.inf), 1)
+        top = np.argsort(-value, 1, kind="stable")[:, :width]
+        pool[live], sims[live] = np.take_along_axis(every, top, 1), np.take_along_axis(value, top, 1)
+        open_[live] = np.take_along_axis(flag, top, 1) & (sims[live] > -np.inf)
+        live = live[open_[live].any(1)]
+    pool[sims == -np.inf] = -1
+    return pool
+
+
+def graph(x: np.ndarray, degree: int = 12, width: int = 32, alpha: float = 1.2, seed: int = 0) -> list[np.ndarray]:
+    """Adjacency lists of a block of unit vectors, by insertion in batches that double, in two turns."""
+    n, cap = len(x), 3 * degree
+    near, size = np.full((n, cap), -1, np.int64), np.zeros(n, np.int64)
+    order = np.concatenate(([medoid(x)], np.random.default_rng(seed).permutation(n)))
+    order = order[np.sort(np.unique(order, return_index=True)[1])]
+    centre = int(order[0])
+
+    def link(own: np.ndarray, found: np.ndarray) -> None:
+        kept = prune(x, own, found, degree, alpha)
+        a, b = np.repeat(own, degree), kept.reshape(-1)
+        a, b = a[b >= 0], b[b >= 0]
+        a, b = np.concatenate((a, b)), np.concatenate((b, a))
+        for i, j in dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)):
+            if (near[i, : size[i]] == j).any():
+                continue
+            if size[i] == cap:
+                full = near[i][np.argsort(-(x[near[i]] @ x[i]), kind="stable")]
+                less = prune(x, np.array([i]), full[None], degree, alpha)[0]
+                size[i] = (less >= 0).sum()
+                near[i] = -1
+                near[i, : size[i]] = less[: size[i]]
+            near[i, size[i]] = j
+            size[i] += 1
+
+    for turn in range(2):
+        done = 1 if turn == 0 else 0
+        while done < n:
+            own = order[done : done + (min(256, done) if turn == 0 else 256)]
+            link(own, beam(x, near, centre, x[own], width))
+            done += len(own)
+    reached = np.zeros(n, bool)
+    lists = [near[i, : size[i]].copy() for i in range(n)]
+    _reach(lists, centre, reached)
+    for i in range(n):  # what overflowing lists cut off is tied to the medoid
         if not reached[i]:
-            ties.append(i)
-            _reach(adjacency, i, reached)
-    if ties:
-        adjacency[centre] = np.union1d(adjacency[centre], ties)
-    return adjacency
-
-
-def _lists(a: np.ndarray, b: np.ndarray, n: int, most: int) -> list[np.ndarray]:
-    """Lists of b by a, each without repeats and at most `most` long, those given first before others."""
-    order = np.argsort(a, kind="stable")
-    cuts = np.searchsorted(a[order], np.arange(n + 1))
-    b = b[order]
-    return [np.array(list(dict.fromkeys(b[cuts[i] : cuts[i + 1]].tolist()))[:most], np.int64) for i in range(n)]
+            lists[centre] = np.append(lists[centre], i)
+            _reach(lists, i, reached)
+    return lists
 
 
 def _reach(adjacency: list[np.ndarray], start: int, reached: np.ndarray) -> None:
@@ -97,7 +129,7 @@ def _reach(adjacency: list[np.ndarray], start: int, reached: np.ndarray) -> None
     reached[start] = True
     while len(front):
         new = np.unique(np.concatenate([adjacency[i] for i in front.tolist()]))
-        front = new[~reached[new]]
+        front = new[~reached[new]].astype(np.int64)
         reached[front] = True
 
 
@@ -179,51 +211,71 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarr
 VALID = "v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
 
 
-def _search(nodes: DataFrame, width: int, threshold: float, overlap: int, shard_rows: int, block_rows: int, slack: float, sample: int, max_centroids: int) -> DataFrame:
-    """(node, n, root) rows: links by count of copies, and the least node of the component in a block."""
-    spark = nodes.sparkSession
+_FOUND = "node long, k long, n long, root long"
+
+
+def _found(node: list, k: list, n: list, root: list) -> pa.Table:
+    return pa.table({"node": pa.array(node, pa.int64()), "k": pa.array(k, pa.int64()), "n": pa.array(n, pa.int64()), "root": pa.array(root, pa.int64())})
+
+
+def _centres(nodes: DataFrame, width: int, shard_rows: int, sample: int, max_centroids: int) -> np.ndarray:
+    """Centroids of shards, from a bounded sample of nodes; one that says nothing where one shard holds all."""
     total = nodes.count()
     k = int(min(max_centroids, max(1, total // shard_rows)))
     draw = F.pmod(F.xxhash64("node", F.lit(71)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))
     drawn = nodes.where(draw).select("node", "v").toPandas().sort_values("node") if k > 1 else None
     k = 1 if drawn is None else min(k, len(drawn))
-    c = np.ones((1, width)) if k <= 1 else centroids(unit(np.array([np.pad(v, (0, width - len(v))) for v in drawn["v"]])), k)
-    sent = spark.sparkContext.broadcast(c)
+    return np.ones((1, width)) if k <= 1 else centroids(unit(np.array([np.pad(v, (0, width - len(v))) for v in drawn["v"]])), k)
+
+
+def _blocks(dealt: DataFrame, key: str, rows: int) -> DataFrame:
+    """dealt with the number of blocks of its group and its own block, by hash."""
+    sizes = dealt.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    return dealt.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _search(nodes: DataFrame, c: np.ndarray, width: int, threshold: float, overlap: int, shard_rows: int, region_rows: int, block_rows: int, slack: float) -> DataFrame:
+    """(node, k, n, root) rows: links to other vectors, links by count of copies, and the least node of the component in a region."""
+    spark = nodes.sparkSession
+    n_regions = -(-len(c) * shard_rows // region_rows)
+    of = np.zeros(len(c), np.int64) if n_regions <= 1 else (c @ centroids(c, n_regions).T).argmax(1)
+    sent = spark.sparkContext.broadcast((c, of))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, of = sent.value
         for b in batches:
-            s = unit(matrix(b.column(2), width)) @ sent.value.T if b.num_rows else np.zeros((0, 1))
+            s = unit(matrix(b.column(2), width)) @ c.T if b.num_rows else np.zeros((0, 1))
             own = np.sort(np.argsort(-s, 1, kind="stable")[:, :overlap], 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(own), pa.list_(pa.int64()))], names=["node", "m", "v", "shards"])
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(own), lists), pa.array([np.unique(of[x]) for x in own], lists)], names=["node", "m", "v", "shards", "regions"])
 
-    dealt = nodes.select("node", "m", "v").mapInArrow(deal, "node long, m long, v array<double>, shards array<long>")
-    dealt = materialize(dealt.select("node", "m", "v", "shards", F.explode("shards").alias("shard")), "vectors-dealt")
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    dealt = dealt.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = nodes.select("node", "m", "v").mapInArrow(deal, "node long, m long, v array<double>, shards array<long>, regions array<long>")
+    dealt = materialize(dealt, "vectors-dealt")
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("node").to_numpy()
         lists = graph(unit(matrix(table.column("v"), width)))
         return pa.table({"node": ids, "near": pa.array([ids[a] for a in lists], pa.list_(pa.int64()))})
 
-    near = dealt.select("shard", "block", "node", "v").groupBy("shard", "block").applyInArrow(build, "node long, near array<long>")
-    united = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    held = dealt.join(materialize(united, "vectors-graph"), "node")
-    asked = dealt.select("shard", "blocks", "block", "node", "m", "v", "shards")
-    index = held.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "block", "node", "m", "v", "shards", "near", F.lit(0).alias("role"))
-    asking = asked.select("shard", F.col("block").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "m", "v", "shards", F.lit(None).cast("array<long>").alias("near"), F.lit(1).alias("role"))
+    sharded = _blocks(dealt.select(F.explode("shards").alias("shard"), "node", "v"), "shard", block_rows)
+    near = sharded.select("shard", "block", "node", "v").groupBy("shard", "block").applyInArrow(build, "node long, near array<long>")
+    united = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # one list for a shard of the node
+    held = dealt.join(materialize(united, "vectors-graph"), "node").select(F.explode("regions").alias("region"), "node", "m", "v", "regions", "near")
+    held = materialize(_blocks(held, "region", region_rows), "vectors-held")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    index = held.select("region", F.explode(others).alias("part"), "block", "node", "m", "v", "regions", "near", F.lit(0).alias("role"))
+    asking = held.select("region", F.col("block").alias("part"), F.explode(others).alias("block"), "node", "m", "v", "regions", F.lit(None).cast("array<long>").alias("near"), F.lit(1).alias("role"))
 
     def search(table: pa.Table) -> pa.Table:
         role, ids = table.column("role").to_numpy(), table.column("node").to_numpy()
-        x, shards = unit(matrix(table.column("v"), width)), table.column("shards").to_pylist()
+        x, regions = unit(matrix(table.column("v"), width)), table.column("regions").to_pylist()
         inside, asks = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        out_node, out_n, out_root = [], [], []
+        out_node, out_k, out_n, out_root = [], [], [], []
         if len(inside) and len(asks):
-            m, here = table.column("m").to_numpy()[inside], int(table.column("shard")[0].as_py())
+            m, here = table.column("m").to_numpy()[inside], int(table.column("region")[0].as_py())
             place = {node: i for i, node in enumerate(ids[inside].tolist())}
             near = table.column("near").take(pa.array(inside)).to_pylist()
             block = Block(x[inside], [np.array([place[j] for j in a if j in place], np.int64) for a in near])
-            first = [[shards[i][p] for p in range(len(shards[i]))] for i in inside.tolist()]
             label = ids.copy()  # the least node of the component, by place in the table
             for a in asks.tolist():
                 own = place.get(int(ids[a]))
@@ -231,9 +283,10 @@ def _search(nodes: DataFrame, width: int, threshold: float, overlap: int, shard_
                 found = found[found != own] if own is not None else found
                 if not len(found):
                     continue
-                mine = shards[a]
-                counted = [j for j in found.tolist() if min(s for s in first[j] if s in mine) == here] if len(mine) > 1 else found
+                mine = regions[a]
+                counted = [j for j in found.tolist() if min(r for r in regions[inside[j]] if r in mine) == here] if len(mine) > 1 else found
                 out_node.append(int(ids[a]))
+                out_k.append(len(counted))
                 out_n.append(int(m[counted].sum()) if len(counted) else 0)
                 rows = np.concatenate((inside[found], [a] if own is None else [a, inside[own]]))
                 seen = np.unique(label[rows])
@@ -241,50 +294,108 @@ def _search(nodes: DataFrame, width: int, threshold: float, overlap: int, shard_
                     label[np.isin(label, seen)] = seen[0]
             of = dict(zip(ids[asks].tolist(), label[asks].tolist(), strict=True))
             out_root = [of[v] for v in out_node]
-        return pa.table({"node": pa.array(out_node, pa.int64()), "n": pa.array(out_n, pa.int64()), "root": pa.array(out_root, pa.int64())})
+        return _found(out_node, out_k, out_n, out_root)
 
-    return index.unionByName(asking).groupBy("shard", "part", "block").applyInArrow(search, "node long, n long, root long")
+    return index.unionByName(asking).groupBy("region", "part", "block").applyInArrow(search, _FOUND)
 
 
-def _audit(vectors: DataFrame, nodes: DataFrame, counts: DataFrame, width: int, threshold: float, audit: int) -> float:
-    """Links found by share of those that brute force finds, over `audit` nodes drawn by hash and all vectors."""
-    total = nodes.count()
-    draw = F.pmod(F.xxhash64("node", F.lit(97)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, audit / max(1, total)))
-    asked = nodes.where(draw).select("node", "m", "v").join(counts, "node", "left").select("node", "m", "v", F.coalesce("n", F.lit(0)).alias("n")).collect()
-    if not asked:
-        return 1.0
-    sent = vectors.sparkSession.sparkContext.broadcast(unit(np.array([np.pad(np.array(r.v, float), (0, width - len(r.v))) for r in asked])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value), np.int64)
+def _exact(nodes: DataFrame, c: np.ndarray, width: int, threshold: float, block_rows: int) -> DataFrame:
+    """As `_search`, by comparing all blocks of all pairs of shards whose angles allow a link: no link is missed."""
+    spark = nodes.sparkSession
+    sent = spark.sparkContext.broadcast(unit(c))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                total += ((unit(matrix(b.column(0), width)) @ sent.value.T) >= threshold).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
+            s = unit(matrix(b.column(2), width)) @ sent.value.T if b.num_rows else np.zeros((0, 1))
+            angle = np.arccos(np.clip(s.max(1), -1, 1)) if b.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.argmax(1) if b.num_rows else [], pa.int64()), pa.array(angle, pa.float64())], names=["node", "m", "v", "shard", "angle"])
+
+    dealt = materialize(_blocks(nodes.select("node", "m", "v").mapInArrow(deal, "node long, m long, v array<double>, shard long, angle double"), "shard", block_rows), "vectors-dealt")
+    sizes = {r["shard"]: (r["radius"], r["blocks"]) for r in dealt.groupBy("shard").agg(F.max("angle").alias("radius"), F.max("blocks").alias("blocks")).collect()}  # a row for a shard
+    used = sorted(sizes)
+    unit_c, radius = unit(c)[used], np.array([sizes[s][0] for s in used])
+    between = np.arccos(np.clip(unit_c @ unit_c.T, -1, 1)) - radius[:, None] - radius[None, :]
+    first, second = np.nonzero(np.triu(between <= np.arccos(min(1.0, threshold)) + 1e-9))
+    pairs = [(used[i], p, used[j], q) for i, j in zip(first.tolist(), second.tolist(), strict=True) for p in range(sizes[used[i]][1]) for q in range(sizes[used[j]][1]) if i < j or p <= q]
+    pairs = F.broadcast(spark.createDataFrame(pairs, "s1 long, p1 int, s2 long, p2 int"))
+    side = lambda s, p, role: dealt.join(pairs, (F.col("shard") == F.col(s)) & (F.col("block") == F.col(p))).select("s1", "p1", "s2", "p2", "node", "m", "v", F.lit(role).alias("role"))
+    both = side("s1", "p1", 0).unionByName(side("s2", "p2", 1).where("s1 <> s2 or p1 <> p2"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        role, ids, m = table.column("role").to_numpy(), table.column("node").to_numpy(), table.column("m").to_numpy()
+        x = unit(matrix(table.column("v"), width))
+        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        right = right if len(right) else left
+        k, n, label = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), ids.copy()
+        for i in range(0, len(left), 512):
+            near = x[left[i : i + 512]] @ x[right].T >= threshold
+            if right is left:
+                near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+            k[left[i : i + 512]] += near.sum(1)
+            n[left[i : i + 512]] += near @ m[right]
+            if right is not left:
+                k[right] += near.sum(0)
+                n[right] += m[left[i : i + 512]] @ near
+            for a in np.flatnonzero(near.any(1)).tolist():
+                seen = np.unique(label[np.append(right[near[a]], left[i + a])])
+                if len(seen) > 1:
+                    label[np.isin(label, seen)] = seen[0]
+        at = np.flatnonzero(k)
+        return _found(ids[at].tolist(), k[at].tolist(), n[at].tolist(), label[at].tolist())
 
-    true = {r.i: r.n for r in vectors.select("v").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    wanted = sum(true.get(i, 1) - 1 for i in range(len(asked)))
-    found = sum(r.n + r.m - 1 for r in asked)
-    return found / wanted if wanted else 1.0
+    return both.groupBy("s1", "p1", "s2", "p2").applyInArrow(compare, _FOUND)
 
 
-def classes(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int = 2, max_overlap: int = 4, shard_rows: int = 1000, block_rows: int = 4000, slack: float = 0.1, sample: int = 8000, max_centroids: int = 4096, audit: int = 256, least_recall: float = 0.95) -> DataFrame:
+def _audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, audit: int, least_links: int) -> float:
+    """Links found between different vectors by share of those that brute force finds, over nodes drawn by hash and all nodes."""
+    total = nodes.count()
+    while True:
+        draw = F.pmod(F.xxhash64("node", F.lit(97)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, audit / max(1, total)))
+        asked = nodes.where(draw).select("node", "v").join(counts, "node", "left").select("v", F.coalesce("k", F.lit(0)).alias("k")).collect()
+        if not asked:
+            return 1.0
+        sent = nodes.sparkSession.sparkContext.broadcast(unit(np.array([np.pad(np.array(r.v, float), (0, width - len(r.v))) for r in asked])))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(sent.value), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    total += ((unit(matrix(b.column(0), width)) @ sent.value.T) >= threshold).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
+
+        true = {r.i: r.n for r in nodes.select("v").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+        wanted = sum(true.get(i, 1) - 1 for i in range(len(asked)))
+        if wanted >= least_links or audit >= min(total, 4096):
+            return sum(r.k for r in asked) / wanted if wanted else 1.0
+        audit *= 4
+
+
+def classes(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int = 2, max_overlap: int = 4, shard_rows: int = 1000, region_rows: int = 8000, block_rows: int = 4000, slack: float = 0.1, sample: int = 8000, max_centroids: int = 4096, audit: int = 256, least_links: int = 100, least_recall: float = 0.95) -> DataFrame:
     """One row for each row of the table: id, n_links, component_id, kept (it is its component's least id), audit_recall."""
-    spark = ship(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    valid = rows.where(VALID)
-    nodes = materialize(valid.groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("m")), "vectors-nodes")
+    ship(table.sparkSession)
+    parts = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # no negative zero
+    rows = table.select(F.col(id_col).cast("long").alias("id"), parts.alias("v"))
+    valid = rows.where(VALID).withColumn("node", F.xxhash64("v"))
+    nodes = materialize(valid.groupBy("node").agg(F.first("v").alias("v"), F.min("id").alias("least"), F.count(F.lit(1)).alias("m")), "vectors-nodes")
     width = nodes.agg(F.max(F.size("v"))).first()[0]
     if width is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
+        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"), F.lit(1.0).alias("audit_recall"))
+    c = _centres(nodes, width, shard_rows, sample, max_centroids)
     while True:
-        found = materialize(_search(nodes, width, threshold, overlap, shard_rows, block_rows, slack, sample, max_centroids), "vectors-found")
-        counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-        recall = _audit(valid, nodes, counts, width, threshold, audit)
-        if recall >= least_recall or overlap >= max_overlap:
+        if overlap <= max_overlap:
+            found = _search(nodes, c, width, threshold, overlap, shard_rows, region_rows, block_rows, slack)
+        else:
+            found = _exact(nodes, c, width, threshold, block_rows)
+        found = materialize(found, "vectors-found")
+        counts = found.groupBy("node").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+        recall = _audit(nodes, counts, width, threshold, audit, least_links)
+        if recall >= least_recall or overlap > max_overlap:
             break
         overlap += 1
-    component = roots(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = nodes.join(counts, "node", "left").join(component.withColumnRenamed("e", "node"), "node", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    result = valid.join(known, "v").select("id", "n_links", "component_id").unionByName(rows.where(f"not coalesce({VALID}, false)").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
-    return result.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
+    component = roots(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("e", "node")
+    known = nodes.select("node", "least", "m").join(counts, "node", "left").join(component, "node", "left")
+    known = materialize(known.select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "vectors-known")
+    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(named, "root").select("node", "n_links", "component_id")
+    result = valid.select("id", "node").join(known, "node").select("id", "n_links", "component_id").unionByName(rows.where(f"not coalesce({VALID}, false)").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return result.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
