@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, ship
 
-CONTEXT, STRIDE, TRAINED = 20, 240, 48
+CONTEXT, STRIDE, TRAINED = 16, 320, 48
 PAD = 256
 _LETTER = re.compile(r"[^\W\d_]").search
 
@@ -89,7 +89,7 @@ class BiGru:
     languages: list[str]
 
     @classmethod
-    def new(cls, languages: list[str], hidden: int = 16, seed: int = 0) -> BiGru:
+    def new(cls, languages: list[str], hidden: int = 8, seed: int = 0) -> BiGru:
         rng = np.random.default_rng(seed)
         p = {}
         for d in "fb":
@@ -126,36 +126,48 @@ class BiGru:
         q = np.exp(logits - logits.max(2, keepdims=True))
         return q / q.sum(2, keepdims=True)
 
-    def _logits(self, x: np.ndarray, d: str, shortest: int, out: np.ndarray) -> None:
-        """Adds one direction's part to the logits (time, window, language). No padding stands before `shortest`."""
-        e, u, b, v = self.p[f"E{d}"], self.p[f"U{d}"], self.p[f"b{d}"], self.p["V"]
-        k = u.shape[0]
-        v = v[:k] if d == "f" else v[k:]
-        # exp alone is cheap: a gate is 1 / (1 + exp(-a)), and tanh(a) is 2 / (1 + exp(-2 a)) - 1
+    def _logits(self, x: np.ndarray, shortest: int) -> np.ndarray:
+        """Logits (time, language, window) of windows whose padding, at the end, begins at `shortest` or later.
+
+        Windows lie along the last axis, so that every step works on long runs of memory, and both directions go together:
+        one reads place t, the other place T - 1 - t. exp alone is cheap: a gate is 1 / (1 + exp(-a)), tanh(a) is
+        2 / (1 + exp(-2 a)) - 1. Padding read backwards leaves the state at zero; read forwards it comes after all places."""
+        k, (n, length) = len(self.p["Uf"]), x.shape
         scale = np.repeat(np.float32([-1, -2]), [2 * k, k])
-        e, u, b = e * scale, u * scale, b * scale[2 * k :]
-        h, states = np.zeros((len(x), k), np.float32), np.empty((x.shape[1], len(x), k), np.float32)
+        e = [np.ascontiguousarray((self.p[f"E{d}"] * scale).T) for d in "fb"]
+        u = np.stack([(self.p[f"U{d}"] * scale).T for d in "fb"])
+        b = np.stack([self.p[f"b{d}"] * scale[2 * k :] for d in "fb"])[:, :, None]
         by_time = np.ascontiguousarray(x.T)
-        for t in range(len(by_time)) if d == "f" else range(len(by_time) - 1, -1, -1):
-            a, r = e.take(by_time[t], 0), h @ u
-            gates = a[:, : 2 * k] + r[:, : 2 * k]
+        h, a, r = np.zeros((2, k, n), np.float32), np.empty((2, 3 * k, n), np.float32), np.empty((2, 3 * k, n), np.float32)
+        states = np.empty((2, length, k, n), np.float32)
+        for t in range(length):
+            back = length - 1 - t
+            np.take(e[0], by_time[t], 1, a[0], "clip")
+            np.take(e[1], by_time[back], 1, a[1], "clip")
+            np.matmul(u, h, out=r)
+            gates, new = a[:, : 2 * k], r[:, 2 * k :]
+            gates += r[:, : 2 * k]
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            new = r[:, 2 * k :] + b
+            new += b
             new *= gates[:, k:]
             new += a[:, 2 * k :]
             np.exp(new, out=new)
             new += 1
-            np.divide(2, new, out=new)
+            np.divide(np.float32(2), new, out=new)
             new -= 1
             h -= new
             h *= gates[:, :k]
             h += new
-            if t >= shortest:
-                h[by_time[t] == PAD] = 0  # padding stands at the end only: behind a text, or before it when read backwards
-            states[t] = h
-        out += states @ v
+            if back >= shortest:
+                h[1] *= by_time[back] != PAD
+            states[0, t], states[1, back] = h[0], h[1]
+        v = self.p["V"].T
+        out = np.matmul(v[:, :k], states[0])
+        out += np.matmul(v[:, k:], states[1])
+        out += self.p["c"][:, None]
+        return out
 
     def pooled(self, texts: list[bytes], most: int = 1024) -> np.ndarray:
         """The sum of the probabilities of all positions of each text."""
@@ -166,17 +178,14 @@ class BiGru:
         for i in range(0, len(order), most):
             part = order[i : i + most]
             w = x[part, : length[part].max()]
-            logits = np.empty((w.shape[1], len(w), len(self.languages)), np.float32)
-            logits[:] = self.p["c"]
             with np.errstate(over="ignore"):
-                for d in "fb":
-                    self._logits(w, d, int(length[part].min()), logits)
-            logits -= logits.max(2, keepdims=True)
-            q = np.exp(logits, out=logits)
-            q /= q.sum(2, keepdims=True)
+                q = self._logits(w, int(length[part].min()))
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
+            q /= q.sum(1, keepdims=True)
             t = np.arange(len(q))[:, None]
-            q *= ((t >= first[part]) & (t < last[part]))[:, :, None]
-            np.add.at(out, owner[part], q.sum(0))
+            q *= ((t >= first[part]) & (t < last[part]))[:, None, :]
+            np.add.at(out, owner[part], q.sum(0).T)
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
