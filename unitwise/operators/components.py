@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
+SALTS = 8
+
+
+def written(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder, so that lineage ends and a lost executor costs nothing."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="unitwise-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex[:12]}"
@@ -24,15 +29,17 @@ def _written(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): each node of edges (a, b), and of `nodes`, with the least node of its component.
 
-    Label propagation with pointer jumping; both steps are aggregations, so a hub is no hot task."""
-    both = _written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    Label propagation with pointer jumping. Edges are dealt by both ends' salted keys, so that a hub's edges lie in
+    `SALTS` tasks; its label is sent to each of them."""
+    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     changed = 1
     while changed:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        known = labels.select(F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        near = both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(known, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = _written(lower.join(jump, "c").select("node", "old", F.least("c", "cc").alias("component")))
+        new = written(lower.join(jump, "c").select("node", "old", F.least("c", "cc").alias("component")))
         changed = new.where("old <> component").limit(1).count()
         labels = new.drop("old")
     if nodes is not None:

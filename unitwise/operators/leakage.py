@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,18 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str, vector: st
     return scored.select(key, best.alias("similarity"), "ss").select(key, F.filter("ss", lambda s: s["sim"] == F.col("similarity"))[0]["name"].alias("nearest"), "similarity")
 
 
-def similarity_pairs(rows: DataFrame, key: str, vector: str, threshold: float, block: str | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b and dot above the threshold, exactly. `block` limits pairs to rows of one block by an equi-join."""
-    names = [F.col(block).alias("block")] if block else [F.lit(0).alias("block")]
-    side = lambda x: rows.select(F.col(key).alias(x), F.col(vector).alias(f"v{x}"), *names)
-    return side("a").join(side("b"), "block").where("a < b").select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") > threshold)
+def similarity_pairs(rows: DataFrame, key: str, vector: str, threshold: float, block: str | None = None, salts: int = 4) -> DataFrame:
+    """(a, b, similarity) with a < b and dot of unit vectors above the threshold, exactly. `block` limits pairs to rows of one block.
+
+    Vectors whose angles to their block's mean differ by more than acos(threshold) cannot pass, so rows meet only in the
+    same or a neighbouring ring of that width; a ring's rows are dealt over salts * salts tasks. Zero vectors pass nothing."""
+    width = float(math.acos(max(-1.0, min(1.0, threshold)))) + 1e-9
+    placed = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(block).alias("block") if block else F.lit(0).alias("block"))
+    pivot = vector_mean(placed, ["block"], "v").select("block", unit(F.col("mean")).alias("p"))  # one row for a block
+    cosine = F.least(F.greatest(dot(F.col("v"), F.col("p")), F.lit(-1.0)), F.lit(1.0))
+    ringed = placed.join(pivot, "block").select("k", "v", "block", F.floor(F.acos(cosine) / width).cast("int").alias("ring"), F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int").alias("salt"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    a = ringed.select(F.col("k").alias("a"), F.col("v").alias("va"), "block", "ring", F.col("salt").alias("sa")).withColumn("sb", every)
+    b = ringed.select(F.col("k").alias("b"), F.col("v").alias("vb"), "block", F.explode(F.sequence(F.col("ring") - 1, F.col("ring") + 1)).alias("ring"), F.col("salt").alias("sb")).withColumn("sa", every)
+    pairs = a.join(b, ["block", "ring", "sa", "sb"]).where("a < b")
+    return pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") > threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import centre, dot, draw, unit
+from .components import written
 
 
 def triplets(frames: DataFrame, folder: str, index: str, key: str) -> DataFrame:
@@ -69,3 +70,18 @@ def numbering(frames: DataFrame, folder: str, index: str) -> DataFrame:
     g = frames.where(F.col(index).isNotNull()).groupBy(folder).agg(F.countDistinct(index).alias("n"), F.min(index).alias("lo"), F.max(index).alias("hi"))
     span = F.col("hi") - F.col("lo") + 1
     return g.select(folder, "n", "lo", "hi", span.alias("span"), (span - F.col("n")).alias("missing"), (span == F.col("n")).alias("contiguous"))
+
+
+def with_before(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """rows with `before`: the value of the row before in (by, order), null for a group's first. No group has to fit one task.
+
+    Rows are dealt by ranges of (by, order) and written; inside a range a window looks back, and the first row of a
+    range takes the last one of the ranges before it, of which there is one row each."""
+    dealt = written(rows.repartitionByRange(by, order).withColumn("part", F.spark_partition_id()))
+    last = dealt.groupBy("part").agg(F.max_by(F.struct(F.col(by).alias("g"), F.col(value).alias("x")), F.struct(by, order)).alias("last"))
+    edge = last.select("part", F.lag("last").over(Window.orderBy("part")).alias("edge"))
+    w = Window.partitionBy("part").orderBy(by, order)
+    here = F.lag(F.struct(F.col(by).alias("g"), F.col(value).alias("x"))).over(w)
+    near = F.coalesce(here, F.col("edge"))
+    looked = dealt.join(F.broadcast(edge), "part").withColumn("near", near)
+    return looked.select(*rows.columns, F.when(F.col("near.g") == F.col(by), F.col("near.x")).alias("before"))

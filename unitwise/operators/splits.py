@@ -10,28 +10,34 @@ def shuffled(seed: str | int, *key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def grouped_split(frames: DataFrame, frac: float, seed: int = 0, by: str = "class", unit: str = "unit") -> DataFrame:
+def grouped_split(frames: DataFrame, frac: float, seed: int | str = 0, by: str = "class", unit: str = "unit", runs: tuple[str, ...] = ()) -> DataFrame:
     """frames with side: of each class's units, the first max(1, round half even(frac * n)) in drawn order are test.
 
-    Only the distinct units are ranked; they come back by a join on class and unit."""
-    units = frames.select(by, unit).distinct()
-    w = Window.partitionBy(by)
+    Only the distinct units are ranked; they come back by a join on class and unit. Rows of several `runs` are split
+    apart; `seed` may name one of these columns."""
+    units = frames.select(*runs, by, unit).distinct()
+    w = Window.partitionBy(*runs, by)
     n_test = F.greatest(F.lit(1), F.bround(F.lit(frac) * F.count(F.lit(1)).over(w)).cast("int"))
-    sided = units.withColumn("side", F.when(F.row_number().over(w.orderBy(shuffled(seed, by, unit), unit)) <= n_test, "test").otherwise("train"))
-    return frames.join(sided, [by, unit])
-
-
-def random_split(frames: DataFrame, frac: float, seed: int = 0, key: str = "frame_id", buckets: int = 256) -> DataFrame:
-    """frames with side: the first round half even(frac * n) rows in drawn order are test.
-
-    The cut is found from row counts by md5 prefix, so only the rows of the one bucket that holds it are ranked."""
-    drawn = frames.withColumn("h", shuffled(seed, key)).withColumn("bucket", F.substring("h", 1, 2))
-    counts = drawn.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    edges = counts.select("bucket", "c", F.sum("c").over(Window.orderBy("bucket")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))  # 256 rows
-    edges = edges.withColumn("cut", F.bround(F.lit(frac) * F.col("n")).cast("long")).withColumn("before", F.col("upto") - F.col("c"))
-    placed = drawn.join(F.broadcast(edges), "bucket")
+    drawn = shuffled(seed, by, unit) if seed not in runs else F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (seed, by, unit)]))
+    sided = units.withColumn("side", F.when(F.row_number().over(w.orderBy(drawn, unit)) <= n_test, "test").otherwise("train"))
+    return frames.join(sided, [*runs, by, unit])
+
+
+def random_split(frames: DataFrame, frac: float, seed: int | str = 0, key: str = "frame_id", runs: tuple[str, ...] = (), cut: str = "round") -> DataFrame:
+    """frames with side: the first frac * n rows in drawn order (rounded half to even, or down for cut = "down") are test.
+
+    The cut is found from row counts by md5 prefix, so only the rows of the one bucket that holds it are ranked. Rows of
+    several `runs` are split apart; `seed` may name one of these columns."""
+    drawn = shuffled(seed, key) if seed not in runs else F.md5(F.concat_ws("|", F.col(seed).cast("string"), F.col(key).cast("string")))
+    drawn = frames.withColumn("h", drawn).withColumn("bucket", F.substring("h", 1, 2))
+    counts = drawn.groupBy(*runs, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    of_run = Window.partitionBy(*runs)
+    edges = counts.select(*runs, "bucket", "c", F.sum("c").over(of_run.orderBy("bucket")).alias("upto"), F.sum("c").over(of_run).alias("n"))  # 256 rows for a run
+    at = F.lit(frac) * F.col("n")
+    edges = edges.withColumn("cut", (F.bround(at) if cut == "round" else F.floor(at)).cast("long")).withColumn("before", F.col("upto") - F.col("c"))
+    placed = drawn.join(F.broadcast(edges), [*runs, "bucket"])
     inside = (F.col("before") < F.col("cut")) & (F.col("cut") < F.col("upto"))
-    ranked = placed.where(inside).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("h", key)))
+    ranked = placed.where(inside).withColumn("r", F.row_number().over(Window.partitionBy(*runs, "bucket").orderBy("h", key)))
     ranked = ranked.withColumn("side", F.when(F.col("before") + F.col("r") <= F.col("cut"), "test").otherwise("train")).drop("r")
     whole = placed.where(~inside).withColumn("side", F.when(F.col("upto") <= F.col("cut"), "test").otherwise("train"))
     return ranked.unionByName(whole).select(*frames.columns, "side")
@@ -56,12 +62,21 @@ def grouped_folds(frames: DataFrame, k: int, by: str = "class", unit: str = "uni
 
 
 def random_folds(frames: DataFrame, folds: DataFrame, seed: int = 0, by: str = "class", key: str = "frame_id") -> DataFrame:
-    """frames with a fold drawn by row, each class's folds as large as those of `folds` (from grouped_folds)."""
+    """frames with a fold drawn by row, each class's folds as large as those of `folds` (from grouped_folds).
+
+    As in `random_split`, only the rows of md5 buckets that hold a cut between folds are ranked, never a whole class."""
     sizes = folds.groupBy(by, "fold").agg(F.sum("n").alias("size"))
-    upto = sizes.select(by, "fold", F.sum("size").over(Window.partitionBy(by).orderBy("fold")).alias("upto"), "size")
-    ranked = frames.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(shuffled(seed, key), key)))
-    hit = ranked.join(F.broadcast(upto), by).where((F.col("r") <= F.col("upto")) & (F.col("r") > F.col("upto") - F.col("size")))
-    return hit.select(*frames.columns, "fold")
+    upto = sizes.select(by, F.struct(F.sum("size").over(Window.partitionBy(by).orderBy("fold")).alias("upto"), "fold").alias("f"))
+    ends = upto.groupBy(by).agg(F.array_sort(F.collect_list("f")).alias("ends"))  # one entry for a fold
+    drawn = frames.withColumn("h", shuffled(seed, key)).withColumn("bucket", F.substring("h", 1, 2))
+    counts = drawn.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    edges = counts.withColumn("last", F.sum("c").over(Window.partitionBy(by).orderBy("bucket"))).withColumn("before", F.col("last") - F.col("c"))
+    fold_of = lambda rank: F.filter("ends", lambda e: e["upto"] >= rank)[0]["fold"]
+    edges = edges.join(ends, by).withColumn("one", fold_of(F.col("before") + 1) == fold_of(F.col("last")))
+    placed = drawn.join(F.broadcast(edges), [by, "bucket"])  # 256 rows for a class
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(by, "bucket").orderBy("h", key))
+    ranked = placed.where("not one").withColumn("rank", rank).withColumn("fold", fold_of(F.col("rank"))).drop("rank")
+    return placed.where("one").withColumn("fold", fold_of(F.col("last"))).unionByName(ranked).select(*frames.columns, "fold")
 
 
 def straddling(sided: DataFrame, unit: str = "unit") -> DataFrame:
@@ -72,16 +87,10 @@ def straddling(sided: DataFrame, unit: str = "unit") -> DataFrame:
 def hold_out_unit(frames: DataFrame, target: str, val_frac: float = 0.15, seed: int = 0, unit: str = "unit", key: str = "frame_id") -> DataFrame:
     """frames with side: the target unit is test; the first int(val_frac * n) others in drawn order are val; the rest train."""
     others = frames.where(F.col(unit) != target)
-    val = random_split(others, 0.0, seed, key) if val_frac == 0 else _first(others, val_frac, seed, key, "val")
+    val = random_split(others, val_frac, seed, key, cut="down").withColumn("side", F.when(F.col("side") == "test", "val").otherwise("train"))
     return val.unionByName(frames.where(F.col(unit) == target).withColumn("side", F.lit("test")))
 
 
-def _first(frames: DataFrame, frac: float, seed: int, key: str, label: str) -> DataFrame:
-    n = frames.count()
-    target = int(frac * n)
-    return random_split(frames, (target / n) if n else 0.0, seed, key).withColumn("side", F.when(F.col("side") == "test", label).otherwise("train"))
-
-
 def coverage_split(frames: DataFrame, target: str, condition: str, seed: int = 0, unit: str = "unit", key: str = "frame_id") -> DataFrame:
     """frames with side: the target's second half is test; its first half trains if condition is half_in, else is left out; all others train."""
     own = frames.where(F.col(unit) == target)
@@ -93,3 +102,17 @@ def balance(sided: DataFrame, by: str = "class") -> DataFrame:
     """Rows by side and class, with their share of the side."""
     counted = sided.groupBy("side", by).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("side")))
+
+
+def validated(sided: DataFrame, frac: float = 0.15, seed: int = 0, grouped: bool = True, by: str = "class", unit: str = "unit", key: str = "frame_id") -> DataFrame:
+    """sided with a validation side carved from its train rows: of each class's units (grouped), or of the rows."""
+    train = sided.where("side = 'train'").drop("side")
+    carved = grouped_split(train, frac, seed, by, unit) if grouped else random_split(train, frac, seed, key)
+    carved = carved.withColumn("side", F.when(F.col("side") == "test", "val").otherwise("train"))
+    return carved.select(sided.columns).unionByName(sided.where("side <> 'train'"))
+
+
+def first_of(frames: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
+    """The first n rows of each group in the given order; groups are cut before their rows are gathered."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return frames.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")

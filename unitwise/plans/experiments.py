@@ -257,10 +257,12 @@ def dominant_shape(spark, d):
     return D.dominant_shape(s, ["lang"], ["n_lines"], "doc_id")
 
 
-@query("h4_grouped_folds", """WITH RECURSIVE u AS (SELECT lang AS class, lang || '/' || source AS unit, count(*) AS n FROM documents GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY n DESC, unit) AS i FROM u),
+DEALT = """u AS (SELECT lang AS class, lang || '/' || source AS unit, count(*) AS n FROM documents GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY n DESC, unit) AS i FROM u),
 w AS (SELECT class, CAST(0 AS BIGINT) AS i, [0::BIGINT, 0, 0, 0, 0] AS load, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS fold FROM o GROUP BY class
-  UNION ALL SELECT w.class, o.i, list_transform(load, lambda v, j: CASE WHEN j = list_position(load, list_min(load)) THEN v + o.n ELSE v END), o.unit, o.n, CAST(list_position(load, list_min(load)) - 1 AS BIGINT) FROM w JOIN o ON w.class = o.class AND o.i = w.i + 1)
-SELECT class, unit, n, fold FROM w WHERE i > 0""")
+  UNION ALL SELECT w.class, o.i, list_transform(load, lambda v, j: CASE WHEN j = list_position(load, list_min(load)) THEN v + o.n ELSE v END), o.unit, o.n, CAST(list_position(load, list_min(load)) - 1 AS BIGINT) FROM w JOIN o ON w.class = o.class AND o.i = w.i + 1)"""
+
+
+@query("h4_grouped_folds", f"WITH RECURSIVE {DEALT} SELECT class, unit, n, fold FROM w WHERE i > 0")
 def grouped_folds(spark, d):
     return P.grouped_folds(documents_as_frames(spark, d), 5)
 
@@ -269,7 +271,9 @@ def documents_as_frames(spark, d):
     return B.table(spark, d, "documents").select(F.col("lang").alias("class"), F.concat_ws("/", "lang", "source").alias("unit"), F.col("doc_id").alias("frame_id"))
 
 
-@query("h5_random_folds")
+@query("h5_random_folds", f"""WITH RECURSIVE {DEALT}, z AS (SELECT class, fold, sum(n) AS size FROM w WHERE i > 0 GROUP BY ALL), q AS (SELECT class, fold, size, sum(size) OVER (PARTITION BY class ORDER BY fold) AS upto FROM z),
+d AS (SELECT lang AS class, concat_ws('/', lang, source) AS unit, doc_id AS frame_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws('|', '3', doc_id)), doc_id) AS r FROM documents)
+SELECT d.class, unit, frame_id, fold FROM d JOIN q ON d.class = q.class AND r <= upto AND r > upto - size""")
 def random_folds(spark, d):
     f = documents_as_frames(spark, d)
     return P.random_folds(f, P.grouped_folds(f, 5), 3)

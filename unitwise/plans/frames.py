@@ -204,9 +204,19 @@ def leakage_gap(spark, d):
     return rounded(L.gap(vectors(spark, d), "v"))
 
 
-@query("i17_sampled_pairs")
+def drawn(seed: str, key: str) -> str:
+    """SQL of `arrays.draw` before the remainder is taken."""
+    return f"CAST(('0x' || substr(md5(concat_ws('|', '{seed}', {key})), 1, 8)) AS BIGINT)"
+
+
+SAMPLED = f"""n AS (SELECT count(*) AS n FROM u), pl AS (SELECT frame_id, v, {drawn('0p', 'frame_id')} % n AS pos FROM u, n),
+ask AS (SELECT {drawn('0a', 'id')} % n AS pa, {drawn('0b', 'id')} % n AS pb FROM (SELECT unnest(range(2000)) AS id), n),
+sp AS (SELECT list_inner_product(a.v, b.v) AS similarity FROM ask JOIN pl a ON a.pos = pa JOIN pl b ON b.pos = pb WHERE a.frame_id <> b.frame_id)"""
+
+
+@query("i17_sampled_pairs", f"WITH {EMB}, {SAMPLED} SELECT count(*) AS n, round(avg(similarity), 6) + 0.0 AS mean, round(quantile_cont(similarity, 0.95), 6) + 0.0 AS p95 FROM sp")
 def sampled_pairs(spark, d):
-    return L.sampled_pairs(vectors(spark, d), "frame_id", "v", 2000).agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"), F.percentile("similarity", 0.95).alias("p95"))
+    return rounded(L.sampled_pairs(vectors(spark, d), "frame_id", "v", 2000).agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"), F.percentile("similarity", 0.95).alias("p95")))
 
 
 @query("c11_top_cells", f"""WITH {EMB}, t AS (SELECT frame_id, cells, list_max(cells) AS peak, list_transform(list_sort(list_transform(cells, lambda x, i: {{'v': -x, 'i': i}}))[1:12], lambda s: s.i) AS k FROM e),
@@ -228,24 +238,30 @@ def nearest_centroid(spark, d):
     return rounded(L.nearest_centroid(v, L.vector_mean(v, ["class"], "v").withColumnRenamed("class", "name"), "frame_id", "v"))
 
 
-@query("d5_similarity_pairs", f"WITH {EMB} SELECT a.frame_id AS a, b.frame_id AS b, round(list_inner_product(a.v, b.v), 6) + 0.0 AS similarity FROM u a JOIN u b ON a.class = b.class AND a.frame_id < b.frame_id WHERE list_inner_product(a.v, b.v) > 0.6")
+@query("d5_similarity_pairs", f"WITH {EMB} SELECT a.frame_id AS a, b.frame_id AS b, round(list_inner_product(a.v, b.v), 6) + 0.0 AS similarity FROM u a JOIN u b ON a.class = b.class AND a.frame_id < b.frame_id WHERE list_inner_product(a.v, b.v) > 0.3")
 def similarity_pairs(spark, d):
-    return rounded(L.similarity_pairs(vectors(spark, d), "frame_id", "v", 0.6, block="class"))
+    return rounded(L.similarity_pairs(vectors(spark, d), "frame_id", "v", 0.3, block="class"))
 
 
-@query("e12_components", f"""WITH RECURSIVE {EMB}, p AS (SELECT a.frame_id AS a, b.frame_id AS b FROM u a JOIN u b ON a.class = b.class AND a.frame_id <> b.frame_id WHERE list_inner_product(a.v, b.v) > 0.6),
+@query("e12_components", f"""WITH RECURSIVE {EMB}, p AS (SELECT a.frame_id AS a, b.frame_id AS b FROM u a JOIN u b ON a.class = b.class AND a.frame_id <> b.frame_id WHERE list_inner_product(a.v, b.v) > 0.3),
 r(node, seen) AS (SELECT frame_id, frame_id FROM u UNION SELECT r.node, p.b FROM r JOIN p ON r.seen = p.a)
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def components(spark, d):
     v = vectors(spark, d)
-    return CC.components(L.similarity_pairs(v, "frame_id", "v", 0.6, block="class"), v.select(F.col("frame_id").alias("node")))
+    return CC.components(L.similarity_pairs(v, "frame_id", "v", 0.3, block="class"), v.select(F.col("frame_id").alias("node")))
 
 
-@query("e13_threshold_sweep")
+@query("e13_threshold_sweep", f"""WITH RECURSIVE {EMB}, t AS (SELECT unnest([0.28, 0.3, 0.32, 0.35]) AS threshold),
+p AS (SELECT a.frame_id AS a, b.frame_id AS b, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.class = b.class AND a.frame_id <> b.frame_id WHERE list_inner_product(a.v, b.v) > 0.28),
+r(threshold, node, seen) AS (SELECT threshold, frame_id, frame_id FROM u, t UNION SELECT r.threshold, r.node, p.b FROM r JOIN p ON r.seen = p.a AND p.s > r.threshold),
+l AS (SELECT threshold, node, min(seen) AS component FROM r GROUP BY ALL), z AS (SELECT threshold, component, count(*) AS size FROM l GROUP BY ALL),
+g AS (SELECT threshold, CAST(sum(size) AS BIGINT) AS n, count(*) AS n_components, max(size) AS largest, count(*) FILTER (WHERE size = 1) AS singletons,
+  coalesce(sum(size) FILTER (WHERE size > 1), 0) / sum(size) AS frac_in_multi FROM z GROUP BY threshold)
+SELECT CAST(threshold AS DOUBLE) AS threshold, n, n_components, largest, singletons, round(frac_in_multi, 6) + 0.0 AS frac_in_multi, round(frac_in_multi * (1 - largest / n), 6) + 0.0 AS score FROM g""")
 def threshold_sweep(spark, d):
     v = vectors(spark, d)
-    pairs = CC._written(L.similarity_pairs(v, "frame_id", "v", 0.6, block="class"))
-    return rounded(CC.sweep(pairs, v.select(F.col("frame_id").alias("node")), [0.6, 0.7, 0.8, 0.9]))
+    pairs = CC.written(L.similarity_pairs(v, "frame_id", "v", 0.28, block="class"))
+    return rounded(CC.sweep(pairs, v.select(F.col("frame_id").alias("node")), [0.28, 0.3, 0.32, 0.35]))
 
 
 @query("e7_unit_headroom_spread", f"WITH {FRAMES}, {LINEAR}, h AS (SELECT unit, median(headroom) AS m FROM feat GROUP BY unit) SELECT unit % 5 AS g, count(*) AS n_units, round(median(m), 6) + 0.0 AS median_headroom, round(max(m) - min(m), 6) + 0.0 AS spread FROM h GROUP BY ALL")

@@ -13,7 +13,7 @@ from ..operators import sequences as S
 from ..sources import bindings as B
 from ..streaming.triplets import remaining
 from .experiments import PRED, files, predictions
-from .frames import EMB, FRAMES, LINEAR, featured, frames, sided_turns, vectors
+from .frames import EMB, FRAMES, LINEAR, SAMPLED, SIDED, featured, frames, sided_turns, vectors
 from .registry import query, r6, rounded
 
 FOLDS = f"""{EMB}, rows AS (SELECT frame_id, class, unit, v, p AS protocol, CAST(('0x' || substr(md5(concat_ws('|', '6', CASE WHEN p = 'grouped' THEN unit ELSE CAST(frame_id AS VARCHAR) END)), 1, 8)) AS BIGINT) % 5 AS fold FROM u, (SELECT unnest(['grouped', 'random']) AS p))"""
@@ -74,18 +74,22 @@ def compression_grid(spark, d):
 HALF = "('0x' || substr(md5(concat_ws('|', '8', frame_id)), 1, 8))::BIGINT % 2 = 0"
 
 
-@query("j9_coverage", f"""WITH {EMB}, s AS (SELECT frame_id, class, unit, v, {HALF} AS half FROM u), x AS (SELECT frame_id, class, unit, half, unnest(v) AS x, unnest(range(64)) AS pos FROM s),
+COVER = f"""{EMB}, s AS (SELECT frame_id, class, unit, v, {HALF} AS half FROM u), x AS (SELECT frame_id, class, unit, half, unnest(v) AS x, unnest(range(64)) AS pos FROM s),
 k AS (SELECT unit, c AS condition FROM (SELECT DISTINCT unit FROM u), (SELECT unnest(['held_out', 'half_in']) AS c)),
 m AS (SELECT k.unit, condition, class, pos, avg(x) AS m FROM k JOIN x ON x.unit <> k.unit OR (condition = 'half_in' AND half) GROUP BY ALL),
 c0 AS (SELECT unit, condition, class AS y_pred, list(m ORDER BY pos) AS m FROM m GROUP BY ALL), c1 AS (SELECT unit, condition, y_pred, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS c FROM c0),
 p AS (SELECT s.class, s.unit, condition, frame_id, y_pred, row_number() OVER (PARTITION BY condition, frame_id ORDER BY list_inner_product(v, c) DESC, y_pred DESC) AS r FROM s JOIN c1 USING (unit) WHERE NOT half),
-g AS (SELECT class, unit, count(*) // 2 AS n, avg(CAST(class = y_pred AS DOUBLE)) FILTER (WHERE condition = 'held_out') AS held_out, avg(CAST(class = y_pred AS DOUBLE)) FILTER (WHERE condition = 'half_in') AS half_in FROM p WHERE r = 1 GROUP BY ALL)
-SELECT class, unit, n, round(held_out, 6) + 0.0 AS held_out, round(half_in, 6) + 0.0 AS half_in, round(half_in - held_out, 6) + 0.0 AS recovery FROM g""")
+g AS (SELECT class, unit, count(*) // 2 AS n, avg(CAST(class = y_pred AS DOUBLE)) FILTER (WHERE condition = 'held_out') AS held_out, avg(CAST(class = y_pred AS DOUBLE)) FILTER (WHERE condition = 'half_in') AS half_in FROM p WHERE r = 1 GROUP BY ALL)"""
+
+
+@query("j9_coverage", f"WITH {COVER} SELECT class, unit, n, round(held_out, 6) + 0.0 AS held_out, round(half_in, 6) + 0.0 AS half_in, round(half_in - held_out, 6) + 0.0 AS recovery FROM g")
 def coverage(spark, d):
     return rounded(X.coverage(vectors(spark, d).select("frame_id", "class", "unit", "v"), A.draw(8, F.col("frame_id"), 2) == 0))
 
 
-@query("i16_recovery_summary")
+@query("i16_recovery_summary", f"""WITH {COVER}, d AS (SELECT class, held_out, half_in - held_out AS recovery FROM g)
+SELECT class, count(*) AS n_units, round(median(recovery), 6) + 0.0 AS median, round(avg(recovery), 6) + 0.0 AS mean, round(coalesce(stddev_samp(recovery), 0), 6) + 0.0 AS sd, round(max(recovery), 6) + 0.0 AS most,
+CASE WHEN stddev_pop(held_out) > 0 AND stddev_pop(recovery) > 0 THEN round(corr(held_out, recovery), 6) + 0.0 END AS pearson FROM d GROUP BY class""")
 def recovery_summary(spark, d):
     c = X.coverage(vectors(spark, d).select("frame_id", "class", "unit", "v"), A.draw(8, F.col("frame_id"), 2) == 0)
     g = c.groupBy("class").agg(F.count(F.lit(1)).alias("n_units"), F.median("recovery").alias("median"), F.avg("recovery").alias("mean"), M.sd0("recovery").alias("sd"), F.max("recovery").alias("most"), M.pearson(F.col("held_out"), F.col("recovery")).alias("pearson"))
@@ -102,15 +106,29 @@ def arms(spark, d):
     return t.join(x("before", "b"), "before").join(x("centre", "single"), "centre").join(x("after", "a"), "after").select("centre", "single", F.col("b").alias("before"), F.col("a").alias("after"))
 
 
-@query("f5_clean_overlap", "SELECT CAST(0 AS BIGINT) AS n_touching, CAST(0 AS BIGINT) AS n_reached FROM conversations LIMIT 1")
+@query("f5_clean_overlap", f"""WITH {SIDED}, p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, id) AS pos FROM sided),
+c AS (SELECT a.id AS centre, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.pos - b.pos), b.pos) AS r FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.side = b.side AND a.id <> b.id WHERE a.side = 'train'),
+w AS (SELECT id AS centre, id AS other FROM p WHERE side = 'train' UNION ALL SELECT centre, other FROM c WHERE r <= 2), h AS (SELECT centre, other FROM w JOIN sided ON other = id WHERE sided.side = 'test')
+SELECT (SELECT count(DISTINCT centre) FROM h) AS n_touching, (SELECT count(DISTINCT other) FROM h) AS n_reached, (SELECT count(*) FROM p WHERE side = 'train') AS n_train""")
 def clean_overlap(spark, d):
     """The clean arm never reaches a test frame from a training window."""
     turns = sided_turns(spark, d)
     c = S.clean_companions(turns, "conv_id", "turn", "id", "side").withColumnRenamed("id", "centre")
-    return S.overlap(c, turns, "id", ["first", "second"]).select("n_touching", "n_reached")
+    return S.overlap(c, turns, "id", ["first", "second"]).select("n_touching", "n_reached", "n_train")
+
+
+def _gap_of_top(k: int) -> str:
+    """SQL of the leakage gap where all but the k largest cells are dropped."""
+    return f"""(WITH t AS (SELECT class, unit, frame_id, cells, list_max(cells) AS peak, list_transform(list_sort(list_transform(cells, lambda x, i: {{'v': -x, 'i': i}}))[1:{k}], lambda s: s.i) AS k FROM e),
+r AS (SELECT class, unit, frame_id, list_transform(cells, lambda x, i: CASE WHEN list_contains(k, i) THEN x - peak ELSE 0.0 END) AS r FROM t), c AS (SELECT class, unit, frame_id, list_transform(r, lambda x: x - list_sum(r) / len(r)) AS c FROM r),
+x0 AS (SELECT class, unit, frame_id, list_transform(c, lambda x: x / CASE WHEN list_inner_product(c, c) > 0 THEN sqrt(list_inner_product(c, c)) ELSE 1 END) AS v FROM c),
+k AS (SELECT class, unit FROM x0 GROUP BY ALL HAVING count(*) > 1), x AS (SELECT x0.* FROM x0 JOIN k USING (class, unit)), m AS (SELECT class, count(*) AS n_units FROM k GROUP BY class HAVING count(*) > 1),
+p AS (SELECT a.class, a.unit = b.unit AS same, list_inner_product(a.v, b.v) AS s FROM x a JOIN x b ON a.class = b.class AND a.frame_id <> b.frame_id)
+SELECT class, any_value(n_units) AS n_units, round(avg(s) FILTER (WHERE same), 6) + 0.0 AS within, round(avg(s) FILTER (WHERE NOT same), 6) + 0.0 AS across,
+round(avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same), 6) + 0.0 AS gap, CAST({k} AS BIGINT) AS top_k FROM p JOIN m USING (class) GROUP BY class)"""
 
 
-@query("i18_leakage_by_top_k")
+@query("i18_leakage_by_top_k", f"WITH {EMB} " + " UNION ALL ".join(map(_gap_of_top, (6, 12, 24))))
 def leakage_by_top_k(spark, d):
     v = vectors(spark, d).drop("v")
     out = None
@@ -162,15 +180,15 @@ def colour_bounds(spark, d):
 
 
 @query("f7_orderings", f"""WITH {EMB}, o AS (SELECT frame_id, v, o, CASE o WHEN 'number' THEN lpad(CAST(frame_id AS VARCHAR), 12, '0') WHEN 'text' THEN CAST(frame_id AS VARCHAR) ELSE class || lpad(CAST(frame_id AS VARCHAR), 12, '0') END AS k FROM u, (SELECT unnest(['number', 'text', 'class']) AS o)),
-a AS (SELECT o, list_inner_product(v, lag(v) OVER (PARTITION BY o, left(k, 1) ORDER BY k)) AS s FROM o)
+a AS (SELECT o, list_inner_product(v, lag(v) OVER (PARTITION BY o ORDER BY k)) AS s FROM o)
 SELECT o AS ordering, round(avg(s), 6) + 0.0 AS adjacent FROM a GROUP BY o""")
 def orderings(spark, d):
-    """Mean similarity of neighbours under several orders; windows are cut by the key's first character, so none holds all rows."""
+    """Mean similarity of neighbours under several orders; ranges of each order are dealt to tasks, the rows at their ends carried over."""
     pad = F.lpad(F.col("frame_id").cast("string"), 12, "0")
     made = F.array(*[F.struct(F.lit(n).alias("ordering"), k.alias("k")) for n, k in (("number", pad), ("text", F.col("frame_id").cast("string")), ("class", F.concat("class", pad)))])
     rows = vectors(spark, d).select("v", F.explode(made).alias("x")).select("v", "x.*")
-    w = Window.partitionBy("ordering", F.substring("k", 1, 1)).orderBy("k")
-    return rounded(rows.select("ordering", A.dot(F.col("v"), F.lag("v").over(w)).alias("s")).groupBy("ordering").agg(F.avg("s").alias("adjacent")))
+    near = S.with_before(rows, "ordering", "k", "v")
+    return rounded(near.select("ordering", A.dot(F.col("v"), F.col("before")).alias("s")).groupBy("ordering").agg(F.avg("s").alias("adjacent")))
 
 
 @query("g8_largest_folder", """WITH g AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source DESC) AS r FROM g) SELECT lang, source, n FROM r WHERE r = 1""")
@@ -190,10 +208,10 @@ def worst_units(spark, d):
     return rounded(g.orderBy("recall", "unit").limit(52))
 
 
-@query("a10_remaining_units", "SELECT DISTINCT l_suppkey AS unit FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0)")
+@query("a10_remaining_units", "SELECT DISTINCT l_suppkey AS unit FROM lineitem WHERE l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 5000 = 0)")
 def remaining_units(spark, d):
     p = predictions(spark, d)
-    return remaining(p.select("unit").distinct(), p.where("frame_id div 10 % 50 = 0"))
+    return remaining(p.select("unit").distinct(), p.where("frame_id div 10 % 5000 = 0"))
 
 
 @query("a11_shapes", """SELECT lang || '/' || source AS folder, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, count(*) AS n FROM documents GROUP BY ALL""")
@@ -241,11 +259,12 @@ def units_by_class(spark, d):
     return u.groupBy("class").agg(F.count(F.lit(1)).alias("n_units"), F.sum("folders").alias("n_folders"), F.count_if(F.col("folders") > 1).alias("n_multi"))
 
 
-@query("f8_adaptive_threshold")
+@query("f8_adaptive_threshold", f"""WITH {EMB}, {SAMPLED}, a AS (SELECT list_inner_product(v, lag(v) OVER (PARTITION BY class ORDER BY frame_id)) AS s FROM u), m AS (SELECT (SELECT median(s) FROM a) AS adjacent, (SELECT median(similarity) FROM sp) AS random)
+SELECT round(adjacent, 6) + 0.0 AS adjacent, round(random, 6) + 0.0 AS random, round(random + 0.5 * (adjacent - random), 6) + 0.0 AS threshold FROM m""")
 def adaptive_threshold(spark, d):
     """Random median plus half its distance to the median of neighbours."""
     v = vectors(spark, d)
-    near = S.adjacency(v, "class", "frame_id", "frame_id", F.col("cells")).agg(F.median("corr").alias("adjacent"))
+    near = S.with_before(v.select("class", "frame_id", "v"), "class", "frame_id", "v").agg(F.median(A.dot(F.col("v"), F.col("before"))).alias("adjacent"))
     random = L.sampled_pairs(v, "frame_id", "v", 2000).agg(F.median("similarity").alias("random"))
     return rounded(near.join(random).select("adjacent", "random", (F.col("random") + 0.5 * (F.col("adjacent") - F.col("random"))).alias("threshold")))
 
@@ -282,7 +301,10 @@ def additive_excess(spark, d):
     return rounded(g.select("*", (F.col("joint_drop") - both).alias("excess"), (F.col("joint_drop") > 1.8 * both).alias("more_than_additive")))
 
 
-@query("j7_label_check")
+@query("j7_label_check", f"""WITH {EMB}, m AS (SELECT class, pos, avg(x) AS m FROM (SELECT class, unnest(v) AS x, unnest(range(64)) AS pos FROM u WHERE NOT unit LIKE '%/3') GROUP BY ALL),
+c0 AS (SELECT class, list(m ORDER BY pos) AS m FROM m GROUP BY class), c AS (SELECT class AS nearest, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS c FROM c0),
+s AS (SELECT frame_id, nearest, list_inner_product(v, c) AS sim FROM u, c WHERE unit LIKE '%/3'), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY sim DESC, nearest) AS r FROM s)
+SELECT nearest, count(*) AS n, round(avg(sim), 6) + 0.0 AS similarity FROM r WHERE r = 1 GROUP BY nearest""")
 def label_check(spark, d):
     """By class: how near a target unit's frames are to each class's centroid, the target left out of the centroids."""
     v = vectors(spark, d)
