@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from unitwise.plans import experiments, frames, studies  # noqa: F401
+from unitwise.plans import experiments, frames, protocols, studies  # noqa: F401
 from unitwise.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("UNITWISE_TABLES", "/root/testdata/sf0.001")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import KEYWORDS, class_of, last_number, short_name, unit_of
+from ..operators.splits import straddling, validated
 
 
 def parse_matrix(text: Column) -> Column:
@@ -24,20 +27,76 @@ def parse_matrix(text: Column) -> Column:
     return F.coalesce(parsed(","), parsed(r"\s+"), parsed(";"))
 
 
-def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("csv", "txt", "dat"), keywords: tuple[tuple[str, str], ...] = KEYWORDS) -> DataFrame:
-    """Every data file below root whose path names a class: path, class, folder, name (last folder), unit, frame_idx, content.
+def _below(spark: SparkSession, path: Column, root: str) -> Column:
+    """The components of a file's path below the root, the file's own name last."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    depth = len([x for x in re.sub("^[a-z0-9+.-]+:/+", "", whole).split("/") if x])
+    return F.slice(F.filter(F.split(F.regexp_replace(path, "^[a-z0-9+.-]+:/+", ""), "/"), lambda x: x != ""), depth + 1, 1 << 20)
+
 
-    The class is that of the last path component that names one; unmapped files fall away."""
-    glob = "*.{" + ",".join(x for s in suffixes for x in (s, s.upper())) + "}"
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
-    files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    parts = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+def read_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("csv", "txt", "dat"), keywords: tuple[tuple[str, str], ...] = KEYWORDS) -> DataFrame:
+    """Every data file below root whose path below it names a class: path, class, folder, name (last folder), unit, frame_idx, content.
+
+    Suffixes match whatever their case. The class is that of the last folder that names one; unmapped files fall away.
+    Spark's readers pass over files without a byte; `empty_files` lists these."""
+    glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    files = raw.select("path", F.col("content").cast("string").alias("content"), _below(spark, F.col("path"), root).alias("parts"))
+    parts = F.slice("parts", 1, F.size("parts") - 1)
     classes = F.filter(F.transform(parts, lambda p: class_of(p, keywords)), lambda c: c.isNotNull())
     folder = F.array_join(parts, "/")
     out = files.select("path", F.when(F.size(classes) > 0, F.element_at(classes, -1)).alias("class"), folder.alias("folder"), "content").where("class is not null")
     return out.select("path", "class", "folder", short_name(F.col("folder")).alias("name"), unit_of(F.col("folder")).alias("unit"), last_number(short_name(F.col("path"))).alias("frame_idx"), "content")
 
 
+def empty_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("csv", "txt", "dat")) -> DataFrame:
+    """(path, error) of the data files below root that hold nothing, from the file system's own listing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and f.getPath().getName().lower().endswith(tuple(f".{s}" for s in suffixes)):
+            found.append((f.getPath().toString(), "empty"))
+    return spark.createDataFrame(found, "path string, error string")
+
+
+def probe(files: DataFrame, folder: str, path: str, n: int) -> DataFrame:
+    """At most n (two or more) evenly spaced files of each folder in the order of their paths, with place; all files of smaller folders."""
+    w = Window.partitionBy(folder)
+    placed = files.withColumn("place", F.row_number().over(w.orderBy(path)) - 1).withColumn("n_files", F.count(F.lit(1)).over(w))
+    j = F.ceil(F.col("place") * (n - 1) / (F.col("n_files") - 1)).cast("long")  # the one step that can fall on this place
+    hit = F.floor(j * (F.col("n_files") - 1) / F.lit(n - 1))
+    return placed.where((F.col("n_files") <= n) | (hit == F.col("place"))).drop("n_files")
+
+
+def manifest(files: DataFrame, n: int | None = 60) -> DataFrame:
+    """(path, class, folder, place, numbers in the name, n_rows, n_cols, low, high, mean, error) of evenly spaced files of each folder (n None: of all)."""
+    chosen = probe(files, "folder", "path", n or 1 << 40)
+    m = chosen.withColumn("m", parse_matrix(F.col("content")))
+    cells = F.col("m.cells")
+    mean = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x) / F.size(cells)
+    error = F.when(F.length(F.trim("content")) == 0, "empty").when(F.col("m").isNull(), "no matrix of numbers")
+    return m.select("path", "class", "folder", "place", F.regexp_extract_all(short_name(F.col("path")), F.lit("([0-9]+)"), 1).alias("numbers"), "m.n_rows", "m.n_cols", F.array_min(cells).alias("low"), F.array_max(cells).alias("high"), mean.alias("mean"), error.alias("error"))
+
+
+def shapes_and_failures(files: DataFrame, n: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(folder, n_rows, n_cols, n) of evenly spaced files, and the (folder, path, error) of those that hold no matrix."""
+    m = manifest(files, n)
+    return m.where("error is null").groupBy("folder", "n_rows", "n_cols").agg(F.count(F.lit(1)).alias("n")), m.where("error is not null").select("folder", "path", "error")
+
+
+def dataset(files: DataFrame, sides: DataFrame, val_frac: float = 0.15, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames with sides, the files set aside, and the units that stand on several sides (none, or the split is at fault).
+
+    sides: (class, unit, side). Files are parsed, those of the most frequent shape are kept, and of each class's train
+    units a share goes to validation."""
+    frames, rest = frames_of(files)
+    sided = frames.join(sides.select("class", "unit", "side"), ["class", "unit"])
+    carved = validated(sided, val_frac, seed, key="path")
+    return carved, rest, straddling(carved.withColumn("unit", F.concat_ws("/", "class", "unit")))
+
+
 def frames_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(frames, quarantine): parsed files of the most frequent shape, and those that did not parse or have another shape."""
     parsed = files.withColumn("m", parse_matrix(F.col("content"))).drop("content")
@@ -54,8 +113,14 @@ def write_frames(frames: DataFrame, path: str) -> None:
 
 
 def write_split(sided: DataFrame, path: str, protocol: str, seed: int) -> None:
-    """Appends a split, one folder for each protocol and seed."""
-    sided.withColumns({"protocol": F.lit(protocol), "seed": F.lit(seed)}).write.partitionBy("protocol", "seed").mode("append").parquet(path)
+    """Writes a split, one folder for each protocol and seed; one written before under the same names is replaced."""
+    named = sided.withColumns({"protocol": F.lit(protocol), "seed": F.lit(seed)})
+    named.write.partitionBy("protocol", "seed").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, protocol: str, seed: int) -> DataFrame:
+    """A split as it was written."""
+    return spark.read.parquet(path).where((F.col("protocol") == protocol) & (F.col("seed") == seed)).drop("protocol", "seed")
 
 
 def read_reports(spark: SparkSession, folder: str, candidates: dict[str, list[str]]) -> DataFrame:
