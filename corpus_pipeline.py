@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitwise.llm import bpe, decontaminate, jaccard_join, pii, toxicity
-from unitwise.llm.common import fold, materialize, table
+from unitwise.llm.common import discard, fold, materialize, table
 
 #: Rows of the pipeline's result have no SQL equivalent (learned scores, disguised identifiers, BPE).
 ORACLE_SQL = None
@@ -51,8 +51,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to the documents of a folder. A stage's table goes once the next one's is written."""
+    docs, made = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if made is not None:
+            discard(made)
+        made = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -64,7 +64,10 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def set_hash(s: np.ndarray) -> int:
-    return int(mix64(np.array([mix64(s + U(0x51)).sum(dtype=np.uint64) + U(len(s) * 0xA24BAED4963EE407 & MASK)]))[0].view(np.int64)) if len(s) else 0
+    if not len(s):
+        return 0
+    total = int(mix64(s + U(0x51)).sum(dtype=np.uint64)) + len(s) * 0xA24BAED4963EE407 & MASK
+    return int(mix64(np.array([total], np.uint64))[0].view(np.int64))
 
 
 @dataclass
