@@ -50,7 +50,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class BytePairCodec:
     """Encodes and decodes with one rank file. Memos are bounded and shared by all texts of a worker."""
 
-    def __init__(self, path: str, pattern: str, memo_limit: int = 250_000):
+    def __init__(self, path: str, pattern: str, memo_limit: int = 120_000):
         import ahocorasick
 
         self.ranks = load_ranks(path)
@@ -195,7 +195,7 @@ class ChunkIds:
     text are told apart by Arrow's dictionary encoding, so that Python sees each distinct chunk once, and only those not
     met of late are encoded (a memo in two generations)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, tail: str = "", step: int = 4_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, tail: str = "", step: int = 6_000_000):
         """tail: characters that never share a piece with a letter before them; words are then known without them."""
         self.encode, self.limit, self.tail, self.step = encode, limit // 2, tail, step
         self.memo: dict[str, bytes] = {}
@@ -215,11 +215,11 @@ class ChunkIds:
             new = list(set(asked).difference(kept))
             made = dict(zip(new, self.encode([" " + w for w in new]), strict=True))
             made.update((w, self.old[w]) for w in kept)
+            for i, raw in zip(missing, map(made.__getitem__, asked), strict=True):
+                found[i] = raw
             self.memo.update(made)
             for w in [w for w in new if len(w) > 64]:  # a long one is rarely seen again
                 del self.memo[w]
-            for i, raw in zip(missing, map(made.__getitem__, asked), strict=True):
-                found[i] = raw
         return found
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -240,6 +240,7 @@ class ChunkIds:
             flat, cuts = self._ids(part, end)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 yield flat[a:b]
+            pa.default_memory_pool().release_unused()
 
     def _ids(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts together, and the bounds of each.
@@ -258,19 +259,21 @@ class ChunkIds:
             marked = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
             tails = pc.replace_substring_regex(words.take(pa.array(marked)), self.to_tail, "").dictionary_encode()
             words = pc.if_else(cut, bare, words)
+            del bare, cut
         coded = words.dictionary_encode()
+        del words
         entries = self.known(coded.dictionary.to_pylist())
         place = len(entries)
         entries += self.encode(values.take(pa.array(first)).to_pylist())
-        every = np.empty(len(values), np.int64)
+        every = np.empty(len(values), np.int32)
         every[first], every[rest] = place + np.arange(len(n)), coded.indices.to_numpy()
-        width = np.ones(len(values), np.int64)  # entries of each chunk: a second one for what follows the word
+        width = np.ones(len(values), np.int32)  # entries of each chunk: a second one for what follows the word
         if len(marked):
             width[np.flatnonzero(rest)[marked]] = 2
         if end is not None:
             width[first + n - 1] += 1
         at = np.cumsum(width) - width
-        order = np.empty(int(width.sum()), np.int64)
+        order = np.empty(int(width.sum()), np.int32)
         order[at] = every
         if len(marked):
             order[at[np.flatnonzero(rest)[marked]] + 1] = len(entries) + tails.indices.to_numpy()
@@ -295,7 +298,7 @@ def encode_lines(encode: Callable[[str], np.ndarray]) -> Callable[[list[str]], l
         words, body = string.split(), string.removeprefix(" ")
         return len(words) if words and "\n".join(words) == body else 0
 
-    def run(strings: list[str]) -> list[bytes]:
+    def some(strings: list[str]) -> list[bytes]:
         lines = [1 if s[1:].isalpha() else lines_of(s) for s in strings]
         plain = strings if all(lines) else [s for s, n in zip(strings, lines, strict=True) if n]
         out: list[bytes] = []
@@ -313,6 +316,9 @@ def encode_lines(encode: Callable[[str], np.ndarray]) -> Callable[[list[str]], l
         rest = iter(out)
         return [next(rest) if n else encode(s).astype("<u4").tobytes() if s else b"" for s, n in zip(strings, lines, strict=True)]
 
+    def run(strings: list[str]) -> list[bytes]:
+        return list(chain.from_iterable(some(strings[i : i + 4000]) for i in range(0, len(strings), 4000)))
+
     return run
 
 

@@ -124,15 +124,15 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def steps(texts: pa.Array, size: int) -> Iterator[pa.Array]:
     """The texts in slices of about `size` bytes (one text at least); nulls as empty texts."""
-    texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
-    ends, start = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    texts = pc.fill_null(texts, "")
+    ends, start = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
     while start < len(texts):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
         yield texts.slice(start, stop - start)
         start = stop
 
 
-def coded_words(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def coded_words(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     r"""The words [^\x20\x09-\x0D]+ of texts, A-Z in lower case, for some texts at a time: hashes, a number into these for each word, the bounds of each text.
 
     What stands between spaces is told apart by Arrow's dictionary encoding, so that each distinct string is hashed once."""
@@ -140,7 +140,7 @@ def coded_words(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[np.nda
         split = pc.split_pattern(pc.ascii_lower(part), " ")
         n = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
-        words = [c.split() for c in pc.cast(coded.dictionary, pa.large_binary()).to_pylist()]
+        words = [c.split() for c in pc.cast(coded.dictionary, pa.binary()).to_pylist()]
         sizes, at = np.fromiter(map(len, words), np.int64, len(words)), coded.indices.to_numpy()
         hashed = word_hashes([w for c in words for w in c])
         if len(sizes) and sizes.max() == 1 and sizes.min() == 1:
@@ -150,7 +150,7 @@ def coded_words(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[np.nda
             yield hashed, spread((np.cumsum(sizes) - sizes)[at], length), np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(n)))]
 
 
-def hashed_words(texts: pa.Array, size: int = 4_000_000) -> Iterator[np.ndarray]:
+def hashed_words(texts: pa.Array, size: int = 2_000_000) -> Iterator[np.ndarray]:
     """The word hashes of each text, as `word_hashes(byte_words(text))` gives them."""
     for hashed, at, cuts in coded_words(texts, size):
         flat, cuts = hashed[at], cuts.tolist()

@@ -15,10 +15,10 @@ repeated within a task are summed over tasks, and the most frequent, `heavy_limi
 order of the rest does not touch the result, only its cost.
 
 Hot groups. Exact copies are one set, known by its 64-bit hash. A bucket of one signature is never paired
-with itself: first every set is verified against the least set of the bucket that it shares most with; then, as long as
-buckets hold several components and links are found, against one delegate of each bucket (`rounds` times at most); only
-what is then still apart in a bucket is paired across components. Pairs first pass a parity sketch of some 8 D cells,
-whose differing cells are never more than the differing elements; only the texts of pairs that pass are read. So the
+with itself: first every set is verified against the least set of the bucket that it shares most with; then, where buckets
+hold several components, against one delegate of each bucket, which has then met all others and leaves it; after `rounds`
+such turns only what is still apart in a bucket is paired across components. Pairs first pass a parity sketch of some 3 D
+cells, whose differing cells are never more than the differing elements; only the texts of pairs that pass are read. So the
 work follows the bucket's size, and no link is lost: a pair that was not verified is already in one component. The sets
 that many others are verified against are dealt over `SALTS` tasks.
 
@@ -114,9 +114,11 @@ class Partition:
         return found
 
     def sketch(self, s: np.ndarray, band: int) -> np.ndarray:
-        """The parity of a set's elements in some 8 D cells: cells that differ between two sets of a band bound their differences from below."""
+        """The parity of a set's elements in some 3 D cells: cells that differ between two sets of a band bound their differences from below.
+
+        Sets that have little in common differ in nearly half of the cells, more than D."""
         self.segments(band)
-        cells = max(64, 1 << int(8 * self.differences(2 * (self.starts[band + 1] - 1)) + 7).bit_length())
+        cells = 64 * -(-(3 * self.differences(2 * (self.starts[band + 1] - 1)) + 32) // 64)
         at = (mix64(s ^ U(0x5851F42D4C957F2D)) % U(cells)).astype(np.int64)
         return np.packbits((np.bincount(at, minlength=cells) & 1).astype(bool)).view(np.int64)
 
@@ -231,7 +233,7 @@ class Verifier:
         return found.select(*[c for c in of.columns if c not in "dt"], F.col("text").alias(f"text_{key}"))
 
     def side(self, x: str) -> DataFrame:
-        return self.sketches.select(F.col("s").alias(f"s{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("e", "n", "cells")))
+        return self.sketches.select(F.col("s").alias(f"s{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "cells")))
 
     def fits(self) -> Column:
         """Whether the sizes and sketches of a and b, of one band, allow a link, as a join condition."""
@@ -239,12 +241,20 @@ class Verifier:
         apart = "aggregate(zip_with(cells_a, cells_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
         return F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b) and {apart} <= floor((n_a + n_b) * {100 - t} / {100 + t})")
 
+    def named(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (sa, sb) as pairs of set hashes, a below b."""
+        e = self.sketches.select("s", "e")
+        pairs = materialize(pairs.select("sa", "sb"), "jaccard-pairs")
+        pairs = e.withColumnsRenamed({"s": "sa", "e": "ea"}).join(small(pairs), "sa")
+        return pairs.join(e.withColumnsRenamed({"s": "sb", "e": "eb"}), "sb").select(F.least("ea", "eb").alias("a"), F.greatest("ea", "eb").alias("b")).distinct()
+
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) as set hashes, a below b, of the pairs (sa, sb) whose sizes and sketches allow a link."""
+        """(a, b) as set hashes of the pairs (sa, sb), of one band each, whose sizes and sketches allow a link."""
         pairs = materialize(pairs.select("sa", "sb"), "jaccard-pairs")
         left = self.side("a").join(small(pairs), "sa")
         right = self.side("b").withColumnRenamed("sb", "s")
-        return left.join(right, (F.col("sb") == F.col("s")) & F.expr("e_a <> e_b") & self.fits()).select(F.least("e_a", "e_b").alias("a"), F.greatest("e_a", "e_b").alias("b")).distinct()
+        found = self.named(left.join(right, (F.col("sb") == F.col("s")) & self.fits()))
+        return found
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
@@ -292,7 +302,7 @@ def roots(edges: DataFrame) -> DataFrame:
         size = new
 
 
-def labelled(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 300_000, repeated: int = 2, rounds: int = 4) -> DataFrame:
+def labelled(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 300_000, repeated: int = 2, rounds: int = 3) -> DataFrame:
     """One row for each row of docs: doc (its id), th (the hash of its text), n (its set's size), e (the set's hash), root (the component's)."""
     spark: SparkSession = ship(docs.sparkSession)
     partition = Partition(threshold)
@@ -319,24 +329,26 @@ def labelled(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", te
     most = shared.groupBy("s").agg(F.max(F.struct("n", "least")).alias("x")).select(F.col("s").alias("sb"), F.col("x.least").alias("sa"))
     links = materialize(verifier.links(verifier.possible(most)), "jaccard-links")
     discard(members)
-    found = roots(links)
+    found, held = roots(links), named
     for turn in range(rounds):
-        apart = _apart(named, found)
-        delegate = F.min(F.struct(F.xxhash64("sig", "s", F.lit(turn)).alias("h"), F.col("s").alias("sa"), F.col("root").alias("of")))
-        chosen = apart.groupBy("sig").agg(delegate.alias("d")).select("sig", "d.sa", "d.of")
-        pairs = apart.join(chosen, "sig").where("root <> of").select(F.least("sa", "s").alias("sa"), F.greatest("sa", "s").alias("sb")).distinct()
+        apart = _apart(held, found, turn)
+        if held is not named:
+            discard(held)
+        held = materialize(apart.where("s <> sa").select("sig", "s", "e"), "jaccard-held")  # the delegate has then met all others
+        pairs = apart.where("root <> of").select(F.least("sa", "s").alias("sa"), F.greatest("sa", "s").alias("sb")).distinct()
         more = materialize(verifier.links(verifier.possible(pairs)), "jaccard-links")
         discard(apart)
-        if more.isEmpty():
+        if not more.isEmpty():
+            found, old = roots(more.unionByName(found.select(F.col("root").alias("a"), F.col("e").alias("b")))), found
+            discard(old)
+        if held.isEmpty():
             break
-        found, old = roots(more.unionByName(found.select(F.col("root").alias("a"), F.col("e").alias("b")))), found
-        discard(old)
 
-    apart = _apart(named, found)
+    apart = _apart(held, found, rounds)
     left = apart.select("sig", F.col("s").alias("sa"), F.col("root").alias("ra")).join(verifier.side("a"), "sa")
     right = apart.select(F.col("sig").alias("t"), F.col("s").alias("sb"), F.col("root").alias("rb")).join(verifier.side("b"), "sb")
-    rest = left.join(right, (F.col("sig") == F.col("t")) & F.expr("ra < rb") & verifier.fits()).select(F.least("e_a", "e_b").alias("a"), F.greatest("e_a", "e_b").alias("b")).distinct()
-    rest = materialize(rest, "jaccard-rest")
+    rest = left.join(right, (F.col("sig") == F.col("t")) & F.expr("ra < rb") & verifier.fits()).select("sa", "sb").distinct()
+    rest = materialize(verifier.named(rest), "jaccard-rest")
     if not rest.isEmpty():
         more = materialize(verifier.links(rest), "jaccard-links")
         if not more.isEmpty():
@@ -355,11 +367,14 @@ def classes(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", tex
     return found.unionByName(rows.where("n = 0").select("doc", "n", F.col("doc").alias("component_id"))).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(sig, s, root) of the buckets that still hold several components."""
-    both = members.join(found, "e", "left").select("sig", "s", F.coalesce("root", "e").alias("root"))
-    mixed = both.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    return materialize(both.join(mixed, "sig", "left_semi"), "jaccard-apart")
+def _apart(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """(sig, s, e, root, sa, of) of the buckets that still hold several components: root is a set's component, sa and of are the delegate and its own.
+
+    One exchange by signature serves the choice of delegates and the join with it."""
+    both = members.join(small(found), "e", "left").select("sig", "s", "e", F.coalesce("root", "e").alias("root")).repartition("sig")
+    delegate = F.min(F.struct(F.xxhash64("sig", "s", F.lit(turn)).alias("h"), F.col("s").alias("sa"), F.col("root").alias("of"), "e"))
+    mixed = both.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), delegate.alias("d")).where("lo <> hi").select("sig", "d.sa", "d.of")
+    return materialize(both.join(mixed, "sig").select("sig", "s", "e", "root", "sa", "of"), "jaccard-apart")
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -150,7 +150,7 @@ class LibraryTokenizer:
 
     `special_as_text`: strings of special tokens in a text are ordinary text (the library's own default makes them ids)."""
 
-    def __init__(self, path: str, special_as_text: bool = False, limit: int = 200_000):
+    def __init__(self, path: str, special_as_text: bool = False, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -17,15 +17,18 @@ def triplets(frames: DataFrame, folder: str, index: str, key: str) -> DataFrame:
 
 
 def random_companions(frames: DataFrame, folder: str, index: str, key: str, seed: int = 0) -> DataFrame:
-    """For each triplet two other frames of its folder, drawn by position past the triplet's own three; folders of under five frames have none left and repeat the centre (fallback)."""
+    """For each triplet two other frames of its folder, drawn by position past the triplet's own three.
+
+    In folders of under five frames, which have no two left, they are drawn from all but the centre (fallback)."""
     w = Window.partitionBy(folder).orderBy(index, key)
     placed = frames.select(folder, key, (F.row_number().over(w) - 1).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy(folder)).alias("n"))
     centre_at = triplets(frames, folder, index, key).join(placed.withColumnRenamed(key, "centre"), [folder, "centre"])
-    free = F.col("n") - 3
+    fallback = F.col("n") < 5
+    free, gap, edge = F.when(fallback, F.col("n") - 1).otherwise(F.col("n") - 3), F.when(fallback, 1).otherwise(3), F.when(fallback, F.col("pos")).otherwise(F.col("pos") - 1)
     q1 = draw(f"{seed}a", F.col("centre"), 1 << 20) % free
     q2 = (q1 + 1 + draw(f"{seed}b", F.col("centre"), 1 << 20) % (free - 1)) % free
-    skip = lambda q: F.when(free >= 2, F.when(q < F.col("pos") - 1, q).otherwise(q + 3)).otherwise(F.col("pos"))
-    asked = centre_at.select(folder, "centre", (free < 2).alias("fallback"), skip(q1).alias("p1"), skip(q2).alias("p2"))
+    skip = lambda q: F.when(q < edge, q).otherwise(q + gap)
+    asked = centre_at.select(folder, "centre", fallback.alias("fallback"), skip(q1).alias("p1"), skip(q2).alias("p2"))
     at = lambda p, name: placed.select(folder, F.col("pos").alias(p), F.col(key).alias(name))
     return asked.join(at("p1", "first"), [folder, "p1"]).join(at("p2", "second"), [folder, "p2"]).select(folder, "centre", "first", "second", "fallback")
 

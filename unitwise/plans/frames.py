@@ -152,7 +152,11 @@ def clean_companions(spark, d):
     return S.clean_companions(sided_turns(spark, d), "conv_id", "turn", "id", "side")
 
 
-@query("f3_random_companions")
+@query("f3_random_companions", f"""WITH {SIDED}, pl AS (SELECT conv_id, id, turn, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n, lag(turn) OVER w AS b, lead(turn) OVER w AS a FROM sided WINDOW w AS (PARTITION BY conv_id ORDER BY turn, id)),
+t AS (SELECT *, n < 5 AS fallback, CASE WHEN n < 5 THEN n - 1 ELSE n - 3 END AS free, CASE WHEN n < 5 THEN pos ELSE pos - 1 END AS edge, CASE WHEN n < 5 THEN 1 ELSE 3 END AS gap FROM pl WHERE b = turn - 1 AND a = turn + 1),
+q AS (SELECT *, CAST(('0x' || substr(md5('0a|' || id), 1, 8)) AS BIGINT) % 1048576 % free AS q1, CAST(('0x' || substr(md5('0b|' || id), 1, 8)) AS BIGINT) % 1048576 % (free - 1) AS q2 FROM t),
+s AS (SELECT *, (q1 + 1 + q2) % free AS q3 FROM q), p AS (SELECT conv_id, id, fallback, CASE WHEN q1 < edge THEN q1 ELSE q1 + gap END AS p1, CASE WHEN q3 < edge THEN q3 ELSE q3 + gap END AS p2 FROM s)
+SELECT p.conv_id, p.id AS centre, x.id AS first, y.id AS second, fallback FROM p JOIN pl x ON x.conv_id = p.conv_id AND x.pos = p1 JOIN pl y ON y.conv_id = p.conv_id AND y.pos = p2""")
 def random_companions(spark, d):
     return S.random_companions(sided_turns(spark, d), "conv_id", "turn", "id")
 

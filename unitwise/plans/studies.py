@@ -50,7 +50,15 @@ def recall_against_headroom(spark, d):
     return rounded(recall.join(head, "unit").agg(F.count(F.lit(1)).alias("n_units"), M.pearson(F.col("recall"), F.col("headroom")).alias("pearson"), F.stddev_pop("recall").alias("recall_sd")))
 
 
-@query("j4_normalisation")
+#: Lists x of rows made unit vectors v; with `centred`, their mean is taken off first.
+UNIT = "list_transform({0}, lambda x: x / CASE WHEN list_inner_product({0}, {0}) > 0 THEN sqrt(list_inner_product({0}, {0})) ELSE 1 END)"
+FOLD6 = "CAST(('0x' || substr(md5(concat_ws('|', '6', unit)), 1, 8)) AS BIGINT) % 5 AS fold"
+
+
+@query("j4_normalisation", f"""WITH {EMB}, g AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT unnest(cells) AS x FROM e)), b AS (SELECT *, list_max(cells) AS peak FROM e, g),
+n AS (SELECT frame_id, class, unit, 'peak' AS protocol, list_transform(cells, lambda x: (x - peak) / 60) AS x FROM b UNION ALL SELECT frame_id, class, unit, 'offset', list_transform(cells, lambda x: (x + 60) / 60) FROM b
+UNION ALL SELECT frame_id, class, unit, 'global', list_transform(cells, lambda x: (x - m) / (sd + 1e-6)) FROM b UNION ALL SELECT frame_id, class, unit, 'peak_level', list_concat(list_transform(cells, lambda x: (x - peak) / 60), list_transform(cells, lambda x: (peak + 60) / 60)) FROM b),
+rows AS (SELECT frame_id, class, unit, protocol, {UNIT.format('n.x')} AS v, {FOLD6} FROM n), {CV} SELECT protocol AS condition, fold, n, round(accuracy, 6) + 0.0 AS accuracy FROM acc""")
 def normalisation(spark, d):
     """Accuracy by scheme and grouped fold; the global scheme's mean and deviation come from per-frame sums."""
     rows = protocol_rows(spark, d).where("protocol = 'grouped'").drop("protocol", "v").join(B.frames_from_embeddings(B.table(spark, d, "embeddings")).select("frame_id", "cells"), "frame_id")
@@ -60,7 +68,17 @@ def normalisation(spark, d):
     return rounded(X.accuracy(X.cross_validate(made.drop("cells", "m", "sd"), ["condition"]), ["condition", "fold"]))
 
 
-@query("j10_compression_grid")
+def _reduced(f: int) -> str:
+    """SQL of cells (4 by 16) with f adjacent columns summed in linear power."""
+    k = 16 // f
+    return "cells" if f == 1 else f"list_transform(range({4 * k}), lambda i: 10 * log10(greatest(list_sum(list_transform(range({f}), lambda j: pow(10, cells[(i // {k}) * 16 + (i % {k}) * {f} + j + 1] / 10))), 1e-30)))"
+
+
+@query("j10_compression_grid", f"""WITH {EMB}, d AS ({' UNION ALL '.join(f"SELECT frame_id, class, unit, '{f}' AS factor, {_reduced(f)} AS x FROM e" for f in (1, 2, 4))}),
+b AS (SELECT factor, min(list_min(x)) AS lo, max(list_max(x)) AS hi FROM d GROUP BY factor), k AS (SELECT unnest([4, 8, 32]) AS bits),
+q AS (SELECT d.*, bits, CASE WHEN bits = 32 THEN x ELSE list_transform(x, lambda y: round_even((least(greatest(y, lo), hi) - lo) / ((hi - lo) / (pow(2, bits) - 1)), 0) * ((hi - lo) / (pow(2, bits) - 1)) + lo) END AS y FROM d JOIN b USING (factor), k),
+c AS (SELECT frame_id, class, unit, factor || '-' || bits AS protocol, list_transform(y, lambda x: x - list_sum(y) / len(y)) AS c FROM q),
+rows AS (SELECT frame_id, class, unit, protocol, {UNIT.format('c.c')} AS v, {FOLD6} FROM c), {CV} SELECT split_part(protocol, '-', 1) AS factor, split_part(protocol, '-', 2) AS bits, fold, n, round(accuracy, 6) + 0.0 AS accuracy FROM acc""")
 def compression_grid(spark, d):
     """Accuracy by column factor and bits; each factor's range is taken over all its reduced cells."""
     rows = protocol_rows(spark, d).where("protocol = 'grouped'").drop("protocol", "v").join(B.frames_from_embeddings(B.table(spark, d, "embeddings")).select("frame_id", "cells"), "frame_id")
@@ -312,7 +330,11 @@ def label_check(spark, d):
     return rounded(L.nearest_centroid(v.where(target), L.vector_mean(v.where(~target), ["class"], "v").withColumnRenamed("class", "name"), "frame_id", "v").groupBy("nearest").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("similarity")))
 
 
-@query("j13_shift_augmentation")
+@query("j13_shift_augmentation", f"""WITH {EMB}, s AS (SELECT unnest([0, 1, 2, 4]) AS protocol), b AS (SELECT *, list_median(cells) AS med, {FOLD6} FROM e, s),
+y AS (SELECT *, CAST(('0x' || substr(md5(concat_ws('|', 'shift' || protocol, frame_id)), 1, 8)) AS BIGINT) % (2 * protocol + 1) - protocol AS step FROM b),
+m AS (SELECT frame_id, class, unit, protocol, fold, false AS moved, cells AS x FROM y UNION ALL SELECT frame_id, class, unit, protocol, fold, true, list_transform(range(64), lambda i: CASE WHEN i % 16 - step BETWEEN 0 AND 15 THEN cells[i - step + 1] ELSE med END) FROM y WHERE protocol > 0),
+c AS (SELECT *, list_transform(x, lambda z: z - list_sum(x) / len(x)) AS c FROM m), copies AS (SELECT frame_id, class, unit, protocol, fold, moved, {UNIT.format('c.c')} AS v FROM c), rows AS (SELECT * FROM copies WHERE NOT moved),
+{CV.replace('AS pos FROM rows)', 'AS pos FROM copies)')} SELECT CAST(protocol AS BIGINT) AS shift, fold, n, round(accuracy, 6) + 0.0 AS accuracy FROM acc""")
 def shift_augmentation(spark, d):
     """Accuracy by shift width: train rows are joined by a shifted copy of themselves, test rows stay as they are."""
     rows = protocol_rows(spark, d).where("protocol = 'grouped'").drop("protocol", "v").join(B.frames_from_embeddings(B.table(spark, d, "embeddings")).select("frame_id", "cells"), "frame_id")
