@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,20 @@ def test_streaming_triplets(spark, tmp_path):
     q = ST.triplets(source).writeStream.format("memory").queryName("t").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.folder, r.before, r.centre, r.after) for r in spark.table("t").collect()) == [("a", 1, 2, 3), ("b", 70, 80, 90)]
+
+
+def test_derivations_of_one_class_and_unit(spark):
+    from unitwise.plans.claims import DERIVATIONS
+
+    rows = [("car/12-41", "car", 0.9, 1.0), ("drone/12-41", "drone", 0.2, 2.0), ("drone/112-41", "drone", 0.6, 5.0), ("drone/13-00", "drone", 0.8, 3.0), ("drone/14-00", "drone", 0.5, 4.0)]
+    units = spark.createDataFrame(rows, "unit string, class string, recall double, headroom double")
+    got = lambda name, *a, **k: DERIVATIONS[name](*a, **k).first().got
+    assert got("session_recall", units, "12-41", cls="car") == 0.9
+    assert got("session_recall", units, "12-41", cls="drone") == 0.2
+    assert got("min_session_recall", units, "car") == 0.9
+    assert got("session_recall_extreme", units, "min", "12-41", "drone") == 0.5
+    assert got("units_above", units, 0.55, "drone", "13-00") == 1
+    assert abs(got("recall_sd_excluding", units, "12-41", "drone") - statistics.stdev([0.6, 0.8, 0.5])) < 1e-9
+    assert abs(got("pearson_excluding", units, "headroom", "112-41", "drone") - statistics.correlation([0.2, 0.8, 0.5], [2.0, 3.0, 4.0])) < 1e-9
+    pred = spark.createDataFrame([("drone/12-41", "held", "car"), ("drone/12-41", "held", "drone"), ("drone/12-41", "half", "drone"), ("drone/112-41", "held", "drone")], "unit string, condition string, y_pred string")
+    assert got("predicted_fraction", pred, "drone", "12-41", "held") == 0.5

@@ -52,9 +52,15 @@ def derivation(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
-def _but(units: DataFrame, exclude: str | None) -> DataFrame:
-    """Without the units whose name ends so."""
-    return units if exclude is None else units.where(~F.col("unit").endswith(exclude))
+def _named(name: str) -> Column:
+    """Whether a unit, kept as class/name, has that name."""
+    return F.element_at(F.split("unit", "/"), -1) == name
+
+
+def _but(units: DataFrame, exclude: str | None, cls: str | None = None) -> DataFrame:
+    """The units of a class (of all without one), without those of a name."""
+    kept = units if cls is None else units.where(F.col("class") == cls)
+    return kept if exclude is None else kept.where(~_named(exclude))
 
 
 def _one(df: DataFrame, value: Column) -> DataFrame:
@@ -62,39 +68,38 @@ def _one(df: DataFrame, value: Column) -> DataFrame:
 
 
 @derivation
-def session_recall(units: DataFrame, unit: str) -> DataFrame:
-    return _one(units.where(F.col("unit").endswith(unit)), F.min("recall"))
+def session_recall(units: DataFrame, unit: str, cls: str | None = None) -> DataFrame:
+    return _one(_but(units, None, cls).where(_named(unit)), F.min("recall"))
 
 
 @derivation
 def min_session_recall(units: DataFrame, cls: str | None = None) -> DataFrame:
-    return _one(units if cls is None else units.where(F.col("class") == cls), F.min("recall"))
+    return _one(_but(units, None, cls), F.min("recall"))
 
 
 @derivation
-def session_recall_extreme(units: DataFrame, which: str, exclude: str | None = None) -> DataFrame:
-    return _one(_but(units, exclude), F.max("recall") if which == "max" else F.min("recall"))
+def session_recall_extreme(units: DataFrame, which: str, exclude: str | None = None, cls: str | None = None) -> DataFrame:
+    return _one(_but(units, exclude, cls), F.max("recall") if which == "max" else F.min("recall"))
 
 
 @derivation
 def units_above(units: DataFrame, threshold: float, cls: str | None = None, exclude: str | None = None) -> DataFrame:
-    kept = _but(units, exclude) if cls is None else _but(units, exclude).where(F.col("class") == cls)
-    return _one(kept, F.count_if(F.col("recall") > threshold))
+    return _one(_but(units, exclude, cls), F.count_if(F.col("recall") > threshold))
 
 
 @derivation
-def recall_sd_excluding(units: DataFrame, exclude: str | None = None) -> DataFrame:
-    return _one(_but(units, exclude), M.sd0("recall"))
+def recall_sd_excluding(units: DataFrame, exclude: str | None = None, cls: str | None = None) -> DataFrame:
+    return _one(_but(units, exclude, cls), M.sd0("recall"))
 
 
 @derivation
-def pearson_excluding(units: DataFrame, other: str = "headroom", exclude: str | None = None) -> DataFrame:
-    return _one(_but(units, exclude), M.pearson(F.col("recall"), F.col(other)))
+def pearson_excluding(units: DataFrame, other: str = "headroom", exclude: str | None = None, cls: str | None = None) -> DataFrame:
+    return _one(_but(units, exclude, cls), M.pearson(F.col("recall"), F.col(other)))
 
 
 @derivation
 def recovery_of(units: DataFrame, unit: str) -> DataFrame:
-    return _one(units.where(F.col("unit").endswith(unit)), F.min("recovery"))
+    return _one(units.where(_named(unit)), F.min("recovery"))
 
 
 @derivation
@@ -108,8 +113,10 @@ def recovery_sd_excluding(units: DataFrame, exclude: str | None = None) -> DataF
 
 
 @derivation
-def predicted_fraction(pred: DataFrame, cls: str) -> DataFrame:
-    return _one(pred, F.avg((F.col("y_pred") == cls).cast("double")))
+def predicted_fraction(pred: DataFrame, cls: str, unit: str | None = None, condition: str | None = None) -> DataFrame:
+    """The share of predictions of a class among one unit's rows under one condition."""
+    kept = pred if unit is None else pred.where(_named(unit))
+    return _one(kept if condition is None else kept.where(F.col("condition") == condition), F.avg((F.col("y_pred") == cls).cast("double")))
 
 
 @derivation

@@ -11,10 +11,10 @@ from ..operators import metrics as M
 from ..operators import splits as P
 from ..sources import bindings as B
 from ..sources import tree as T
-from .experiments import DEALT, files
+from .experiments import ACC, DEALT, accuracies, files
 from .frames import EMB, FRAMES, LINEAR, featured, vectors
-from .registry import query, rounded
-from .studies import CV
+from .registry import ORACLES, query, rounded
+from .studies import CV, FOLD6, UNIT, protocol_rows
 
 CLASSES = [str(i) for i in range(10)]
 TARGET = "3"
@@ -165,3 +165,41 @@ def manifest(spark, d):
     """Sixty evenly spaced files of each folder, by path."""
     m = T.probe(files(spark, d).select("folder", "path", "content"), "folder", "path", 60)
     return m.select("path", "folder", F.col("place").cast("long").alias("place"), F.regexp_extract("path", r"(\d+)\D*$", 1).alias("last_int"), F.length("content").cast("long").alias("n_chars"))
+
+
+WEIGHED = f"""WITH {EMB}, g AS (SELECT min(list_min(cells)) AS lo, max(list_max(cells)) AS hi FROM e),
+i AS (SELECT frame_id, class, unit, 'plain' AS protocol, cells AS x FROM e UNION ALL SELECT frame_id, class, unit, 'input', list_transform(cells, lambda y: round_even((y - lo) / ((hi - lo) / 15), 0) * ((hi - lo) / 15) + lo) FROM e, g),
+c AS (SELECT frame_id, class, unit, protocol, list_transform(x, lambda z: z - list_sum(x) / len(x)) AS c FROM i), rows AS (SELECT frame_id, class, unit, protocol, {UNIT.format('c.c')} AS v, {FOLD6} FROM c), {CV.split(",\npr AS")[0]},
+cw AS (SELECT protocol, fold, y_pred, 'plain' AS weights, c FROM cu UNION ALL SELECT protocol, fold, y_pred, 'weights', list_transform(c, lambda x: round_even(x / mx * 7, 0) / 7 * mx) FROM (SELECT *, list_max(list_transform(c, lambda x: abs(x))) AS mx FROM cu)),
+pw AS (SELECT protocol, weights, fold, frame_id, class, y_pred, row_number() OVER (PARTITION BY protocol, weights, frame_id ORDER BY list_inner_product(v, c) DESC, y_pred DESC) AS r FROM rows JOIN cw USING (protocol, fold))
+SELECT protocol AS input, weights, count(*) AS n, round(avg(CAST(class = y_pred AS DOUBLE)), 6) + 0.0 AS accuracy FROM pw WHERE r = 1 GROUP BY ALL"""
+
+
+@query("j11_axis_ablation", WEIGHED)
+def axis_ablation(spark, d):
+    """Accuracy with cells at 4 bits, with centroids at 4 bits (from minus to plus their largest weight), with both and with neither."""
+    rows = protocol_rows(spark, d).where("protocol = 'grouped'").drop("protocol", "v").join(B.frames_from_embeddings(B.table(spark, d, "embeddings")).select("frame_id", "cells"), "frame_id")
+    ends = rows.agg(F.min(F.array_min("cells")).alias("lo"), F.max(F.array_max("cells")).alias("hi"))
+    x = F.col("cells")
+    made = X.with_conditions(rows.join(F.broadcast(ends)), {"plain": A.unit(A.centre(x)), "input": A.unit(A.centre(A.quantise(x, 4, F.col("lo"), F.col("hi"))))}).drop("cells", "lo", "hi")
+    plain = X.fold_centroids(made, ["condition"])
+
+    def coarse(s):
+        most = F.array_max(F.transform(s["c"], F.abs))
+        return F.struct(s["name"].alias("name"), F.zip_with(s["c"], F.array_repeat(most, F.size(s["c"])), lambda w, m: F.rint(w / m * 7) / 7 * m).alias("c"))
+
+    both = plain.withColumn("weights", F.lit("plain")).unionByName(plain.select("condition", "fold", F.transform("cs", coarse).alias("cs"), F.lit("weights").alias("weights")))
+    return rounded(X.accuracy(X.predict(made, both, ["condition", "fold"]), ["condition", "weights"]).withColumnRenamed("condition", "input"))
+
+
+@query("j16_reanalysis", f"""WITH {ACC}, q AS (SELECT condition, round(a, 4) AS v FROM acc), k AS (SELECT condition, avg(r) OVER (PARTITION BY v) AS rank FROM (SELECT condition, v, row_number() OVER (ORDER BY v) AS r FROM q)),
+u AS (SELECT count(*) FILTER (WHERE condition = 'F') AS n1, count(*) FILTER (WHERE condition = 'O') AS n2, sum(rank) FILTER (WHERE condition = 'F') AS r1 FROM k)
+SELECT n1, n2, round(r1 - n1 * (n1 + 1) / 2, 6) + 0.0 AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6) + 0.0 AS z, b.observed, b.low, b.high, s.separation, s.separation > 0 AS fully_apart FROM u, ({ORACLES['i12_bootstrap']}) b, ({ORACLES['i19_separation']}) s""")
+def reanalysis(spark, d):
+    """Per-seed values of two conditions once more: rank statistic, bootstrapped gap, and whether all of one lie above the other."""
+    runs = accuracies(spark, d)
+    ranks = M.mann_whitney(runs.select("condition", F.round("a", 4).alias("v")), "condition", "F", "v")
+    gap = M.bootstrap_mean_diff(runs.withColumn("k", F.col("fold") * 10 + F.col("seed")), "condition", "F", "a", "k", resamples=500)
+    apart = M.separation(runs, "condition", "F", "O", "a")
+    one = ranks.join(F.broadcast(gap)).join(F.broadcast(apart))  # one row each
+    return rounded(one.select("n1", "n2", "u", "z", "observed", "low", "high", "separation", (F.col("separation") > 0).alias("fully_apart")))
