@@ -31,15 +31,25 @@ def test_trees_equal_a_plain_walk():
 
 def test_isotonic_equals_the_least_squares_step_fit():
     g = np.random.default_rng(5)
-    x, y = np.sort(g.random(9)), (g.random(9) < 0.5).astype(float)
-    kx, ky = toxicity.isotonic(x, y)
-    values, weights = np.concatenate(([0.0], y, [1.0])), np.concatenate(([0.5], np.ones(9), [0.5]))
+    for _ in range(20):
+        x, y = np.sort(g.integers(0, 7, 12)).astype(float), (g.random(12) < 0.5).astype(float)
+        kx, ky = toxicity.isotonic(x, y)
+        xs = np.unique(x)
+        cases = [[(v, 1.0) for u, v in zip(x, y, strict=True) if u == w] for w in xs]
+        cases[0].append((0.0, 0.5))
+        cases[-1].append((1.0, 0.5))
 
-    def minmax(i):
-        """The step fit by its formula: the greatest over starts of the least over ends of weighted means."""
-        return max(min(np.average(values[a : b + 1], weights=weights[a : b + 1]) for b in range(i, 11)) for a in range(i + 1))
+        def mean(a, b, cases=cases):
+            return sum(v * w for c in cases[a : b + 1] for v, w in c) / sum(w for c in cases[a : b + 1] for _, w in c)
 
-    assert np.allclose(np.interp(x, kx, ky), [minmax(i + 1) for i in range(9)])
+        n = len(xs)
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # the step fit by its formula
+        assert np.allclose(np.interp(xs, kx, ky), want)
+
+
+def test_isotonic_pools_equal_scores():
+    kx, ky = toxicity.isotonic(np.array([-5.0] * 40 + [6.0] * 20), np.array([0.0] * 36 + [1.0] * 4 + [1.0] * 20))
+    assert np.interp(-5.0, kx, ky) < 0.15 and np.interp(6.0, kx, ky) > 0.95
 
 
 def test_language_labels_each_position_once_in_its_context():

@@ -218,14 +218,15 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the increasing step fit (pool adjacent violators), with half a case of each class added at the ends."""
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order].astype(float)
-    xs, ys = np.concatenate([[xs[0]], xs, [xs[-1]]]), np.concatenate([[0.0], ys, [1.0]])
-    weights = np.concatenate([[0.5], np.ones(len(x)), [0.5]])
+    """Knots of the increasing step fit (pool adjacent violators), with half a case of each class added at the ends. Equal x are one case."""
+    xs, place = np.unique(x, return_inverse=True)
+    weights, sums = np.bincount(place).astype(float), np.bincount(place, y)
+    weights[0] += 0.5
+    weights[-1] += 0.5
+    sums[-1] += 0.5
     blocks: list[list[float]] = []
     for i in range(len(xs)):
-        blocks.append([ys[i] * weights[i], weights[i], xs[i], xs[i]])
+        blocks.append([sums[i], weights[i], xs[i], xs[i]])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             s, w, _, hi = blocks.pop()
             blocks[-1][0] += s
