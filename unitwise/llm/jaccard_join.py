@@ -16,8 +16,9 @@ order of the rest does not touch the result, only its cost.
 
 Hot groups. Exact copies are one set, known by its 64-bit hash. A bucket of one signature is never paired
 with itself: first every set is verified against the least set of the bucket that it shares most with; then, where buckets
-hold several components, against one delegate of each bucket, which has then met all others and leaves it; after `rounds`
-such turns only what is still apart in a bucket is paired across components. Pairs first pass a parity sketch of some 3 D
+hold several components, against one delegate of each bucket, which has then met all others and leaves it; after three
+such turns or more, as long as they find links (`rounds` at most), only what is still apart in a bucket is paired across
+components. Pairs first pass a parity sketch of some 3 D
 cells, whose differing cells are never more than the differing elements; only the texts of pairs that pass are read. So the
 work follows the bucket's size, and no link is lost: a pair that was not verified is already in one component. The sets
 that many others are verified against are dealt over `SALTS` tasks.
@@ -302,7 +303,7 @@ def roots(edges: DataFrame) -> DataFrame:
         size = new
 
 
-def labelled(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 300_000, repeated: int = 2, rounds: int = 3) -> DataFrame:
+def labelled(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", text_col: str = "text", heavy_limit: int = 300_000, repeated: int = 2, rounds: int = 8) -> DataFrame:
     """One row for each row of docs: doc (its id), th (the hash of its text), n (its set's size), e (the set's hash), root (the component's)."""
     spark: SparkSession = ship(docs.sparkSession)
     partition = Partition(threshold)
@@ -341,7 +342,7 @@ def labelled(docs: DataFrame, k: int, threshold: int, id_col: str = "doc_id", te
         if not more.isEmpty():
             found, old = roots(more.unionByName(found.select(F.col("root").alias("a"), F.col("e").alias("b")))), found
             discard(old)
-        if held.isEmpty():
+        if held.isEmpty() or (turn >= 2 and more.isEmpty()):
             break
 
     apart = _apart(held, found, rounds)
