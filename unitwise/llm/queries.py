@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, lm_scoring, near_vectors, pii, secret_scan, token_files, toxicity
+from . import bpe, decontaminate, jaccard_join, language, lm_scoring, near_vectors, periodic, pii, secret_scan, token_files, toxicity
 from .common import shared_dir, table
 
 
@@ -94,5 +95,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_jaccard_join": op5_jaccard_join, "op6_pii": op6_pii, "op7_secrets": op7_secrets, "op8_decontaminate": op8_decontaminate, "op9_near_vectors": op9_near_vectors, "op10_lm_scoring": op10_lm_scoring}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.report(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text"))))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_pii": op6_pii,
+    "op7_secrets": op7_secrets,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_near_vectors": op9_near_vectors,
+    "op10_lm_scoring": op10_lm_scoring,
+    "op11_periodic_runs": op11_periodic_runs,
+}
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_decontaminate": OP8_SQL}
