@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language, lm_scoring, near_vectors, periodic, pii, secret_scan, token_files, toxicity
+from . import bpe, decontaminate, fingerprints, jaccard_join, language, lm_scoring, near_vectors, periodic, pii, secret_scan, token_files, toxicity
 from .common import shared_dir, table
 
 
@@ -100,6 +100,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text"))))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_files": op2_token_files,
@@ -112,5 +116,6 @@ QUERIES = {
     "op9_near_vectors": op9_near_vectors,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_fingerprints": op13_fingerprints,
 }
 ORACLES: dict[str, str] = {"op5_jaccard_join": OP5_SQL, "op8_decontaminate": OP8_SQL}
