@@ -160,3 +160,23 @@ def concentration(cells: Column, share: float = 0.9) -> Column:
         return F.when(s["t"] > 0, F.aggregate(s["o"], start, step)["n"])
 
     return let(count, o=ordered, t=total(excess))
+
+
+def masked_unit(cells: Column, mask_db: float | None = None) -> Column:
+    """A unit vector of the cells within mask_db of the peak: these are centred on their own mean, all others are 0.
+
+    Without a mask every cell is kept. What leaves nothing after centring (one kept cell, equal cells) gives zeros."""
+    if mask_db is None:
+        return unit(centre(cells))
+    kept = F.zip_with(cells, F.array_repeat(F.array_max(cells) - F.lit(float(mask_db)), F.size(cells)), lambda x, low: F.when(x >= low, x))
+
+    def centred(s: Column) -> Column:
+        mean = total(F.transform(s["k"], lambda x: F.coalesce(x, F.lit(0.0)))) / F.greatest(F.size(F.filter(s["k"], lambda x: x.isNotNull())), F.lit(1))
+        return F.zip_with(s["k"], F.array_repeat(mean, F.size(s["k"])), lambda x, m: F.coalesce(x - m, F.lit(0.0)))
+
+    return unit(let(centred, k=kept))
+
+
+def kept_cells(cells: Column, mask_db: float) -> Column:
+    """How many cells lie within mask_db of the peak."""
+    return F.aggregate(F.zip_with(cells, F.array_repeat(F.array_max(cells) - F.lit(float(mask_db)), F.size(cells)), lambda x, low: F.when(x >= low, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
