@@ -140,7 +140,7 @@ def top_cells(cells: Column, k: int) -> Column:
 
 
 def centre(a: Column) -> Column:
-    return let(lambda s: F.zip_with(s["a"], F.array_repeat(total(s["a"]) / F.size(s["a"]), F.size(s["a"])), lambda x, m: x - m), a=a)
+    return let(lambda s: F.zip_with(s["a"], F.array_repeat(total(s["a"]) / F.greatest(F.size(s["a"]), F.lit(1)), F.size(s["a"])), lambda x, m: x - m), a=a)
 
 
 def unit(a: Column) -> Column:
