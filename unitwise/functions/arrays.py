@@ -85,7 +85,7 @@ def shift_columns(cells: Column, rows: int, cols: int, by: Column) -> Column:
     return let(lambda s: F.transform(index, lambda i: F.when((from_col(i, s) >= 0) & (from_col(i, s) < cols), F.get(s["a"], (i - s["by"]).cast("int"))).otherwise(s["m"])), a=cells, by=by, m=median_of(cells))
 
 
-def draw(seed: str | int, identity: Column, n: int) -> Column:
+def draw(seed: str | int, identity: Column, n: int | Column) -> Column:
     """An integer in [0, n) from md5 of seed and identity, alike in every engine."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), identity.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(n))
 

@@ -28,15 +28,21 @@ def unit_of(name: Column) -> Column:
 
 
 def numbers(name: Column) -> Column:
-    """All integer fields of a name."""
-    return F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda x: x.cast("long"))
+    """All integer fields of a name; those beyond 64 bits are null in their place."""
+    return F.transform(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda x: x.try_cast("long"))
 
 
 def last_number(name: Column) -> Column:
-    """The last integer of a name; null if it has none."""
+    """The last integer of a name; null if it has none, or one beyond 64 bits."""
     found = numbers(name)
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
 def skeleton(name: Column) -> Column:
     return F.regexp_replace(name, r"\d+", "#")
+
+
+def number_order(name: Column) -> Column:
+    """A struct that sorts names by their last integer, whatever its size, then by name; names without one come as 0."""
+    digits = F.regexp_replace(F.coalesce(F.try_element_at(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), F.lit(-1)), F.lit("0")), r"^0+(?=\d)", "")
+    return F.struct(F.length(digits).alias("size"), digits.alias("digits"), name.alias("name"))

@@ -5,43 +5,60 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 SALTS = 8
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that the driver and all executors see; in local mode, where it is unset, a temporary one of this session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="unitwise-"))
 
 
 def written(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder, so that lineage ends and a lost executor costs nothing."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="unitwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(df.sparkSession)}/components-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): each node of edges (a, b), and of `nodes`, with the least node of its component.
 
     Label propagation with pointer jumping. Edges are dealt by both ends' salted keys, so that a hub's edges lie in
-    `SALTS` tasks; its label is sent to each of them."""
+    `SALTS` tasks; its label is sent to each of them. A component's own label is looked up once and sent to as many
+    tasks, so a large component does not meet in one. Each round's labels replace those before."""
     both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    changed = 1
+    changed, before = 1, None
     while changed:
-        known = labels.select(F.col("node").alias("b"), "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        near = both.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(known, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = written(lower.join(jump, "c").select("node", "old", F.least("c", "cc").alias("component")))
+        known = labels.select(F.col("node").alias("b"), "component", every.alias("salt"))
+        near = both.withColumn("salt", salt("a")).join(known, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"), salt("node").alias("salt"))
+        roots = lower.select("c").distinct().join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c").withColumn("salt", every)
+        new = written(lower.join(roots, ["c", "salt"]).select("node", "old", F.least("c", "cc").alias("component")))
         changed = new.where("old <> component").limit(1).count()
-        labels = new.drop("old")
+        if before is not None:
+            discard(before)
+        labels, before = new.drop("old"), new
     if nodes is not None:
         labels = nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return labels

@@ -69,10 +69,22 @@ def dominant_shape(rows: DataFrame, group: list[str], shape: list[str], order: s
 
 
 def similar_pairs(units: DataFrame, key: str, n: str, near: dict[str, float]) -> DataFrame:
-    """Pairs a < b of equal n whose columns differ by at most the given amounts. The equi-join on n keeps it from being a product."""
+    """Pairs a < b of equal n whose columns differ by at most the given amounts.
+
+    Rows meet on n and on a bucket of each column, as wide as its amount (a tenth more), so units of one size do not all meet; those
+    of side b stand in the neighbouring buckets too. Columns with an amount of 0 have to be equal; nulls are near nothing."""
+    at = lambda c: F.floor(F.col(c) / (1.1 * near[c])) if near[c] else F.col(c)
     columns = list(near)
-    side = lambda x: units.select(F.col(n).alias("n"), F.col(key).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
-    pairs = side("a").join(side("b"), "n").where("a < b")
+
+    def side(x: str, spread: bool) -> DataFrame:
+        out = units.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)) if columns else units
+        out = out.select(F.col(n).alias("n"), F.col(key).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns], *[at(c).alias(f"bucket_{c}") for c in columns])
+        for c in columns:
+            if spread and near[c]:
+                out = out.withColumn(f"bucket_{c}", F.explode(F.sequence(F.col(f"bucket_{c}") - 1, F.col(f"bucket_{c}") + 1)))
+        return out
+
+    pairs = side("a", False).join(side("b", True), ["n", *[f"bucket_{c}" for c in columns]]).where("a < b")
     for c, most in near.items():
         pairs = pairs.where(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= most)
-    return pairs
+    return pairs.drop(*[f"bucket_{c}" for c in columns])

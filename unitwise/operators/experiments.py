@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, unit
+from .metrics import sd0, sign_test
 
 
 def fold_centroids(rows: DataFrame, run: list[str], fold: str = "fold", cls: str = "class", vector: str = "v") -> DataFrame:
@@ -62,3 +63,30 @@ def coverage(rows: DataFrame, half: Column, vector: str = "v", unit_col: str = "
     r = lambda c: F.avg(F.when(F.col("condition") == c, F.col("hit")))
     g = scored.groupBy("class", unit_col).agg((F.count(F.lit(1)) / 2).cast("long").alias("n"), r("held_out").alias("held_out"), r("half_in").alias("half_in"))
     return g.withColumn("recovery", F.col("half_in") - F.col("held_out"))
+
+
+def leave_one_out(rows: DataFrame, factor: str, seed: str, val_frac: float = 0.15, unit_col: str = "unit", key: str = "frame_id", vector: str = "v") -> DataFrame:
+    """(unit, class, n, factor, seed, recall): every unit judged by centroids of all other units' rows, for each factor and seed at once.
+
+    Rows drawn by seed with probability val_frac are validation, alike for every unit, and train nothing; all rows of the unit
+    are judged. Centroids are totals less the unit's own sums; no row is repeated for the units left out."""
+    kept = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col(seed).cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(1000)) >= round(1000 * val_frac)
+    run = [factor, seed]
+    train = rows.where(kept)
+    cs = fold_centroids(train.select(*run, unit_col, "class", vector), run, unit_col, "class", vector)
+    near = F.array_max(F.transform("cs", lambda s: F.struct(dot(F.col(vector), s["c"]).alias("sim"), s["name"].alias("name"))))["name"]
+    judged = rows.join(cs, [*run, unit_col]).withColumn("hit", (near == F.col("class")).cast("double"))
+    return judged.groupBy(unit_col, "class", *run).agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("recall"))
+
+
+def deltas(recalls: DataFrame, factor: str, low: str, high: str, unit_col: str = "unit") -> DataFrame:
+    """(unit, class, delta): mean recall over seeds at one factor less that at another, to 12 decimals, so that equal means differ by 0."""
+    at = lambda f: F.avg(F.when(F.col(factor) == f, F.col("recall")))
+    return recalls.groupBy(unit_col, "class").agg((F.round(at(high) - at(low), 12) + 0.0).alias("delta")).where("delta IS NOT NULL")
+
+
+def delta_summary(changes: DataFrame) -> DataFrame:
+    """One row: n, mean, sd, paired t, how many improved, and the exact sign test of that, one and two sided."""
+    g = changes.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"), sd0("delta").alias("sd"), F.count_if(F.col("delta") > 0).alias("n_improved"))
+    g = g.withColumn("t", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n")))).withColumn("s", F.when(F.col("n") > 0, sign_test(F.col("n"), F.col("n_improved"))))
+    return g.select("n", "mean", "sd", "t", "n_improved", F.col("s.upper").alias("p_one_sided"), F.col("s.two_sided").alias("p_two_sided"))

@@ -134,6 +134,30 @@ def interaction(runs: DataFrame, seed: str, condition: str, names: tuple[str, st
     return g.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("t", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))
 
 
+def interaction_interval(runs: DataFrame, seed: str, condition: str, names: tuple[str, str, str, str], value: str, resamples: int = 20_000, draw_seed: int = 0) -> DataFrame:
+    """One row: the contrast of `interaction`, its 2.5 and 97.5 percentiles with seeds drawn jointly over the four cells, and
+    the unpaired form beside it: each cell's runs drawn apart (unpaired_low, unpaired_high), and its t from the cells' variances.
+
+    Seeds without all four cells are left out of the joint form only. Draws are by hash; a table of runs is small beside frames."""
+    from ..functions.arrays import draw
+
+    sign = F.when(F.col(condition).isin(names[0], names[3]), 1.0).otherwise(-1.0)
+    cells = runs.where(F.col(condition).isin(*names)).groupBy(F.col(condition).alias("cell"), F.col(seed).alias("k")).agg(F.avg(value).alias("v"), F.max(sign).alias("sign"))
+    per_seed = cells.groupBy("k").agg(F.sum(F.col("v") * F.col("sign")).alias("v"), F.count(F.lit(1)).alias("c")).where("c = 4")
+    values = per_seed.select(F.lit("joint").alias("cell"), "k", "v", F.lit(1.0).alias("sign")).unionByName(cells.select(F.col("cell").cast("string"), "k", "v", "sign"))
+    of_cell = Window.partitionBy("cell")
+    placed = values.withColumn("pos", F.row_number().over(of_cell.orderBy("k")) - 1).withColumn("n", F.count(F.lit(1)).over(of_cell))
+    asked = placed.select("cell", "n", F.col("pos").alias("i")).join(runs.sparkSession.range(resamples).select(F.col("id").alias("b")))
+    drawn = asked.withColumn("pos", draw(draw_seed, F.concat_ws("-", "b", "cell", "i"), F.col("n")))
+    means = drawn.join(placed.select("cell", "pos", "v", "sign"), ["cell", "pos"]).groupBy("b", "cell").agg((F.avg("v") * F.max("sign")).alias("m"))
+    boots = means.groupBy("b").agg(F.sum(F.when(F.col("cell") == "joint", F.col("m"))).alias("joint"), F.sum(F.when(F.col("cell") != "joint", F.col("m"))).alias("apart"))
+    bounds = boots.agg(F.percentile("joint", 0.025).alias("low"), F.percentile("joint", 0.975).alias("high"), F.percentile("apart", 0.025).alias("unpaired_low"), F.percentile("apart", 0.975).alias("unpaired_high"))
+    joint = per_seed.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), sd0("v").alias("sd"))
+    spread = cells.groupBy("cell").agg((F.avg("v") * F.max("sign")).alias("m"), (F.var_samp("v") / F.count(F.lit(1))).alias("q")).agg(F.sum("m").alias("point"), F.sqrt(F.sum("q")).alias("se"))
+    g = joint.join(spread).join(bounds)
+    return g.select("n", "mean", "sd", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n"))).alias("t"), "low", "high", "unpaired_low", "unpaired_high", F.when(F.col("se") > 0, F.col("point") / F.col("se")).alias("unpaired_t"))
+
+
 def separation(rows: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:
     """min(first) - max(second): positive without any overlap."""
     return rows.agg((F.min(F.when(F.col(group) == first, F.col(value))) - F.max(F.when(F.col(group) == second, F.col(value)))).alias("separation"))

@@ -112,6 +112,51 @@ def validated(sided: DataFrame, frac: float = 0.15, seed: int = 0, grouped: bool
     return carved.select(sided.columns).unionByName(sided.where("side <> 'train'"))
 
 
+def fold_sides(folds: DataFrame, seeds: list[int], val_frac: float = 0.15, by: str = "class", unit: str = "unit") -> DataFrame:
+    """(fold, seed, class, unit, n, side) for every fold and seed at once: units of the fold are test; of each class's other
+    units the first max(1, round half even(val_frac * n)) in an order drawn by seed are val; the rest train.
+
+    `folds` is (class, unit, n, fold) of `grouped_folds`. Units, not rows, are repeated; rows take their side by a join on the
+    unit. So no unit stands on two sides of a fold."""
+    every = folds.select(F.col("fold").alias("own"), by, unit, "n").join(F.broadcast(folds.select("fold").distinct()))  # one row a fold
+    seeded = every.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
+    pool = seeded.where("own <> fold")
+    w = Window.partitionBy("fold", "seed", by)
+    drawn = F.md5(F.concat_ws("|", F.col("seed").cast("string"), by, unit))
+    n_val = F.greatest(F.lit(1), F.bround(F.lit(val_frac) * F.count(F.lit(1)).over(w)).cast("int"))
+    carved = pool.withColumn("side", F.when(F.row_number().over(w.orderBy(drawn, unit)) <= n_val, "val").otherwise("train"))
+    return carved.unionByName(seeded.where("own = fold").withColumn("side", F.lit("test"))).select("fold", "seed", by, unit, "n", "side")
+
+
+def random_fold_sides(folded: DataFrame, seeds: list[int], val_frac: float = 0.15, key: str = "frame_id") -> DataFrame:
+    """Rows with (fold, seed, side) for every fold and seed: rows of the fold are test, round half even(val_frac * n) of the
+    others in an order drawn by seed are val, the rest train. `folded` has each row's own fold in `fold` (`random_folds`)."""
+    named = folded.withColumnRenamed("fold", "own")
+    every = named.join(F.broadcast(folded.select("fold").distinct()))  # one row a fold
+    seeded = every.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
+    pool = random_split(seeded.where("own <> fold"), val_frac, "seed", key, runs=("fold", "seed"))
+    pool = pool.withColumn("side", F.when(F.col("side") == "test", "val").otherwise("train"))
+    return pool.unionByName(seeded.where("own = fold").withColumn("side", F.lit("test"))).drop("own")
+
+
+def standard_sides(frames: DataFrame, seeds: list[int], k: int = 5, by: str = "class", unit: str = "unit") -> DataFrame:
+    """Rows with (seed, side): the first of k grouped folds is test, validation units come from the rest."""
+    sides = fold_sides(grouped_folds(frames, k, by, unit), seeds, by=by, unit=unit).where("fold = 0")
+    return frames.join(sides.select("seed", by, unit, "side"), [by, unit])
+
+
+def coverage_sides(frames: DataFrame, target: str, seeds: list[int], val_frac: float = 0.15, unit: str = "unit", key: str = "frame_id") -> DataFrame:
+    """Rows with (condition, seed, side). Of the target unit, drawn by seed, the first half (rounded down) trains in the condition
+    half_in and is left out (side out) in held_out; its other half is test in both. Of all other rows int(val_frac * n) are val, the rest train."""
+    seeded = frames.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])))
+    own = random_split(seeded.where(F.col(unit) == target), 0.5, "seed", key, runs=("seed",), cut="down")
+    rest = random_split(seeded.where(F.col(unit) != target), val_frac, "seed", key, runs=("seed",), cut="down")
+    own = own.withColumn("side", F.when(F.col("side") == "test", "half").otherwise("test"))
+    rest = rest.withColumn("side", F.when(F.col("side") == "test", "val").otherwise("train"))
+    both = own.unionByName(rest).withColumn("condition", F.explode(F.array(F.lit("held_out"), F.lit("half_in"))))
+    return both.withColumn("side", F.when(F.col("side") != "half", F.col("side")).when(F.col("condition") == "half_in", "train").otherwise("out"))
+
+
 def first_of(frames: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
     """The first n rows of each group in the given order; groups are cut before their rows are gathered."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -10,6 +10,7 @@ from ..operators import components as CC
 from ..operators import leakage as L
 from ..operators import metrics as M
 from ..operators import sequences as S
+from ..operators import similar as SIM
 from ..operators import splits as P
 from ..sources import bindings as B
 from .registry import query, r6, rounded
@@ -244,7 +245,7 @@ def nearest_centroid(spark, d):
 
 @query("d5_similarity_pairs", f"WITH {EMB} SELECT a.frame_id AS a, b.frame_id AS b, round(list_inner_product(a.v, b.v), 6) + 0.0 AS similarity FROM u a JOIN u b ON a.class = b.class AND a.frame_id < b.frame_id WHERE list_inner_product(a.v, b.v) > 0.3")
 def similarity_pairs(spark, d):
-    return rounded(L.similarity_pairs(vectors(spark, d), "frame_id", "v", 0.3, block="class"))
+    return rounded(SIM.similarity_pairs(vectors(spark, d), "frame_id", "v", 0.3, block="class"))
 
 
 @query("e12_components", f"""WITH RECURSIVE {EMB}, p AS (SELECT a.frame_id AS a, b.frame_id AS b FROM u a JOIN u b ON a.class = b.class AND a.frame_id <> b.frame_id WHERE list_inner_product(a.v, b.v) > 0.3),
@@ -252,7 +253,7 @@ r(node, seen) AS (SELECT frame_id, frame_id FROM u UNION SELECT r.node, p.b FROM
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def components(spark, d):
     v = vectors(spark, d)
-    return CC.components(L.similarity_pairs(v, "frame_id", "v", 0.3, block="class"), v.select(F.col("frame_id").alias("node")))
+    return CC.components(SIM.similarity_pairs(v, "frame_id", "v", 0.3, block="class"), v.select(F.col("frame_id").alias("node")))
 
 
 @query("e13_threshold_sweep", f"""WITH RECURSIVE {EMB}, t AS (SELECT unnest([0.28, 0.3, 0.32, 0.35]) AS threshold),
@@ -264,7 +265,7 @@ g AS (SELECT threshold, CAST(sum(size) AS BIGINT) AS n, count(*) AS n_components
 SELECT CAST(threshold AS DOUBLE) AS threshold, n, n_components, largest, singletons, round(frac_in_multi, 6) + 0.0 AS frac_in_multi, round(frac_in_multi * (1 - largest / n), 6) + 0.0 AS score FROM g""")
 def threshold_sweep(spark, d):
     v = vectors(spark, d)
-    pairs = CC.written(L.similarity_pairs(v, "frame_id", "v", 0.28, block="class"))
+    pairs = CC.written(SIM.similarity_pairs(v, "frame_id", "v", 0.28, block="class"))
     return rounded(CC.sweep(pairs, v.select(F.col("frame_id").alias("node")), [0.28, 0.3, 0.32, 0.35]))
 
 

@@ -122,10 +122,10 @@ def ten_seeds(spark, d):
 @query("b6_sorted_files", r"""SELECT page_id, row_number() OVER (PARTITION BY page_id % 10 ORDER BY coalesce(CAST(regexp_extract_all(url, '(\d+)', 1)[-1] AS BIGINT), 0), url, page_id) AS place FROM pages""")
 def sorted_files(spark, d):
     """Files of a folder by their last integer (0 without one), then by name."""
-    from ..functions.names import last_number
+    from ..functions.names import number_order
 
     p = B.table(spark, d, "pages").select("page_id", "url", F.pmod("page_id", F.lit(10)).alias("folder"))
-    w = Window.partitionBy("folder").orderBy(F.coalesce(last_number(F.col("url")), F.lit(0)), "url", "page_id")
+    w = Window.partitionBy("folder").orderBy(number_order(F.col("url")), "page_id")
     return p.select("page_id", F.row_number().over(w).cast("long").alias("place"))
 
 

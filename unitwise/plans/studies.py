@@ -10,6 +10,7 @@ from ..operators import experiments as X
 from ..operators import leakage as L
 from ..operators import metrics as M
 from ..operators import sequences as S
+from ..operators import similar as SIM
 from ..sources import bindings as B
 from ..streaming.triplets import remaining
 from .experiments import PRED, files, predictions
@@ -242,7 +243,7 @@ c AS (SELECT class, unit, list_transform(m, lambda x: x / sqrt(list_inner_produc
 SELECT a.unit AS a, b.unit AS b, round(list_inner_product(a.c, b.c), 6) + 0.0 AS similarity FROM c a JOIN c b ON a.class = b.class AND a.unit < b.unit WHERE list_inner_product(a.c, b.c) > 0.3""")
 def similar_units(spark, d):
     means = L.vector_mean(vectors(spark, d), ["class", "unit"], "v").withColumn("c", A.unit(F.col("mean")))
-    return rounded(L.similarity_pairs(means, "unit", "c", 0.3, block="class"))
+    return rounded(SIM.similarity_pairs(means, "unit", "c", 0.3, block="class"))
 
 
 @query("j17_centroid_scatter", f"WITH {FRAMES}, {LINEAR} SELECT unit, round(avg(col_centroid), 6) + 0.0 AS mean, round(stddev_pop(col_centroid), 6) + 0.0 AS sd, unit % 10 = 3 AS target FROM feat GROUP BY unit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,6 +124,30 @@ def read_split(spark: SparkSession, path: str, protocol: str, seed: int) -> Data
     return spark.read.parquet(path).where((F.col("protocol") == protocol) & (F.col("seed") == seed)).drop("protocol", "seed")
 
 
+def write_report(body: DataFrame, folder: str, name: str) -> None:
+    """Writes the one row of `body` as <folder>/<name>.json, whole or not at all; one written before under the name is replaced.
+
+    The row becomes a file beside its place and is renamed there, so a reader sees the old report or the new one. A table
+    of several rows is an error, an empty one too: a report is one document."""
+    spark = body.sparkSession
+    lines = body.limit(2).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in body.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    apart = f"{folder.rstrip('/')}/.{name}-{uuid.uuid4().hex[:12]}"
+    lines.coalesce(1).write.text(apart)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, target = hadoop.Path(apart), hadoop.Path(f"{folder.rstrip('/')}/{name}.json")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        if spark.read.text(apart).count() != 1:
+            raise ValueError(f"report {name}: one row is needed")
+        part = next(s.getPath() for s in fs.listStatus(place) if s.getPath().getName().startswith("part-") and s.getLen())
+        if fs.exists(target) and not fs.rename(target, hadoop.Path(f"{apart}/before")):
+            raise OSError(f"report {name}: the old one cannot be put aside")
+        if not fs.rename(part, target):
+            raise OSError(f"report {name}: cannot be put in place")
+    finally:
+        fs.delete(place, True)
+
+
 def read_reports(spark: SparkSession, folder: str, candidates: dict[str, list[str]]) -> DataFrame:
     """(name, body): for each report the first of its candidate files that exists, as a VARIANT."""
     raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(short_name(F.col("_metadata.file_path")).alias("file"), "value")
