@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import shared_folder
+
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
@@ -43,13 +45,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that the driver and all executors see.
 
     Only in local mode a temporary folder may take its place; on a cluster the setting is required."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="unitwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str, *parts: str) -> DataFrame:

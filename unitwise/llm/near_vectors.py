@@ -7,13 +7,15 @@ from the medoid, in the graph of those before them; what the beam holds is robus
 reverse edges are added and pruned again where a list overflows, and a second turn inserts all nodes anew. The adjacency
 lists of a node from all its shards are united. Shards of near centroids form regions of some `region_rows` nodes, and
 there the united graph is walked over the borders of shards: greedily from the medoid (and from the node's own place)
-towards each node, and from there in all directions while similarity stays above the threshold less `slack`. Pairs count
-only if their cosine, in double precision, reaches the threshold; a pair that meets in two regions counts in the first. A
-region gives each node its number of links and the least node of its component there, so rows grow with nodes, never
-with pairs.
+towards each node, and from there in all directions while similarity stays above the threshold less `slack`. Two blocks of
+a region meet in one task, which asks for the nodes of each in the graph of the other and takes a pair that either way
+finds, if its cosine, in double precision, reaches the threshold. A pair belongs to the first region that both nodes
+share and to no other, so it is one link, counted at both ends and joined in the components, or none at all. A task gives
+each node its number of links and the least node of its component there, so rows grow with nodes, never with pairs.
 
 Recall is audited against brute force: links between different vectors are counted for `audit` nodes over all nodes,
-and for more of them until `least_links` true links are seen. Below `least_recall` the search is repeated with one more
+and for more of them until `least_links` true links are seen; the lower 95 % bound of that share counts, unless all nodes were
+asked. Below `least_recall` the search is repeated with one more
 shard for each node, up to `max_overlap`, and then by an exact comparison of all shards that the triangle inequality of
 angles does not rule out, block by block.
 
@@ -25,6 +27,7 @@ equal hashes would be taken for copies. A group's work is bounded by `region_row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,41 +265,62 @@ def _search(nodes: DataFrame, c: np.ndarray, width: int, threshold: float, overl
     united = near.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # one list for a shard of the node
     held = dealt.join(materialize(united, "vectors-graph"), "node").select(F.explode("regions").alias("region"), "node", "m", "v", "regions", "near")
     held = materialize(_blocks(held, "region", region_rows), "vectors-held")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    index = held.select("region", F.explode(others).alias("part"), "block", "node", "m", "v", "regions", "near", F.lit(0).alias("role"))
-    asking = held.select("region", F.col("block").alias("part"), F.explode(others).alias("block"), "node", "m", "v", "regions", F.lit(None).cast("array<long>").alias("near"), F.lit(1).alias("role"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = held.withColumn("other", every)
+    met = met.select("region", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("block") > F.col("other")).cast("int").alias("role"), "node", "m", "v", "regions", "near")
 
     def search(table: pa.Table) -> pa.Table:
-        role, ids = table.column("role").to_numpy(), table.column("node").to_numpy()
-        x, regions = unit(matrix(table.column("v"), width)), table.column("regions").to_pylist()
-        inside, asks = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        out_node, out_k, out_n, out_root = [], [], [], []
-        if len(inside) and len(asks):
-            m, here = table.column("m").to_numpy()[inside], int(table.column("region")[0].as_py())
+        ids, role = table.column("node").to_numpy(), table.column("role").to_numpy()
+        here, alike = int(table.column("region")[0].as_py()), table.column("first")[0] == table.column("second")[0]
+        left = np.flatnonzero(role == 0)
+        right = left if alike else np.flatnonzero(role == 1)
+        x, near, regions = unit(matrix(table.column("v"), width)), table.column("near").to_pylist(), table.column("regions").to_pylist()
+        linked = np.zeros((len(left), len(right)), bool)
+
+        def ask(asking: np.ndarray, inside: np.ndarray, mark: np.ndarray) -> None:
             place = {node: i for i, node in enumerate(ids[inside].tolist())}
-            near = table.column("near").take(pa.array(inside)).to_pylist()
-            block = Block(x[inside], [np.array([place[j] for j in a if j in place], np.int64) for a in near])
-            label = ids.copy()  # the least node of the component, by place in the table
-            for a in asks.tolist():
-                own = place.get(int(ids[a]))
-                found = block.within(x[a], own, threshold, slack)
-                found = found[found != own] if own is not None else found
-                if not len(found):
-                    continue
-                mine = regions[a]
-                counted = [j for j in found.tolist() if min(r for r in regions[inside[j]] if r in mine) == here] if len(mine) > 1 else found
-                out_node.append(int(ids[a]))
-                out_k.append(len(counted))
-                out_n.append(int(m[counted].sum()) if len(counted) else 0)
-                rows = np.concatenate((inside[found], [a] if own is None else [a, inside[own]]))
-                seen = np.unique(label[rows])
-                if len(seen) > 1:
-                    label[np.isin(label, seen)] = seen[0]
-            of = dict(zip(ids[asks].tolist(), label[asks].tolist(), strict=True))
-            out_root = [of[v] for v in out_node]
-        return _found(out_node, out_k, out_n, out_root)
-
-    return index.unionByName(asking).groupBy("region", "part", "block").applyInArrow(search, _FOUND)
+            block = Block(x[inside], [np.array([place[j] for j in near[i] if j in place], np.int64) for i in inside.tolist()])
+            for i, a in enumerate(asking.tolist()):
+                mark[i, block.within(x[a], place.get(int(ids[a])), threshold, slack)] = True
+
+        if len(left) and len(right):
+            ask(left, right, linked)
+            if alike:
+                linked |= linked.T
+                np.fill_diagonal(linked, False)
+            else:
+                ask(right, left, linked.T)
+            for r in {r for of in regions for r in of if r < here}:  # pairs of an earlier region
+                linked[np.ix_([r in regions[i] for i in left.tolist()], [r in regions[i] for i in right.tolist()])] = False
+        return _counted(ids, table.column("m").to_numpy(), left, right, linked, alike)
+
+    return met.groupBy("region", "first", "second").applyInArrow(search, _FOUND)
+
+
+def _counted(ids: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray, alike: bool) -> pa.Table:
+    """Links, links by copies, and the least node of the component, of each node with a link; `linked` is symmetric if both sides are alike."""
+    k, n, label = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), ids.copy()
+    for i in range(0, len(left), 256):  # sums of copies as numbers, some rows at a time
+        some, rows = linked[i : i + 256], left[i : i + 256]
+        k[rows] += some.sum(1)
+        n[rows] += some @ m[right]
+        if not alike:
+            k[right] += some.sum(0)
+            n[right] += m[rows] @ some
+    open_rows = linked.any(1)
+    while open_rows.any():
+        rows, cols = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        front = np.array([open_rows.argmax()])
+        while len(front):
+            rows[front] = True
+            new = linked[front].any(0) & ~cols
+            cols |= new
+            front = np.flatnonzero((linked[:, new].any(1)) & ~rows)
+        members = np.concatenate((left[rows], right[cols]))
+        label[members] = ids[members].min()
+        open_rows &= ~rows
+    at = np.flatnonzero(k)
+    return _found(ids[at].tolist(), k[at].tolist(), n[at].tolist(), label[at].tolist())
 
 
 def _exact(nodes: DataFrame, c: np.ndarray, width: int, threshold: float, block_rows: int) -> DataFrame:
@@ -311,13 +335,23 @@ def _exact(nodes: DataFrame, c: np.ndarray, width: int, threshold: float, block_
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.argmax(1) if b.num_rows else [], pa.int64()), pa.array(angle, pa.float64())], names=["node", "m", "v", "shard", "angle"])
 
     dealt = materialize(_blocks(nodes.select("node", "m", "v").mapInArrow(deal, "node long, m long, v array<double>, shard long, angle double"), "shard", block_rows), "vectors-dealt")
-    sizes = {r["shard"]: (r["radius"], r["blocks"]) for r in dealt.groupBy("shard").agg(F.max("angle").alias("radius"), F.max("blocks").alias("blocks")).collect()}  # a row for a shard
-    used = sorted(sizes)
-    unit_c, radius = unit(c)[used], np.array([sizes[s][0] for s in used])
-    between = np.arccos(np.clip(unit_c @ unit_c.T, -1, 1)) - radius[:, None] - radius[None, :]
-    first, second = np.nonzero(np.triu(between <= np.arccos(min(1.0, threshold)) + 1e-9))
-    pairs = [(used[i], p, used[j], q) for i, j in zip(first.tolist(), second.tolist(), strict=True) for p in range(sizes[used[i]][1]) for q in range(sizes[used[j]][1]) if i < j or p <= q]
-    pairs = F.broadcast(spark.createDataFrame(pairs, "s1 long, p1 int, s2 long, p2 int"))
+    sizes = dealt.groupBy("shard").agg(F.max("angle").alias("radius"), F.max("blocks").alias("blocks"))
+    radius = {r["shard"]: r["radius"] for r in sizes.collect()}  # a row for a shard
+    used = np.array(sorted(radius), np.int64)
+    known = spark.sparkContext.broadcast((unit(c)[used], np.array([radius[s] for s in used.tolist()]), used))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, radius, used = known.value
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                between = np.arccos(np.clip(c[i:] @ c[i], -1, 1)) - radius[i] - radius[i:]
+                j = i + np.flatnonzero(between <= np.arccos(min(1.0, threshold)) + 1e-9)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), used[i])), pa.array(used[j])], names=["s1", "s2"])
+
+    of = lambda s, blocks: sizes.select(F.col("shard").alias(s), F.col("blocks").alias(blocks))
+    parts = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = spark.range(len(used)).mapInArrow(near, "s1 long, s2 long").join(of("s1", "b1"), "s1").join(of("s2", "b2"), "s2")
+    pairs = materialize(pairs.withColumn("p1", parts("b1")).withColumn("p2", parts("b2")).where("s1 < s2 or p1 <= p2").select("s1", "p1", "s2", "p2"), "vectors-pairs")
     side = lambda s, p, role: dealt.join(pairs, (F.col("shard") == F.col(s)) & (F.col("block") == F.col(p))).select("s1", "p1", "s2", "p2", "node", "m", "v", F.lit(role).alias("role"))
     both = side("s1", "p1", 0).unionByName(side("s2", "p2", 1).where("s1 <> s2 or p1 <> p2"))
 
@@ -326,22 +360,11 @@ def _exact(nodes: DataFrame, c: np.ndarray, width: int, threshold: float, block_
         x = unit(matrix(table.column("v"), width))
         left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         right = right if len(right) else left
-        k, n, label = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), ids.copy()
-        for i in range(0, len(left), 512):
-            near = x[left[i : i + 512]] @ x[right].T >= threshold
-            if right is left:
-                near[np.arange(len(near)), np.arange(i, i + len(near))] = False
-            k[left[i : i + 512]] += near.sum(1)
-            n[left[i : i + 512]] += near @ m[right]
-            if right is not left:
-                k[right] += near.sum(0)
-                n[right] += m[left[i : i + 512]] @ near
-            for a in np.flatnonzero(near.any(1)).tolist():
-                seen = np.unique(label[np.append(right[near[a]], left[i + a])])
-                if len(seen) > 1:
-                    label[np.isin(label, seen)] = seen[0]
-        at = np.flatnonzero(k)
-        return _found(ids[at].tolist(), k[at].tolist(), n[at].tolist(), label[at].tolist())
+        linked = np.concatenate([x[left[i : i + 512]] @ x[right].T >= threshold for i in range(0, len(left), 512)])
+        if right is left:
+            linked |= linked.T
+            np.fill_diagonal(linked, False)
+        return _counted(ids, m, left, right, linked, right is left)
 
     return both.groupBy("s1", "p1", "s2", "p2").applyInArrow(compare, _FOUND)
 
@@ -365,11 +388,17 @@ def _audit(nodes: DataFrame, counts: DataFrame, width: int, threshold: float, au
 
         true = {r.i: r.n for r in nodes.select("v").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
         wanted = sum(true.get(i, 1) - 1 for i in range(len(asked)))
-        if wanted >= least_links or audit >= min(total, 4096):
-            return sum(r.k for r in asked) / wanted if wanted else 1.0
+        if wanted >= least_links or audit >= min(total, 16384):
+            seen = sum(r.k for r in asked) / wanted if wanted else 1.0
+            return seen if audit >= total or wanted < least_links else least_share(seen, wanted)
         audit *= 4
 
 
+def least_share(seen: float, n: int, z: float = 1.645) -> float:
+    """The lower bound of a share seen in n draws (Wilson)."""
+    return (seen + z * z / (2 * n) - z * math.sqrt(seen * (1 - seen) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def classes(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int = 2, max_overlap: int = 4, shard_rows: int = 1000, region_rows: int = 8000, block_rows: int = 4000, slack: float = 0.1, sample: int = 8000, max_centroids: int = 4096, audit: int = 256, least_links: int = 100, least_recall: float = 0.95) -> DataFrame:
     """One row for each row of the table: id, n_links, component_id, kept (it is its component's least id), audit_recall."""
     ship(table.sparkSession)
