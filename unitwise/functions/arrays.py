@@ -180,3 +180,27 @@ def masked_unit(cells: Column, mask_db: float | None = None) -> Column:
 def kept_cells(cells: Column, mask_db: float) -> Column:
     """How many cells lie within mask_db of the peak."""
     return F.aggregate(F.zip_with(cells, F.array_repeat(F.array_max(cells) - F.lit(float(mask_db)), F.size(cells)), lambda x, low: F.when(x >= low, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+
+
+def sample_stats(cells: Column) -> Column:
+    """A struct over the finite cells: peak, floor (10th percentile), range, mean, population sd, cells within 3, 6 and 10 of the
+    peak and at least 6, 12 and 20 above the floor, and their number. Null without a finite cell."""
+    finite = F.filter(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+    def count(a: Column, low: Column) -> Column:
+        return F.size(F.filter(F.zip_with(a, F.array_repeat(low, F.size(a)), lambda x, y: x >= y), lambda k: k)).cast("long")
+
+    def stats(s: Column) -> Column:
+        a, peak, floor, n = s["a"], s["peak"], s["floor"], s["n"]
+        mean = total(a) / n
+        near = [count(a, peak - db).alias(f"within_{db}") for db in (3, 6, 10)] + [count(a, floor + db).alias(f"above_{db}") for db in (6, 12, 20)]
+        centred = centre(a)
+        return F.struct(peak.alias("peak"), floor.alias("floor"), (peak - floor).alias("range"), mean.alias("mean"), F.sqrt(dot(centred, centred) / n).alias("sd"), *near, n.cast("long").alias("n"))
+
+    return let(lambda s: F.when(F.size(s["a"]) > 0, let(stats, a=s["a"], peak=F.array_max(s["a"]), floor=quantile_of(s["a"], 0.1), n=F.size(s["a"]))), a=finite)
+
+
+def above_floor(cells: Column, times: float = 2.0) -> Column:
+    """The share of cells whose linear power exceeds `times` the median."""
+    linear = peak_relative(cells)
+    return let(lambda s: F.size(F.filter(F.zip_with(s["l"], F.array_repeat(s["f"] * times, F.size(s["l"])), lambda x, f: x > f), lambda k: k)) / F.size(s["l"]), l=linear, f=median_of(linear))

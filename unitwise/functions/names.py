@@ -46,3 +46,24 @@ def number_order(name: Column) -> Column:
     """A struct that sorts names by their last integer, whatever its size, then by name; names without one come as 0."""
     digits = F.regexp_replace(F.coalesce(F.try_element_at(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), F.lit(-1)), F.lit("0")), r"^0+(?=\d)", "")
     return F.struct(F.length(digits).alias("size"), digits.alias("digits"), name.alias("name"))
+
+
+#: What a part of a name may look like, and the pattern it is found by.
+TOKEN_PATTERNS = {"integer_runs": r"(\d+)", "date_like": r"(20\d{2}[-_]?\d{2}[-_]?\d{2})", "time_like": r"(\d{2}[-_:]\d{2}[-_:]\d{2})", "keyword_run": r"(?i)\b(run|pass|seq|session|track|meas|flight|trial)[-_]?(\d+)"}
+
+
+def first_token(name: Column, pattern: str) -> Column:
+    """The first match of a token pattern in a name; null without one."""
+    found = F.regexp_extract(name, TOKEN_PATTERNS[pattern], 0)
+    return F.when(found != "", found)
+
+
+def unit_key(cls: Column, name: Column) -> Column:
+    """class/name of a unit; the name may hold further slashes."""
+    return F.concat_ws("/", cls, name)
+
+
+def split_key(key: Column) -> tuple[Column, Column]:
+    """Class and name of a unit's key, split at the first slash; without one the class is null."""
+    parts = F.split(key, "/", 2)
+    return F.when(F.size(parts) == 2, parts[0]), F.element_at(parts, -1)

@@ -161,3 +161,68 @@ def interaction_interval(runs: DataFrame, seed: str, condition: str, names: tupl
 def separation(rows: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:
     """min(first) - max(second): positive without any overlap."""
     return rows.agg((F.min(F.when(F.col(group) == first, F.col(value))) - F.max(F.when(F.col(group) == second, F.col(value)))).alias("separation"))
+
+
+#: Two-tailed critical t at 5 % by degrees of freedom; 2.0 beyond.
+CRITICAL_T = {1: 12.71, 2: 4.30, 3: 3.18, 4: 2.78, 5: 2.57, 6: 2.45, 7: 2.36, 8: 2.31, 9: 2.26, 10: 2.23}
+
+
+def critical_t(df: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CRITICAL_T.items() for x in kv]), df.cast("int")), F.lit(2.0))
+
+
+def judged_t(tested: DataFrame) -> DataFrame:
+    """Rows of `paired` with df, critical and significant (|t| above it; false without a t)."""
+    critical = critical_t(F.col("n") - 1)
+    return tested.withColumn("df", F.col("n") - 1).withColumn("critical", critical).withColumn("significant", F.coalesce(F.abs("t") > critical, F.lit(False)))
+
+
+def error_structure(pred: DataFrame, by: list[str], classes: list[str], focus: str, other: str) -> DataFrame:
+    """By group: precision and recall of the class in focus and whether the first is lower, how often `other` is taken for it
+    and the reverse, and the class of the least F1 (ties: the first name)."""
+    m = class_metrics(pred, by, classes)
+    of = lambda c: F.max(F.when(F.col("class") == focus, F.col(c)))
+    g = m.groupBy(*by).agg(of("precision").alias("precision"), of("recall").alias("recall"), F.min(F.struct("f1", "class")).alias("w"))
+    n = lambda a, b: F.count_if((F.col("y_true") == a) & (F.col("y_pred") == b))
+    mixed = pred.groupBy(*by).agg(n(other, focus).alias("other_as_focus"), n(focus, other).alias("focus_as_other"))
+    return g.join(mixed, by).select(*by, "precision", "recall", (F.col("precision") < F.col("recall")).alias("precision_lower"), "other_as_focus", "focus_as_other", (F.col("other_as_focus") > F.col("focus_as_other")).alias("other_leaks_more"), F.col("w.class").alias("weakest"), F.col("w.f1").alias("weakest_f1"))
+
+
+def against_others(rows: DataFrame, target: Column, value: str, base: str, by: list[str] | None = None) -> DataFrame:
+    """By group: the target's value and rank (1 + those above it), its z against the others (sample deviation + 1e-12), the others' median, largest
+    and deviation, and the correlation of base and value with and without the target. Groups without the target give no row."""
+    by = by or []
+    own, other = F.when(target, F.col(value)), F.when(~target, F.col(value))
+    without = lambda c: F.when(~target, F.col(c))
+    marked = rows.withColumn("t", target)
+    top = marked.where("t").groupBy(*by).agg(F.max(value).alias("own")) if by else marked.where("t").agg(F.max(value).alias("own"))
+    joined = rows.join(top, by) if by else rows.join(F.broadcast(top))  # one row
+    g = joined.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.max(own).alias("value"), (F.count_if(F.col(value) > F.col("own")) + 1).alias("rank"),
+        F.when(F.count(other) > 1, (F.max(own) - F.avg(other)) / (F.stddev_samp(other) + F.lit(1e-12))).alias("z"),
+        F.median(other).alias("others_median"), F.max(other).alias("others_most"), sd0(other).alias("others_sd"),
+        pearson(F.col(base), F.col(value)).alias("pearson"), pearson(without(base), without(value)).alias("pearson_without"),
+    )
+    return g.where("value IS NOT NULL")
+
+
+def seed_gaps(runs: DataFrame, by: list[str], value: str, large: float = 0.45) -> DataFrame:
+    """By group: its values in order, mean, sd, the largest gap as a share of the range, and whether that splits the values."""
+    listed = runs.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("values"), F.avg(value).alias("mean"), sd0(value).alias("sd"))
+    return listed.join(largest_gap(runs, by, value), by).withColumn("split", F.col("gap") > large)
+
+
+#: Metrics of predictions by name: each an aggregate, "of a class" where it takes one.
+METRICS = {
+    "accuracy": lambda cls=None: F.avg((F.col("y_true") == F.col("y_pred")).cast("double")),
+    "recall": lambda cls: F.count_if((F.col("y_true") == cls) & (F.col("y_pred") == cls)) / F.greatest(F.lit(1), F.count_if(F.col("y_true") == cls)),
+    "precision": lambda cls: F.count_if((F.col("y_true") == cls) & (F.col("y_pred") == cls)) / F.greatest(F.lit(1), F.count_if(F.col("y_pred") == cls)),
+}
+
+
+def metric(name: str | tuple[str, str]) -> Column:
+    """The aggregate of a metric by its name, or by (class, name)."""
+    cls, kind = (None, name) if isinstance(name, str) else name
+    if kind not in METRICS:
+        raise ValueError(f"no such metric: {kind}; known: {', '.join(sorted(METRICS))}")
+    return METRICS[kind](cls) if cls is not None else METRICS[kind]()

@@ -43,6 +43,17 @@ def summary(checked: DataFrame) -> DataFrame:
     return g.withColumn("failed", (F.col("disagreed") > 0) | (F.col("tested") == 0))
 
 
+def summary_by_scope(checked: DataFrame, scope: str = "scope") -> DataFrame:
+    """By scope (null: manuscript): claims, tested, agreed, disagreed, untested."""
+    g = checked.groupBy(F.coalesce(F.col(scope), F.lit("manuscript")).alias("scope"))
+    return g.agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("verdict") != "untested").alias("tested"), F.count_if(F.col("verdict") == "ok").alias("agreed"), F.count_if(F.col("verdict").startswith("FAIL")).alias("disagreed"), F.count_if(F.col("verdict") == "untested").alias("untested"))
+
+
+def summary_by_report(checked: DataFrame) -> DataFrame:
+    """By report: whether it was there, and how many claims it covers."""
+    return checked.groupBy("report").agg(F.max((F.col("verdict") != "untested").cast("int")).cast("boolean").alias("present"), F.count(F.lit(1)).alias("claims"))
+
+
 #: Derivations by name: each takes the relation it reads and its arguments, and returns one row with `got`.
 DERIVATIONS: dict[str, Callable[..., DataFrame]] = {}
 

@@ -82,12 +82,17 @@ c AS (SELECT frame_id, class, unit, factor || '-' || bits AS protocol, list_tran
 rows AS (SELECT frame_id, class, unit, protocol, {UNIT.format('c.c')} AS v, {FOLD6} FROM c), {CV} SELECT split_part(protocol, '-', 1) AS factor, split_part(protocol, '-', 2) AS bits, fold, n, round(accuracy, 6) + 0.0 AS accuracy FROM acc""")
 def compression_grid(spark, d):
     """Accuracy by column factor and bits; each factor's range is taken over all its reduced cells."""
+    return rounded(X.accuracy(X.cross_validate(compression_rows(spark, d), ["factor", "bits"]), ["factor", "bits", "fold"]))
+
+
+def compression_rows(spark, d) -> DataFrame:
+    """Frames with grouped folds under every factor and number of bits, as unit vectors."""
     rows = protocol_rows(spark, d).where("protocol = 'grouped'").drop("protocol", "v").join(B.frames_from_embeddings(B.table(spark, d, "embeddings")).select("frame_id", "cells"), "frame_id")
     reduced = X.with_conditions(rows, {str(f): A.reduce_columns(F.col("cells"), 4, 16, f) for f in (1, 2, 4)}).drop("cells").withColumnsRenamed({"condition": "factor", "v": "cells"})
     bounds = reduced.groupBy("factor").agg(F.min(F.array_min("cells")).alias("lo"), F.max(F.array_max("cells")).alias("hi"))
     ranged = reduced.join(F.broadcast(bounds), "factor")
     made = X.with_conditions(ranged, {str(b): A.unit(A.centre(A.quantise(F.col("cells"), b, F.col("lo"), F.col("hi")))) for b in (4, 8, 32)}).drop("cells", "lo", "hi").withColumnRenamed("condition", "bits")
-    return rounded(X.accuracy(X.cross_validate(made, ["factor", "bits"]), ["factor", "bits", "fold"]))
+    return made
 
 
 HALF = "('0x' || substr(md5(concat_ws('|', '8', frame_id)), 1, 8))::BIGINT % 2 = 0"
