@@ -10,6 +10,7 @@ from ..functions import names as N
 from ..operators import experiments as X
 from ..operators import metrics as M
 from ..operators import sequences as S
+from ..operators.components import written
 from ..sources import bindings as B
 from . import claims as K
 from .experiments import ACC, CLASSES, PRED, accuracies, predictions
@@ -235,3 +236,67 @@ def scopes(spark, d) -> DataFrame:
     report = acc.agg(F.to_json(F.struct(F.struct(of("F"), of("O")).alias("mean"), F.min("a").alias("lowest"))).alias("json"))
     listed = spark.createDataFrame(CLAIMS, "id string, report string, path string, expect double, tol double, scope string")
     return K.summary_by_scope(K.check(listed, report.select(F.lit("accuracy").alias("name"), F.parse_json("json").alias("body"))))
+
+
+#: Relations that the derivations read: recall, level and recovery of units; runs by condition and seed; predictions.
+DERIVED_SQL = f"""
+{COVER}, {PRED},
+units AS (SELECT class, unit, split_part(unit, '/', 2) AS name, round(held_out, 6) AS recall, round(half_in, 6) AS headroom, round(half_in - held_out, 6) AS recovery FROM g),
+runs AS (SELECT CASE WHEN condition = 'F' THEN CASE WHEN fold % 2 = 0 THEN 'neither' ELSE 'input' END ELSE CASE WHEN fold % 2 = 0 THEN 'weights' ELSE 'both' END END AS condition, seed, avg(CAST(y_true = y_pred AS DOUBLE)) AS value FROM pred GROUP BY ALL),
+ww AS (
+  SELECT seed, max(value) FILTER (WHERE condition = 'neither') AS n, max(value) FILTER (WHERE condition = 'input') AS i, max(value) FILTER (WHERE condition = 'weights') AS w, max(value) FILTER (WHERE condition = 'both') AS b FROM runs GROUP BY seed
+), dd AS (SELECT n - b AS d, b - i - w + n AS x FROM ww),
+cc AS (SELECT condition, avg(value) AS m, var_samp(value) / count(*) AS q, min(value) AS lo, max(value) AS hi FROM runs GROUP BY condition),
+kk AS (SELECT count(*) AS n, count(*) FILTER (WHERE d > 0) AS k FROM dd)"""
+WELCH = "(SELECT (x.m - y.m) / sqrt(x.q + y.q) FROM cc x, cc y WHERE x.condition = 'neither' AND y.condition = 'both')"
+PAIR_T = "(SELECT avg(d) / (stddev_samp(d) / sqrt(count(*))) FROM dd)"
+DERIVED = {
+    "session_recall": "(SELECT min(recall) FROM units WHERE unit = '2/4')",
+    "min_session_recall": "(SELECT min(recall) FROM units WHERE class = '2')",
+    "session_recall_extreme": "(SELECT max(recall) FROM units WHERE class = '2' AND name <> '4')",
+    "units_above": "(SELECT count(*) FROM units WHERE recall > 0.5 AND name <> '4')",
+    "recall_sd_excluding": "(SELECT stddev_samp(recall) FROM units WHERE name <> '4')",
+    "pearson_excluding": "(SELECT corr(recall, headroom) FROM units WHERE name <> '4')",
+    "recovery_of": "(SELECT min(recovery) FROM units WHERE name = '4')",
+    "recovery_extreme": "(SELECT max(recovery) FROM units WHERE name <> '4')",
+    "recovery_sd_excluding": "(SELECT stddev_samp(recovery) FROM units WHERE name <> '4')",
+    "predicted_fraction": "(SELECT avg(CAST(y_pred = 'N' AS DOUBLE)) FROM pred WHERE unit = 7 AND condition = 'F')",
+    "welch_t": WELCH,
+    "welch_t_abs": f"abs({WELCH})",
+    "augment_value": "(SELECT m FROM cc WHERE condition = 'input')",
+    "ablate_drop": "(SELECT max(m) FILTER (WHERE condition = 'neither') - max(m) FILTER (WHERE condition = 'both') FROM cc)",
+    "interaction_contrast": "(SELECT avg(x) FROM dd)",
+    "interaction_contrast_t": "(SELECT avg(x) / (stddev_samp(x) / sqrt(count(*))) FROM dd)",
+    "paired_t": PAIR_T,
+    "paired_t_abs": f"abs({PAIR_T})",
+    "paired_mean_diff": "(SELECT avg(d) FROM dd)",
+    "paired_n_positive": "(SELECT k FROM kk)",
+    "separation_gap": "(SELECT max(lo) FILTER (WHERE condition = 'neither') - max(hi) FILTER (WHERE condition = 'both') FROM cc)",
+    "sign_test_p": "(SELECT sum(factorial(n) / (factorial(i) * factorial(n - i)) / pow(2, n)) FROM kk, (SELECT unnest(range(0, 50)) AS i) WHERE i >= k AND i <= n)",
+}
+
+
+@query("k_derivations", f"WITH {DERIVED_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS name, round(CAST({q} AS DOUBLE), 6) + 0.0 AS got" for n, q in DERIVED.items()))
+def derivations(spark, d) -> DataFrame:
+    """Every registered derivation by its name, over units, runs and predictions made from the tables."""
+    c = rounded(X.coverage(vectors(spark, d).select("frame_id", "class", "unit", "v"), A.draw(8, F.col("frame_id"), 2) == 0))
+    units = written(c.select("class", "unit", F.col("held_out").alias("recall"), F.col("half_in").alias("headroom"), F.round("recovery", 6).alias("recovery")))
+    pred = predictions(spark, d)
+    even = F.pmod("fold", F.lit(2)) == 0
+    condition = F.when(F.col("condition") == "F", F.when(even, "neither").otherwise("input")).otherwise(F.when(even, "weights").otherwise("both"))
+    runs = written(pred.groupBy(condition.alias("condition"), "seed").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("value")))
+    pair = {"first": "neither", "second": "both"}
+    asked = {
+        "session_recall": (units, {"unit": "4", "cls": "2"}), "min_session_recall": (units, {"cls": "2"}), "session_recall_extreme": (units, {"which": "max", "cls": "2", "exclude": "4"}),
+        "units_above": (units, {"threshold": 0.5, "exclude": "4"}), "recall_sd_excluding": (units, {"exclude": "4"}), "pearson_excluding": (units, {"exclude": "4"}),
+        "recovery_of": (units, {"unit": "4"}), "recovery_extreme": (units, {"which": "max", "exclude": "4"}), "recovery_sd_excluding": (units, {"exclude": "4"}),
+        "predicted_fraction": (pred.withColumn("unit", F.col("unit").cast("string")), {"cls": "N", "unit": "7", "condition": "F"}),
+        "augment_value": (runs, {"condition": "input"}), "ablate_drop": (runs, {"base": "neither", "condition": "both"}),
+        "interaction_contrast": (runs, {}), "interaction_contrast_t": (runs, {}), "sign_test_p": (runs, {**pair, "sided": "upper"}),
+        **{n: (runs, pair) for n in ("welch_t", "welch_t_abs", "paired_t", "paired_t_abs", "paired_mean_diff", "paired_n_positive", "separation_gap")},
+    }
+    out = None
+    for name, (relation, args) in asked.items():
+        one = K.DERIVATIONS[name](relation, **args).select(F.lit(name).alias("name"), F.col("got"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
