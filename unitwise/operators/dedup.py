@@ -13,18 +13,24 @@ def probe(order: Column, n: Column, k: int) -> Column:
     return F.array_contains(steps, order)
 
 
-def file_digests(files: DataFrame, first_bytes: int = 65536) -> DataFrame:
-    """files with the sha1 of the content's first bytes."""
-    return files.withColumn("digest", F.sha1(F.substring(F.col("content").cast("binary"), 1, first_bytes)))
+def file_digests(files: DataFrame, first_bytes: int | None = 65536) -> DataFrame:
+    """files with the sha1 of the content's first bytes; first_bytes=None takes the whole content."""
+    content = F.col("content").cast("binary")
+    return files.withColumn("digest", F.sha1(content if first_bytes is None else F.substring(content, 1, first_bytes)))
 
 
 def folder_digests(files: DataFrame, n_probe: int | None = 12) -> DataFrame:
     """(class, folder, name, n, digest): sha1 over the digests of up to n_probe evenly spaced files in path order, and the count.
 
-    Only the probed rows of a folder meet in one list, so its size is bounded; n_probe=None takes all."""
+    Only the probed rows of a folder meet in one list, so its size is bounded. n_probe=None takes all files: three sums over 52 bits
+    each of their digests, and the count, are hashed, so that a folder of any size is combined by partial sums; its order does not count."""
+    if n_probe is None:
+        part = lambda i: F.sum(F.conv(F.substring("digest", 13 * i + 1, 13), 16, 10).cast("decimal(20,0)")).cast("string")
+        g = files.groupBy("class", "folder").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"), *[part(i).alias(f"s{i}") for i in range(3)])
+        return g.select("class", "folder", "name", "n", F.sha1(F.concat_ws("|", "s0", "s1", "s2", F.col("n").cast("string"))).alias("digest"))
     by = Window.partitionBy("class", "folder")
     placed = files.withColumn("o", F.row_number().over(by.orderBy("path")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    kept = placed if n_probe is None else placed.where(probe(F.col("o"), F.col("n"), n_probe))
+    kept = placed.where(probe(F.col("o"), F.col("n"), n_probe))
     joined = F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("o", "digest"))), lambda s: s["digest"]), F.first("n").cast("string"))
     return kept.groupBy("class", "folder").agg(F.first("name").alias("name"), F.first("n").alias("n"), F.sha1(joined).alias("digest"))
 

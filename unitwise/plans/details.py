@@ -272,7 +272,7 @@ DERIVED = {
     "paired_mean_diff": "(SELECT avg(d) FROM dd)",
     "paired_n_positive": "(SELECT k FROM kk)",
     "separation_gap": "(SELECT max(lo) FILTER (WHERE condition = 'neither') - max(hi) FILTER (WHERE condition = 'both') FROM cc)",
-    "sign_test_p": "(SELECT sum(factorial(n) / (factorial(i) * factorial(n - i)) / pow(2, n)) FROM kk, (SELECT unnest(range(0, 50)) AS i) WHERE i >= k AND i <= n)",
+    "sign_test_p": "(SELECT sum(factorial(CAST(n AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(n - i AS INTEGER))) / pow(2, n)) FROM kk, (SELECT unnest(range(0, 50)) AS i) WHERE i >= k AND i <= n)",
 }
 
 
