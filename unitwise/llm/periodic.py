@@ -207,7 +207,8 @@ def _stage(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _runs(staged: DataFrame) -> DataFrame:
     """(row_key, start, length, period) of the runs of staged documents."""
-    tiled = staged.where("octave IS NOT NULL").select("row_key", "octave", "at", "marks", "codes").repartition("row_key", "octave", "at")
+    n = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that small tiles of much work are not put together
+    tiled = staged.where("octave IS NOT NULL").select("row_key", "octave", "at", "marks", "codes").repartition(n, "row_key", "octave", "at")
     fragments = tiled.mapInArrow(_solved, "row_key long, period long, s long, e long")
     by = Window.partitionBy("row_key", "period").orderBy("s", "e")
     before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
