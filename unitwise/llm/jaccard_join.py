@@ -27,7 +27,8 @@ Verification counts both shingle sets of the texts. Null texts and texts without
 alone; fewer words than a shingle make one element. Every row is a document of its own, whatever its id: rows of equal
 ids are told apart by their texts' hashes, rows without an id link like others, and `component_id` is the least id that
 is not null (null where there is none). Sets of different content with equal 64-bit hashes of the whole set, and texts
-of one id with equal 64-bit hashes, would be taken for copies.
+of one id with equal 64-bit hashes, would be taken for copies. Ids are whole numbers. A long text is one row, whose words are
+read at once; an empty table gives no rows, and columns besides id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

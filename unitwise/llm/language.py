@@ -11,7 +11,8 @@ language by hash, and `n_windows` windows of `TRAINED` bytes of them, languages
 
 A null text, or one without a letter, is "und" with score 0. Without training rows every text is. A row without
 an id is never learned from, and `held_out` is false for it. Repeated rows are labelled alike; of equal
-probabilities the first language in order wins. Work and memory grow with a text's length, whatever that is.
+probabilities the first language in order wins. Work and memory grow with a text's length, whatever that is. An empty table
+gives no rows; columns besides id, text and lang are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ carrying the source range it stands for. Identifiers found there, under stricter
 rules, are mapped back; those that overlap no base span of their kind are added.
 
 Nulls and empty texts have no spans. Offsets are code points, ends exclusive. Scans are linear in the
-length of the text, however long its runs of digits or letters. Repeated rows give equal results.
+length of the text, however long its runs of digits or letters. Repeated rows give equal results. Spelled digits count in
+runs of seven and more; shorter groups of them, as in an address spelled part by part, stay words. An empty table gives no
+rows; columns besides id and text are kept by `mask` and not looked at, whatever their names.
 """
 
 from __future__ import annotations

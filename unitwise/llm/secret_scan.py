@@ -14,7 +14,8 @@ held-back positives. Bounds of what is learned from: about `sample` documents, `
 plain runs of each.
 
 Nulls and empty texts have no spans. Offsets are code points, ends exclusive; scans are linear. Repeated
-rows give equal results.
+rows give equal results. Runs of fewer characters than a candidate's are not scored. An empty table gives no rows; columns besides
+id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
