@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from unitwise.plans import arms, details, experiments, frames, protocols, reviews, studies  # noqa: F401
+from unitwise.plans import arms, details, experiments, frames, kfolds, protocols, reviews, studies  # noqa: F401
 from unitwise.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("UNITWISE_TABLES", "/root/testdata/sf0.001")
