@@ -90,8 +90,10 @@ def draw(seed: str | int, identity: Column, n: int | Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), identity.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
-def features(cells: Column, cols: int) -> Column:
-    """A struct of twelve properties of a matrix of decibels, from its linear power above the median floor."""
+def features(cells: Column, cols: int, names: tuple[str, ...] | None = None) -> Column:
+    """A struct of twelve properties of a matrix of decibels, from its linear power above the median floor; of `names` only, if given.
+
+    What is not asked for is not computed: a struct bound by a lambda cannot be pruned afterwards."""
     peak, n = F.array_max(cells), F.size(cells)
     linear = peak_relative(cells)
     floor = median_of(linear)
@@ -110,24 +112,25 @@ def features(cells: Column, cols: int) -> Column:
 
     at = F.array_position(cells, peak) - 1
     above = lambda db: F.size(F.filter(linear, lambda x: x > F.lit(10.0 ** (-db / 10))))
+    fields = {
+        "peak_db": lambda m: peak,
+        "headroom": lambda m: -10 * F.log10(F.greatest(m["f"] if m is not None else floor, F.lit(DB_FLOOR))),
+        "peak_row": lambda m: F.floor(at / cols).cast("long"),
+        "peak_col": lambda m: (at % cols).cast("long"),
+        "row_centroid": lambda m: m["row"],
+        "col_centroid": lambda m: m["col"],
+        "row_spread": lambda m: spread(m, "r", "row"),
+        "col_spread": lambda m: spread(m, "c", "col"),
+        "cells_10db": lambda m: above(10).cast("long"),
+        "cells_20db": lambda m: above(20).cast("long"),
+        "dynamic_range": lambda m: peak - F.array_min(cells),
+        "mean_db": lambda m: total(cells) / n,
+    }
+    wanted = names or tuple(fields)
+    if not {"row_centroid", "col_centroid", "row_spread", "col_spread"} & set(wanted):
+        return F.struct(*[fields[k](None).alias(k) for k in wanted])
     bound = let(moments, e=excess, r=by_row, c=by_col, f=floor)
-    return let(
-        lambda m: F.struct(
-            peak.alias("peak_db"),
-            (-10 * F.log10(F.greatest(m["m"]["f"], F.lit(DB_FLOOR)))).alias("headroom"),
-            F.floor(at / cols).cast("long").alias("peak_row"),
-            (at % cols).cast("long").alias("peak_col"),
-            m["m"]["row"].alias("row_centroid"),
-            m["m"]["col"].alias("col_centroid"),
-            spread(m["m"], "r", "row").alias("row_spread"),
-            spread(m["m"], "c", "col").alias("col_spread"),
-            above(10).cast("long").alias("cells_10db"),
-            above(20).cast("long").alias("cells_20db"),
-            (peak - F.array_min(cells)).alias("dynamic_range"),
-            (total(cells) / n).alias("mean_db"),
-        ),
-        m=bound,
-    )
+    return let(lambda m: F.struct(*[fields[k](m["m"]).alias(k) for k in wanted]), m=bound)
 
 
 def top_cells(cells: Column, k: int) -> Column:

@@ -59,7 +59,7 @@ FROM feat JOIN a USING (frame_id) LEFT JOIN k USING (frame_id) GROUP BY unit""")
 def corrected_concentration(spark, d) -> DataFrame:
     """By unit: extent near the peak, cells for 90 % of the excess over the floor, headroom, and the share of cells above twice the floor."""
     x = F.col("cells")
-    f = frames(spark, d).select("unit", A.features(x, B.COLS).alias("f"), A.concentration(x).alias("k"), A.above_floor(x).alias("above"))
+    f = frames(spark, d).select("unit", A.features(x, B.COLS, ("headroom", "cells_10db", "cells_20db")).alias("f"), A.concentration(x).alias("k"), A.above_floor(x).alias("above"))
     g = f.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("usable"), F.median("f.cells_10db").alias("within_10"), F.median("f.cells_20db").alias("within_20"), F.median("k").alias("cells_90"), F.percentile("k", 0.25).alias("cells_90_p25"), F.percentile("k", 0.75).alias("cells_90_p75"), F.median("f.headroom").alias("headroom"), F.percentile("f.headroom", 0.1).alias("headroom_p10"), F.median("above").alias("above_floor"))
     return rounded(g)
 
@@ -80,7 +80,7 @@ def sample_stats(spark, d) -> DataFrame:
 SELECT unit % 3 AS class, count(*) AS n_units, round(median(m), 6) + 0.0 AS headroom, round(max(m) - min(m), 6) + 0.0 AS spread, round(median(c), 6) + 0.0 AS cells FROM h GROUP BY ALL""")
 def signal_summary(spark, d) -> DataFrame:
     """By class: medians over units of headroom and of cells near the peak, and the spread of headroom."""
-    h = featured(spark, d).groupBy("unit").agg(F.median("headroom").alias("m"), F.median("cells_10db").alias("c"))
+    h = featured(spark, d, "headroom", "cells_10db").groupBy("unit").agg(F.median("headroom").alias("m"), F.median("cells_10db").alias("c"))
     return rounded(h.groupBy(F.pmod("unit", F.lit(3)).alias("class")).agg(F.count(F.lit(1)).alias("n_units"), F.median("m").alias("headroom"), (F.max("m") - F.min("m")).alias("spread"), F.median("c").alias("cells")))
 
 

@@ -46,13 +46,14 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return B.frames_from_events(B.table(spark, d, "events"))
 
 
-def featured(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d).select("frame_id", "unit", "frame_idx", A.features(F.col("cells"), B.COLS).alias("f")).select("frame_id", "unit", "frame_idx", "f.*")
+def featured(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Frames with the named properties, or with all twelve."""
+    return frames(spark, d).select("frame_id", "unit", "frame_idx", A.features(F.col("cells"), B.COLS, names or None).alias("f")).select("frame_id", "unit", "frame_idx", "f.*")
 
 
 @query("e8_unit_centroids", f"WITH {FRAMES}, {LINEAR} SELECT unit, count(*) AS n, round(avg(col_centroid), 6) + 0.0 AS mean, round(coalesce(stddev_samp(col_centroid), 0), 6) + 0.0 AS sd FROM feat GROUP BY unit")
 def unit_centroids(spark, d):
-    return rounded(featured(spark, d).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg("col_centroid").alias("mean"), M.sd0("col_centroid").alias("sd")))
+    return rounded(featured(spark, d, "col_centroid").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg("col_centroid").alias("mean"), M.sd0("col_centroid").alias("sd")))
 
 
 @query("c9_features", f"WITH {FRAMES}, {LINEAR} SELECT frame_id, CAST(peak_row AS BIGINT) AS peak_row, CAST(peak_col AS BIGINT) AS peak_col, CAST(cells_10db AS BIGINT) AS cells_10db, CAST(cells_20db AS BIGINT) AS cells_20db, {rs('peak_db', 'headroom', 'row_centroid', 'col_centroid', 'row_spread', 'col_spread', 'dynamic_range', 'mean_db')} FROM feat")
@@ -62,7 +63,7 @@ def features(spark, d):
 
 @query("c10_signal_stats", f"WITH {FRAMES}, {LINEAR} SELECT unit, count(*) AS n, round(median(headroom), 6) + 0.0 AS median_headroom, round(quantile_cont(headroom, 0.1), 6) + 0.0 AS p10_headroom, round(median(cells_10db), 6) + 0.0 AS median_cells FROM feat GROUP BY unit")
 def signal_stats(spark, d):
-    return rounded(featured(spark, d).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.median("headroom").alias("median_headroom"), F.percentile("headroom", 0.1).alias("p10_headroom"), F.median("cells_10db").alias("median_cells")))
+    return rounded(featured(spark, d, "headroom", "cells_10db").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.median("headroom").alias("median_headroom"), F.percentile("headroom", 0.1).alias("p10_headroom"), F.median("cells_10db").alias("median_cells")))
 
 
 def _summed(name: str, cells) -> list:
@@ -271,7 +272,7 @@ def threshold_sweep(spark, d):
 
 @query("e7_unit_headroom_spread", f"WITH {FRAMES}, {LINEAR}, h AS (SELECT unit, median(headroom) AS m FROM feat GROUP BY unit) SELECT unit % 5 AS g, count(*) AS n_units, round(median(m), 6) + 0.0 AS median_headroom, round(max(m) - min(m), 6) + 0.0 AS spread FROM h GROUP BY ALL")
 def headroom_spread(spark, d):
-    h = featured(spark, d).groupBy("unit").agg(F.median("headroom").alias("m"))
+    h = featured(spark, d, "headroom").groupBy("unit").agg(F.median("headroom").alias("m"))
     return rounded(h.groupBy(F.pmod("unit", F.lit(5)).alias("g")).agg(F.count(F.lit(1)).alias("n_units"), F.median("m").alias("median_headroom"), (F.max("m") - F.min("m")).alias("spread")))
 
 
@@ -309,7 +310,7 @@ def missing_days(spark, d):
 @query("f12_largest_gap", f"""WITH {FRAMES}, {LINEAR}, w AS (SELECT unit, col_centroid AS v, lead(col_centroid) OVER (PARTITION BY unit ORDER BY col_centroid) - col_centroid AS gap FROM feat)
 SELECT unit, count(*) AS n, round(CASE WHEN count(*) >= 3 AND max(v) > min(v) THEN max(gap) / (max(v) - min(v)) ELSE 0 END, 6) + 0.0 AS gap FROM w GROUP BY unit""")
 def largest_gap(spark, d):
-    return rounded(M.largest_gap(featured(spark, d), ["unit"], "col_centroid"))
+    return rounded(M.largest_gap(featured(spark, d, "col_centroid"), ["unit"], "col_centroid"))
 
 
 @query("h1_grouped_split", f"""WITH {FRAMES}, k AS (SELECT DISTINCT CAST(unit % 3 AS VARCHAR) AS class, unit FROM frames),
@@ -347,7 +348,7 @@ def hold_out_unit(spark, d):
 
 @query("c19_peak_columns", f"WITH {FRAMES}, {LINEAR} SELECT unit, round(avg(peak_col), 6) + 0.0 AS mean, round(stddev_pop(peak_col), 6) + 0.0 AS sd FROM feat GROUP BY unit")
 def peak_columns(spark, d):
-    return rounded(featured(spark, d).groupBy("unit").agg(F.avg("peak_col").alias("mean"), F.stddev_pop("peak_col").alias("sd")))
+    return rounded(featured(spark, d, "peak_col").groupBy("unit").agg(F.avg("peak_col").alias("mean"), F.stddev_pop("peak_col").alias("sd")))
 
 
 @query("c16_frame_stats", f"""WITH {FRAMES} SELECT frame_id, round(list_max(cells), 6) + 0.0 AS peak, round(quantile_cont(x, 0.1), 6) + 0.0 AS p10, round(stddev_pop(x), 6) + 0.0 AS sd, count(*) FILTER (WHERE x >= mx - 3) AS within_3, count(*) FILTER (WHERE x >= mx - 6) AS within_6

@@ -140,7 +140,7 @@ def first_frames(spark, d):
 SELECT a.unit, a.n, round(a.mean, 6) + 0.0 AS mean, round(a.sd, 6) + 0.0 AS sd, round(min(b.mean), 6) + 0.0 AS others_min, round(max(b.mean), 6) + 0.0 AS others_max, count(b.unit) + 1 AS n_units FROM g a LEFT JOIN g b ON a.unit <> b.unit GROUP BY ALL""")
 def against_others(spark, d):
     """Each unit's mean centroid and the least and greatest of all other units'; these come from the two outermost units of all."""
-    g = featured(spark, d).groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg("col_centroid").alias("mean"), M.sd0("col_centroid").alias("sd"))
+    g = featured(spark, d, "col_centroid").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.avg("col_centroid").alias("mean"), M.sd0("col_centroid").alias("sd"))
     ends = g.agg(F.min(F.struct("mean", "unit")).alias("lo"), F.max(F.struct("mean", "unit")).alias("hi"), F.count(F.lit(1)).alias("n_units"))
     one = g.join(F.broadcast(ends))  # one row
     inner = one.agg(F.min(F.when(F.col("unit") != F.col("lo.unit"), F.col("mean"))).alias("lo2"), F.max(F.when(F.col("unit") != F.col("hi.unit"), F.col("mean"))).alias("hi2"))

@@ -253,7 +253,7 @@ def similar_units(spark, d):
 
 @query("j17_centroid_scatter", f"WITH {FRAMES}, {LINEAR} SELECT unit, round(avg(col_centroid), 6) + 0.0 AS mean, round(stddev_pop(col_centroid), 6) + 0.0 AS sd, unit % 10 = 3 AS target FROM feat GROUP BY unit")
 def centroid_scatter(spark, d):
-    return rounded(featured(spark, d).groupBy("unit").agg(F.avg("col_centroid").alias("mean"), F.stddev_pop("col_centroid").alias("sd"))).withColumn("target", F.pmod("unit", F.lit(10)) == 3)
+    return rounded(featured(spark, d, "col_centroid").groupBy("unit").agg(F.avg("col_centroid").alias("mean"), F.stddev_pop("col_centroid").alias("sd"))).withColumn("target", F.pmod("unit", F.lit(10)) == 3)
 
 
 @query("b10_field_kinds", r"""WITH f AS (SELECT unnest(regexp_extract_all(url, '(\d+)', 1)) AS v, unnest(range(len(regexp_extract_all(url, '(\d+)', 1)))) AS i FROM pages), c AS (SELECT i, CAST(v AS BIGINT) AS v, count(*) AS n FROM f GROUP BY ALL),
