@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Hex digits of md5 by which rows are counted before a cut: only one in 16^DIGITS of them is ranked.
+DIGITS = 3
+
+
 def shuffled(seed: str | int, *key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
@@ -29,10 +33,10 @@ def random_split(frames: DataFrame, frac: float, seed: int | str = 0, key: str =
     The cut is found from row counts by md5 prefix, so only the rows of the one bucket that holds it are ranked. Rows of
     several `runs` are split apart; `seed` may name one of these columns."""
     drawn = shuffled(seed, key) if seed not in runs else F.md5(F.concat_ws("|", F.col(seed).cast("string"), F.col(key).cast("string")))
-    drawn = frames.withColumn("h", drawn).withColumn("bucket", F.substring("h", 1, 2))
+    drawn = frames.withColumn("h", drawn).withColumn("bucket", F.substring("h", 1, DIGITS))
     counts = drawn.groupBy(*runs, "bucket").agg(F.count(F.lit(1)).alias("c"))
     of_run = Window.partitionBy(*runs)
-    edges = counts.select(*runs, "bucket", "c", F.sum("c").over(of_run.orderBy("bucket")).alias("upto"), F.sum("c").over(of_run).alias("n"))  # 256 rows for a run
+    edges = counts.select(*runs, "bucket", "c", F.sum("c").over(of_run.orderBy("bucket")).alias("upto"), F.sum("c").over(of_run).alias("n"))  # 16^DIGITS rows for a run at most
     at = F.lit(frac) * F.col("n")
     edges = edges.withColumn("cut", (F.bround(at) if cut == "round" else F.floor(at)).cast("long")).withColumn("before", F.col("upto") - F.col("c"))
     placed = drawn.join(F.broadcast(edges), [*runs, "bucket"])
@@ -68,12 +72,12 @@ def random_folds(frames: DataFrame, folds: DataFrame, seed: int = 0, by: str = "
     sizes = folds.groupBy(by, "fold").agg(F.sum("n").alias("size"))
     upto = sizes.select(by, F.struct(F.sum("size").over(Window.partitionBy(by).orderBy("fold")).alias("upto"), "fold").alias("f"))
     ends = upto.groupBy(by).agg(F.array_sort(F.collect_list("f")).alias("ends"))  # one entry for a fold
-    drawn = frames.withColumn("h", shuffled(seed, key)).withColumn("bucket", F.substring("h", 1, 2))
+    drawn = frames.withColumn("h", shuffled(seed, key)).withColumn("bucket", F.substring("h", 1, DIGITS))
     counts = drawn.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("c"))
     edges = counts.withColumn("last", F.sum("c").over(Window.partitionBy(by).orderBy("bucket"))).withColumn("before", F.col("last") - F.col("c"))
     fold_of = lambda rank: F.filter("ends", lambda e: e["upto"] >= rank)[0]["fold"]
     edges = edges.join(ends, by).withColumn("one", fold_of(F.col("before") + 1) == fold_of(F.col("last")))
-    placed = drawn.join(F.broadcast(edges), [by, "bucket"])  # 256 rows for a class
+    placed = drawn.join(F.broadcast(edges), [by, "bucket"])  # 16^DIGITS rows for a class at most
     rank = F.col("before") + F.row_number().over(Window.partitionBy(by, "bucket").orderBy("h", key))
     ranked = placed.where("not one").withColumn("rank", rank).withColumn("fold", fold_of(F.col("rank"))).drop("rank")
     return placed.where("one").withColumn("fold", fold_of(F.col("last"))).unionByName(ranked).select(*frames.columns, "fold")
