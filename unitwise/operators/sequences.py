@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import centre, dot, draw, unit
+from ..functions.names import last_number
 from .components import written
 
 
+def folder_index(files: DataFrame, folder: str, name: str, key: str) -> DataFrame:
+    """(folder, key, idx, pos): a folder's files in the order of the last integer of their names, then of key; names without one are left out."""
+    indexed = files.select(folder, key, last_number(F.col(name)).alias("idx")).where("idx IS NOT NULL")
+    return indexed.withColumn("pos", (F.row_number().over(Window.partitionBy(folder).orderBy("idx", key)) - 1).cast("long"))
+
+
 def triplets(frames: DataFrame, folder: str, index: str, key: str) -> DataFrame:
     """(folder, before, centre, after): frames whose indices are i-1, i, i+1; never over a gap or a folder's end."""
     w = Window.partitionBy(folder).orderBy(index, key)

@@ -10,6 +10,7 @@ from ..functions import names as N
 from ..operators import experiments as X
 from ..operators import metrics as M
 from ..operators import sequences as S
+from ..operators import splits as P
 from ..operators.components import written
 from ..sources import bindings as B
 from . import claims as K
@@ -300,3 +301,35 @@ def derivations(spark, d) -> DataFrame:
         one = K.DERIVATIONS[name](relation, **args).select(F.lit(name).alias("name"), F.col("got"))
         out = one if out is None else out.unionByName(one)
     return rounded(out)
+
+
+@query("b4_session_units", r"""WITH s AS (SELECT DISTINCT 'c' || (user_id % 3) AS class, CASE WHEN user_id % 2 = 0 THEN strftime(ts, '%H-%M') || '_' || user_id ELSE 'session ' || user_id END AS session FROM events),
+u AS (SELECT class, session, coalesce(nullif(regexp_extract(session, '^(\d{1,2}-\d{2})', 1), ''), session) AS unit FROM s)
+SELECT class, unit, class || '/' || unit AS key, count(*) AS n_sessions, min(session) AS first FROM u GROUP BY class, unit""")
+def session_units(spark, d) -> DataFrame:
+    """Units of each class from the leading HH-MM of session names (else the whole name), with their keys and how many sessions they join."""
+    user = F.col("user_id")
+    named = F.when(F.pmod(user, F.lit(2)) == 0, F.concat(F.date_format("ts", "HH-mm"), F.lit("_"), user.cast("string"))).otherwise(F.concat(F.lit("session "), user.cast("string")))
+    sessions = B.table(spark, d, "events").select(F.concat(F.lit("c"), F.pmod(user, F.lit(3)).cast("string")).alias("class"), named.alias("session")).distinct()
+    units = sessions.withColumn("unit", N.unit_of(F.concat(F.lit("x/"), "session"))).withColumn("key", N.unit_key(F.col("class"), F.col("unit")))
+    cls, name = N.split_key(F.col("key"))
+    return units.groupBy(cls.alias("class"), name.alias("unit"), "key").agg(F.count(F.lit(1)).alias("n_sessions"), F.min("session").alias("first"))
+
+
+@query("f1_folder_index", r"""WITH i AS (SELECT page_id, page_id % 10 AS folder, TRY_CAST(regexp_extract_all(url, '(\d+)', 1)[-1] AS BIGINT) AS idx FROM pages)
+SELECT folder, page_id, idx, row_number() OVER (PARTITION BY folder ORDER BY idx, page_id) - 1 AS pos FROM i WHERE idx IS NOT NULL""")
+def folder_index(spark, d) -> DataFrame:
+    pages = B.table(spark, d, "pages").select("page_id", "url", F.pmod("page_id", F.lit(10)).alias("folder"))
+    return S.folder_index(pages, "folder", "url", "page_id")
+
+
+@query("c11_first_frames", f"""WITH {EMB}, f AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY CAST(frame_id AS VARCHAR)) AS r FROM e),
+t AS (SELECT frame_id, unit, cells, list_max(cells) AS peak, list_transform(list_sort(list_transform(cells, lambda x, i: {{'v': -x, 'i': i}}))[1:12], lambda s: s.i) AS k FROM f WHERE r <= 5),
+z AS (SELECT frame_id, unit, list_transform(cells, lambda x, i: CASE WHEN list_contains(k, i) THEN x - peak ELSE 0.0 END) AS z FROM t),
+c AS (SELECT frame_id, unit, list_transform(z, lambda x: x - list_sum(z) / len(z)) AS c FROM z),
+n AS (SELECT frame_id, unit, list_transform(c, lambda x: x / CASE WHEN list_inner_product(c, c) > 0 THEN sqrt(list_inner_product(c, c)) ELSE 1 END) AS n FROM c)
+SELECT frame_id, unit, round(list_max(n), 6) + 0.0 AS hi, round(list_min(n), 6) + 0.0 AS lo FROM n""")
+def first_frames(spark, d) -> DataFrame:
+    """Features of the strongest cells for the first five frames of each unit, in the order of their names as text."""
+    first = P.first_of(vectors(spark, d).withColumn("name", F.col("frame_id").cast("string")), 5, ["unit"], ["name"])
+    return rounded(first.select("frame_id", "unit", A.top_cells(F.col("cells"), 12).alias("n")).select("frame_id", "unit", F.array_max("n").alias("hi"), F.array_min("n").alias("lo")))
