@@ -45,8 +45,8 @@ def with_conditions(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame
     return rows.withColumn("x", F.explode(made)).select(*[c for c in rows.columns if c != "v"], "x.condition", "x.v")
 
 
-def coverage(rows: DataFrame, half: Column, vector: str = "v", unit_col: str = "unit") -> DataFrame:
-    """For every unit at once: recall of its second half when the unit is held out, and when its first half trains.
+def coverage_predictions(rows: DataFrame, half: Column, vector: str = "v", unit_col: str = "unit") -> DataFrame:
+    """Rows of every unit's second half with (condition, y_pred): judged when the unit is held out, and when its first half trains.
 
     Centroids of "all but the unit" and "all but its second half" are totals less sums, for all units in one plan."""
     sided = rows.withColumn("half", F.when(half, "a").otherwise("b"))
@@ -59,7 +59,12 @@ def coverage(rows: DataFrame, half: Column, vector: str = "v", unit_col: str = "
     means = both.groupBy(unit_col, "condition", "class").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m")))), lambda x: x["m"]).alias("m"))
     cs = means.groupBy(unit_col, "condition").agg(F.array_sort(F.collect_list(F.struct(F.col("class").alias("name"), unit(F.col("m")).alias("c")))).alias("cs"))
     near = F.array_max(F.transform("cs", lambda s: F.struct(dot(F.col(vector), s["c"]).alias("sim"), s["name"].alias("name"))))["name"]
-    scored = sided.where("half = 'b'").join(cs, unit_col).withColumn("hit", (near == F.col("class")).cast("double"))
+    return sided.where("half = 'b'").join(cs, unit_col).withColumn("y_pred", near).drop("cs", "half")
+
+
+def coverage(rows: DataFrame, half: Column, vector: str = "v", unit_col: str = "unit") -> DataFrame:
+    """For every unit at once: recall of its second half when the unit is held out, and when its first half trains."""
+    scored = coverage_predictions(rows, half, vector, unit_col).withColumn("hit", (F.col("y_pred") == F.col("class")).cast("double"))
     r = lambda c: F.avg(F.when(F.col("condition") == c, F.col("hit")))
     g = scored.groupBy("class", unit_col).agg((F.count(F.lit(1)) / 2).cast("long").alias("n"), r("held_out").alias("held_out"), r("half_in").alias("half_in"))
     return g.withColumn("recovery", F.col("half_in") - F.col("held_out"))
@@ -90,3 +95,14 @@ def delta_summary(changes: DataFrame) -> DataFrame:
     g = changes.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"), sd0("delta").alias("sd"), F.count_if(F.col("delta") > 0).alias("n_improved"))
     g = g.withColumn("t", F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n")))).withColumn("s", F.when(F.col("n") > 0, sign_test(F.col("n"), F.col("n_improved"))))
     return g.select("n", "mean", "sd", "t", "n_improved", F.col("s.upper").alias("p_one_sided"), F.col("s.two_sided").alias("p_two_sided"))
+
+
+def coverage_verdict(recovery: Column) -> Column:
+    """coverage: the model had no comparable rows (a recovery above 0.30); partial: above 0.10; else little."""
+    return F.when(recovery > 0.30, "coverage").when(recovery > 0.10, "partial").otherwise("little")
+
+
+def predicted_fractions(pred: DataFrame, by: list[str]) -> DataFrame:
+    """(by, y_pred, fraction): the share of each group's rows that each class is given."""
+    counted = pred.groupBy(*by, "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(pred.groupBy(*by).agg(F.count(F.lit(1)).alias("of")), by).select(*by, "y_pred", (F.col("n") / F.col("of")).alias("fraction"))

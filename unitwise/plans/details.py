@@ -333,3 +333,17 @@ def first_frames(spark, d) -> DataFrame:
     """Features of the strongest cells for the first five frames of each unit, in the order of their names as text."""
     first = P.first_of(vectors(spark, d).withColumn("name", F.col("frame_id").cast("string")), 5, ["unit"], ["name"])
     return rounded(first.select("frame_id", "unit", A.top_cells(F.col("cells"), 12).alias("n")).select("frame_id", "unit", F.array_max("n").alias("hi"), F.array_min("n").alias("lo")))
+
+
+@query("j8_predicted_fractions", f"""WITH {COVER} SELECT unit, condition, y_pred, round(count(*) / sum(count(*)) OVER (PARTITION BY unit, condition), 6) + 0.0 AS fraction FROM p WHERE r = 1 GROUP BY unit, condition, y_pred""")
+def predicted_fractions(spark, d) -> DataFrame:
+    """Which classes the second half of each unit is given, when the unit is held out and when its first half trains."""
+    rows = vectors(spark, d).select("frame_id", "class", "unit", "v")
+    return rounded(X.predicted_fractions(X.coverage_predictions(rows, A.draw(8, F.col("frame_id"), 2) == 0), ["unit", "condition"]))
+
+
+@query("j8_verdicts", f"""WITH {COVER}, v AS (SELECT class, unit, round(half_in - held_out, 6) + 0.0 AS recovery FROM g) SELECT class, unit, recovery, CASE WHEN recovery > 0.30 THEN 'coverage' WHEN recovery > 0.10 THEN 'partial' ELSE 'little' END AS verdict FROM v""")
+def verdicts(spark, d) -> DataFrame:
+    """What each unit's recovery says: missing coverage, a part of it, or neither."""
+    c = rounded(X.coverage(vectors(spark, d).select("frame_id", "class", "unit", "v"), A.draw(8, F.col("frame_id"), 2) == 0))
+    return c.select("class", "unit", F.round("recovery", 6).alias("recovery")).withColumn("verdict", X.coverage_verdict(F.col("recovery")))
