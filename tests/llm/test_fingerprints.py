@@ -117,3 +117,17 @@ def test_columns_and_empty_table(spark):
     assert fp.report(docs.where("doc_id > 5")).collect() == []
     only = fp.report(docs.where("doc_id = 1")).collect()
     assert len(only) == 1 and only[0]["near_next"] == 1
+
+
+def test_no_anchor_of_a_long_text_is_left_out(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklm ") for _ in range(n)) for n in (4000, 30_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = fp.report(docs).orderBy("doc_id").collect()
+    column = docs.orderBy("doc_id").select(fp.fingerprint(F.col("text"))).collect()
+    for t, r, c in zip(texts, rows, column, strict=True):
+        level, _, places = fp.parsed(r["fingerprint"])
+        first = {t[i : i + fp.K]: i for i in reversed(plain_anchors(t, fp.K, fp.S))} if len(t) < 5000 else None
+        assert level == 0 and len(places) > 900 and c[0] == r["fingerprint"]
+        assert first is None or places.tolist() == sorted(first.values())
+        assert fp.parsed(r["edited_fingerprint"])[0] == 0

@@ -2,9 +2,9 @@
 
 A k-mer of code points is an anchor if the least hash among its s-mers stands at its first or last place. The choice looks
 at nothing outside the k-mer, so a passage has the same anchors in whatever text it stands, and no k - s + 1 k-mers in a row
-are without one. A fingerprint holds each distinct anchor's hash with the place where it first occurs. A text of more than
-`most` distinct anchors keeps those whose hash ends in enough zero bits (but one at least), again a choice by the anchor alone, so two
-fingerprints can be compared on what both kept; most=None keeps all. The whole text is read in any case. A text without
+are without one. A fingerprint holds each distinct anchor's hash with the place where it first occurs, all of them in
+`report` and `fingerprint` unless `most` is given: then a text of more distinct anchors keeps those whose hash ends in enough zero bits
+(but one at least), again a choice by the anchor alone, so two fingerprints can be compared on what both kept. The whole text is read in any case. A text without
 an anchor (all shorter than k are) has its own hash as the only one; an empty text has none.
 
 Likeness matches anchors by hash and keeps the longest chain of matches that stand in the same order in both texts:
@@ -127,7 +127,7 @@ def likeness(a: str, b: str) -> float:
     return 2 * chain(places_b[in_b[np.argsort(places_a[in_a])]].tolist()) / total
 
 
-def fingerprint(text: Column, k: int = K, s: int = S, most: int | None = MOST) -> Column:
+def fingerprint(text: Column, k: int = K, s: int = S, most: int | None = None) -> Column:
     """The fingerprint of a column of texts."""
 
     @F.pandas_udf("string")
@@ -186,7 +186,7 @@ def edited(text: str, after: str) -> str:
 _RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, most: int | None = MOST) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, most: int | None = None) -> DataFrame:
     """Per row of docs: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is `edited` of the text and the next document's in the order of ids (after the last: the first)."""
@@ -199,7 +199,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         held_id = None
         for b in batches:
             buckets, ahead, place = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            for part in steps(b.column(3), 4_000_000):
+            for part in steps(b.column(3), 1_000_000):  # so few that all anchors of the texts and their edited forms stay small
                 texts = part.to_pylist()
                 rows = list(zip(buckets[place : place + len(texts)], ahead[place : place + len(texts)], texts, fingerprints(texts, k, s, most), strict=True))
                 ids = b.column(2).slice(place, len(texts))
