@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -31,3 +32,15 @@ def test_empty_tables(spark):
     assert score(docs).collect() == []
     assert language.report(docs).collect() == []
     assert secret_scan.report(docs).collect() == []
+
+
+def test_every_text_to_learn_from_moves_the_weights(spark):
+    n, size = 60, 200  # each text has two ids of its own
+    texts = [np.array([2 * i, 2 * i + 1, 2 * i, size - 1], "<u2") for i in range(n)]
+    docs = spark.createDataFrame([(i, bytes(t.tobytes())) for i, t in enumerate(texts)], "id long, ids binary").repartition(3)
+    counts = np.bincount(np.concatenate(texts), minlength=size).astype(float)
+    around = np.ones((size, 2 * lm_scoring.BUCKETS))
+    cls = lm_scoring.classes_of(counts, around)
+    start = lm_scoring.Attention.new(size, cls, lm_scoring.within_class(counts, cls))
+    got = lm_scoring.train(docs, counts, around, sample=2)
+    assert (got.p["E"][: 2 * n] != start.p["E"][: 2 * n]).any(1).all()

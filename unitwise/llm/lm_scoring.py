@@ -8,9 +8,9 @@ window where it lies past the overlap. A text ends with an end id, which is scor
 
 What is learned grows with the corpus. Word counts, id counts and each id's neighbours (hashed into `BUCKETS`
 buckets before and after it), from which the classes come, are summed over all training texts. Weights start
-from Adam in numpy on a bounded sample (`sample` texts); then every partition goes on from there over a share
-of its own texts (one in `share`, drawn by hash), and what each partition changed is averaged parameter by
-parameter, an id's vector by how often each partition met it.
+from Adam in numpy on a bounded sample (`sample` texts); then every partition goes on from there over all windows
+of all its own texts, once, and what each partition changed is averaged parameter by parameter, an id's vector by
+how often each partition met it.
 
 Base. Unigram counts of lower-cased words and one end for each text, add-one smoothed. Counts are summed over
 all training texts by the words' 64-bit hashes; the `frequent` most common and the end are sent to the tasks (a fixed
@@ -106,8 +106,11 @@ class Attention:
 
     @staticmethod
     def _softmax(a: np.ndarray) -> np.ndarray:
-        a = np.exp(a - a.max(-1, keepdims=True))
-        return a / a.sum(-1, keepdims=True)
+        """In place."""
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(-1, keepdims=True)
+        return a
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """Queries, keys, values and direct logits of every id: the layer's input side, computed once."""
@@ -122,16 +125,20 @@ class Attention:
         a = self._softmax(q @ k.transpose(0, 2, 1) + self._mask(x))
         ctx = a @ v
         c, d = ctx[:, OVERLAP:], e[:, OVERLAP:]
-        prob = self._softmax(c @ p["o"] + d @ p["u"] + p["b"])
+        logits = c @ p["o"]
+        logits += d @ p["u"]
+        logits += p["b"]
+        prob = self._softmax(logits)
         good = y >= 0
         n, target = good.sum(), self.cls[np.maximum(y, 0)]
         loss = -(np.log(np.take_along_axis(prob, target[..., None], 2)[..., 0] + 1e-30) * good).sum() / n
-        g = prob
-        np.put_along_axis(g, target[..., None], np.take_along_axis(g, target[..., None], 2) - 1, 2)
-        g *= (good / n)[..., None].astype(np.float32)
-        out = {"o": np.einsum("btd,btc->dc", c, g), "u": np.einsum("btd,btc->dc", d, g), "b": g.sum((0, 1))}
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        g = flat(prob)
+        g[np.arange(len(g)), target.reshape(-1)] -= 1
+        g *= (good / n).reshape(-1, 1).astype(np.float32)
+        out = {"o": flat(c).T @ g, "u": flat(d).T @ g, "b": g.sum(0)}
         dctx, de = np.zeros_like(ctx), np.zeros_like(e)
-        dctx[:, OVERLAP:], de[:, OVERLAP:] = g @ p["o"].T, g @ p["u"].T
+        dctx[:, OVERLAP:], de[:, OVERLAP:] = (g @ p["o"].T).reshape(c.shape), (g @ p["u"].T).reshape(d.shape)
         da, dv = dctx @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dctx
         ds = a * (da - (da * a).sum(-1, keepdims=True))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
@@ -139,25 +146,33 @@ class Attention:
         gap = i[:, None] - i[None, :]
         out["r"] = np.bincount(gap[gap >= 0], ds.sum(0)[gap >= 0], LENGTH).astype(np.float32)
         for name, grad in (("q", dq), ("k", dk), ("v", dv)):
-            out[name] = np.einsum("btd,bte->de", e, grad)
+            out[name] = flat(e).T @ flat(grad)
             de += grad @ p[name].T
         de[x < 0] = 0
         out["E"] = np.zeros_like(p["E"])
-        np.add.at(out["E"], at.reshape(-1), de.reshape(-1, de.shape[-1]))
+        order = np.argsort(at, axis=None, kind="stable")
+        ids, first = np.unique(at.reshape(-1)[order], return_index=True)
+        out["E"][ids] = np.add.reduceat(flat(de)[order], first)
         return float(loss), out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 128, rate: float = 0.03, seed: int = 1, copy: bool = False) -> Attention:
-        """Adam on windows drawn at random; on itself, or on a copy."""
-        if copy:
-            return replace(self, p=dict(self.p)).fit(x, y, steps, batch, rate, seed)
+    def step(self, x: np.ndarray, y: np.ndarray, moments: tuple[dict, dict], done: int, rate: float) -> None:
+        """One step of Adam; `done` counts the steps with these moments, this one included."""
+        m, v = moments
+        for k, g in self.gradient(x, y)[1].items():
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.99 * v[k] + 0.01 * g * g
+            self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+
+    def moments(self) -> tuple[dict, dict]:
+        return {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
+
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 128, rate: float = 0.03, seed: int = 1) -> Attention:
+        """Adam on windows drawn at random."""
         rng = np.random.default_rng(seed)
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
+        moments = self.moments()
         for step in range(1, steps + 1):
             at = rng.integers(0, len(x), batch)
-            for k, g in self.gradient(x[at], y[at])[1].items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] = (self.p[k] - rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            self.step(x[at], y[at], moments, step, rate * (1 - step / (steps + 1)))
         return self
 
 
@@ -326,23 +341,27 @@ def _cut(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
 
 
-def refine(docs: DataFrame, model: Attention, share: int, batch: int = 128) -> Attention:
-    """Goes on training in every partition over one in `share` of the encoded texts, once over their windows, and averages the changes."""
+def refine(docs: DataFrame, model: Attention, batch: int = 512, rows: int = 400) -> Attention:
+    """Goes on training in every partition over each window of its encoded texts once, and averages the changes.
+
+    `rows` texts are cut into windows at a time; these are taken in an order drawn at random."""
     dims = model.p["E"].shape[1]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["place", "met", *(f"d{i}" for i in range(dims))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = sent.value
-        own, met = start, np.zeros(len(start.p["E"]))
-        done = 0
+        own, met, rng = replace(start, p=dict(start.p)), np.zeros(len(start.p["E"])), np.random.default_rng(1)
+        moments, done, steps = own.moments(), 0, 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = _cut(_unpacked(b.column(0), len(met) - 1), len(met) - 1)
-            own = own.fit(x, y, steps=-(-len(x) // batch), batch=batch, rate=0.003, seed=done, copy=own is start)
-            done += len(x)
-            met += np.bincount(x[x >= 0], minlength=len(met))
+            for i in range(0, b.num_rows, rows):
+                x, y = _cut(_unpacked(b.column(0).slice(i, rows), len(met) - 1), len(met) - 1)
+                order = rng.permutation(len(x))
+                for at in np.array_split(order, -(-len(order) // batch)):
+                    steps += 1
+                    own.step(x[at], y[at], moments, steps, 0.003)
+                done += len(x)
+                met += np.bincount(x[x >= 0], minlength=len(met))
         if not done:
             return
         at = np.flatnonzero(met)
@@ -351,8 +370,7 @@ def refine(docs: DataFrame, model: Attention, share: int, batch: int = 128) -> A
         weight = np.concatenate((met[at], np.full(len(change) - len(at), float(done))))
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(weight), *(pa.array(change[:, i] * weight) for i in range(dims))], names=names)
 
-    drawn = docs.where(F.pmod(F.xxhash64("id", "ids", F.lit(59)), F.lit(share)) == 0).select("ids")
-    changes = drawn.mapInArrow(run, "place long, met double, " + ", ".join(f"{c} double" for c in names[2:]))
+    changes = docs.select("ids").mapInArrow(run, "place long, met double, " + ", ".join(f"{c} double" for c in names[2:]))
     mean = changes.groupBy("place").agg(*((F.sum(c) / F.sum("met")).alias(c) for c in names[2:])).toPandas()  # a row for an id of the vocabulary at most
     ids, rest = model.p["E"].astype(float), _vectors(model).astype(float)
     both = np.concatenate((ids, rest))
@@ -360,19 +378,18 @@ def refine(docs: DataFrame, model: Attention, share: int, batch: int = 128) -> A
     return _with_vectors(model, both[: len(ids)], both[len(ids) :])
 
 
-def train(docs: DataFrame, counts: np.ndarray, around: np.ndarray, sample: int, share: int) -> Attention:
-    """Starts the layer on about `sample` encoded texts drawn by the hash of id and text, and refines it over all partitions."""
+def train(docs: DataFrame, counts: np.ndarray, around: np.ndarray, sample: int) -> Attention:
+    """Starts the layer on about `sample` encoded texts drawn by the hash of id and text, and goes on over all of them in every partition."""
     cls, end = classes_of(counts, around), len(counts) - 1
     model = Attention.new(len(counts), cls, within_class(counts, cls))
     draw = F.pmod(F.xxhash64("id", "ids", F.lit(53)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, counts[-1])))
     rows = sorted(bytes(r[0]) for r in docs.where(draw).select("ids").collect())
     if rows:
         model.fit(*_cut(_unpacked(pa.array(rows, pa.binary()), end), end))
-        model = refine(docs, model, share)
-    return model
+    return refine(docs, model)
 
 
-def score(docs: DataFrame, path: str, pattern: str, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, share: int = 100, frequent: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, path: str, pattern: str, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, frequent: int = 200_000) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = ship(docs.sparkSession)
     encoded = _encoded(docs, F.lit(True) if learn_from is None else learn_from, id_col, text_col, path, pattern)
@@ -385,7 +402,7 @@ def score(docs: DataFrame, path: str, pattern: str, learn_from: Column | None =
     ids_n[of_ids["key"]], around[of_ids["key"]] = of_ids["n"], of_ids[[f"a{i}" for i in range(2 * BUCKETS)]]
     end_n = words.where(F.col("key") == END_WORD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # every text has an end, so it is sent whatever its rank
     top = most_frequent(words.where(F.col("key") != END_WORD), "n", frequent).toPandas()
-    model = train(encoded.where("kind = 2 and learn").select("id", "ids"), ids_n, around, sample, share)
+    model = train(encoded.where("kind = 2 and learn").select("id", "ids"), ids_n, around, sample)
     key = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     sent = spark.sparkContext.broadcast((model, key[order], top["n"].to_numpy(np.int64)[order]))
