@@ -8,9 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import matrices
+
+cloudpickle.register_pickle_by_value(matrices)  # so Python workers need not have this package
+
 DB_FLOOR = 1e-30
 
 
@@ -93,44 +98,10 @@ def draw(seed: str | int, identity: Column, n: int | Column) -> Column:
 def features(cells: Column, cols: int, names: tuple[str, ...] | None = None) -> Column:
     """A struct of twelve properties of a matrix of decibels, from its linear power above the median floor; of `names` only, if given.
 
-    What is not asked for is not computed: a struct bound by a lambda cannot be pruned afterwards."""
-    peak, n = F.array_max(cells), F.size(cells)
-    linear = peak_relative(cells)
-    floor = median_of(linear)
-    excess = let(lambda s: F.zip_with(s["l"], F.array_repeat(s["f"], F.size(s["l"])), lambda x, f: F.greatest(x - f, F.lit(0.0))), l=linear, f=floor)
-    index = F.sequence(F.lit(0), n - 1)
-    by_row, by_col = F.transform(index, lambda i: F.floor(i / cols).cast("double")), F.transform(index, lambda i: (i % cols).cast("double"))
-
-    def moments(s: Column) -> Column:
-        mass = F.greatest(total(s["e"]), F.lit(1e-12))
-        return F.struct(mass.alias("mass"), (dot(s["e"], s["r"]) / mass).alias("row"), (dot(s["e"], s["c"]) / mass).alias("col"), s["e"].alias("e"), s["r"].alias("r"), s["c"].alias("c"), s["f"].alias("f"))
-
-    def spread(m: Column, axis: str, centre: str) -> Column:
-        mean = F.array_repeat(m[centre], F.size(m["e"]))
-        squares = F.zip_with(m[axis], mean, lambda x, y: (x - y) * (x - y))
-        return F.sqrt(dot(m["e"], squares) / m["mass"])
-
-    at = F.array_position(cells, peak) - 1
-    above = lambda db: F.size(F.filter(linear, lambda x: x > F.lit(10.0 ** (-db / 10))))
-    fields = {
-        "peak_db": lambda m: peak,
-        "headroom": lambda m: -10 * F.log10(F.greatest(m["f"] if m is not None else floor, F.lit(DB_FLOOR))),
-        "peak_row": lambda m: F.floor(at / cols).cast("long"),
-        "peak_col": lambda m: (at % cols).cast("long"),
-        "row_centroid": lambda m: m["row"],
-        "col_centroid": lambda m: m["col"],
-        "row_spread": lambda m: spread(m, "r", "row"),
-        "col_spread": lambda m: spread(m, "c", "col"),
-        "cells_10db": lambda m: above(10).cast("long"),
-        "cells_20db": lambda m: above(20).cast("long"),
-        "dynamic_range": lambda m: peak - F.array_min(cells),
-        "mean_db": lambda m: total(cells) / n,
-    }
-    wanted = names or tuple(fields)
-    if not {"row_centroid", "col_centroid", "row_spread", "col_spread"} & set(wanted):
-        return F.struct(*[fields[k](None).alias(k) for k in wanted])
-    bound = let(moments, e=excess, r=by_row, c=by_col, f=floor)
-    return let(lambda m: F.struct(*[fields[k](m["m"]).alias(k) for k in wanted]), m=bound)
+    Matrices of a batch go through numpy together. Null for a null or empty matrix and for one with a null cell."""
+    wanted = names or tuple(matrices.PROPERTIES)
+    kinds = ", ".join(f"{k} {matrices.PROPERTIES[k]}" for k in wanted)
+    return F.arrow_udf(lambda a: matrices.structs(a, lambda x: matrices.properties(x, cols, wanted), kinds), f"struct<{kinds.replace(' ', ':')}>".replace(",:", ","))(cells)
 
 
 def top_cells(cells: Column, k: int) -> Column:
@@ -153,36 +124,24 @@ def unit(a: Column) -> Column:
 
 def concentration(cells: Column, share: float = 0.9) -> Column:
     """How many of the strongest cells hold `share` of the power above the median floor; null without such power."""
-    linear = peak_relative(cells)
-    excess = let(lambda s: F.zip_with(s["l"], F.array_repeat(s["f"], F.size(s["l"])), lambda x, f: F.greatest(x - f, F.lit(0.0))), l=linear, f=median_of(linear))
-    ordered = F.transform(F.array_sort(F.transform(excess, lambda x: -x)), lambda x: -x)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-
-    def count(s: Column) -> Column:
-        step = lambda acc, x: F.when(acc["sum"] < share * s["t"], F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-        return F.when(s["t"] > 0, F.aggregate(s["o"], start, step)["n"])
-
-    return let(count, o=ordered, t=total(excess))
+    return F.arrow_udf(lambda a: matrices.numbers(a, lambda x: matrices.concentration(x, share)), "int")(cells)
 
 
 def masked_unit(cells: Column, mask_db: float | None = None) -> Column:
     """A unit vector of the cells within mask_db of the peak: these are centred on their own mean, all others are 0.
 
     Without a mask every cell is kept. What leaves nothing after centring (one kept cell, equal cells) gives zeros."""
-    if mask_db is None:
-        return unit(centre(cells))
-    kept = F.zip_with(cells, F.array_repeat(F.array_max(cells) - F.lit(float(mask_db)), F.size(cells)), lambda x, low: F.when(x >= low, x))
-
-    def centred(s: Column) -> Column:
-        mean = total(F.transform(s["k"], lambda x: F.coalesce(x, F.lit(0.0)))) / F.greatest(F.size(F.filter(s["k"], lambda x: x.isNotNull())), F.lit(1))
-        return F.zip_with(s["k"], F.array_repeat(mean, F.size(s["k"])), lambda x, m: F.coalesce(x - m, F.lit(0.0)))
-
-    return unit(let(centred, k=kept))
+    return F.arrow_udf(lambda a: matrices.arrays(a, lambda x: matrices.masked_unit(x, mask_db)), "array<double>")(cells)
 
 
 def kept_cells(cells: Column, mask_db: float) -> Column:
     """How many cells lie within mask_db of the peak."""
-    return F.aggregate(F.zip_with(cells, F.array_repeat(F.array_max(cells) - F.lit(float(mask_db)), F.size(cells)), lambda x, low: F.when(x >= low, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    return F.arrow_udf(lambda a: matrices.numbers(a, lambda x: matrices.kept(x, mask_db).sum(1), 0), "int")(cells)
+
+
+def values(cells: Column) -> Column:
+    """The distinct values of an array with how often each occurs."""
+    return F.arrow_udf(matrices.values, "array<struct<value:double,n:bigint>>")(cells)
 
 
 def sample_stats(cells: Column) -> Column:
@@ -205,5 +164,4 @@ def sample_stats(cells: Column) -> Column:
 
 def above_floor(cells: Column, times: float = 2.0) -> Column:
     """The share of cells whose linear power exceeds `times` the median."""
-    linear = peak_relative(cells)
-    return let(lambda s: F.size(F.filter(F.zip_with(s["l"], F.array_repeat(s["f"] * times, F.size(s["l"])), lambda x, f: x > f), lambda k: k)) / F.size(s["l"]), l=linear, f=median_of(linear))
+    return F.arrow_udf(lambda a: matrices.numbers(a, lambda x: matrices.above_floor(x, times)), "double")(cells)
