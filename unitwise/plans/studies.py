@@ -11,6 +11,7 @@ from ..operators import leakage as L
 from ..operators import metrics as M
 from ..operators import sequences as S
 from ..operators import similar as SIM
+from ..operators.components import written
 from ..sources import bindings as B
 from ..streaming.triplets import remaining
 from .experiments import PRED, files, predictions
@@ -174,13 +175,15 @@ def leakage_verdict(spark, d):
 @query("c15_dynamic_range", f"""WITH {FRAMES}, x AS (SELECT unnest(cells) AS x FROM frames), b AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean, stddev_pop(x) AS sd FROM x)
 SELECT round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, round(mean, 6) + 0.0 AS mean, round(sd, 6) + 0.0 AS sd, round((SELECT count(*) FILTER (WHERE abs(x - lo) <= 1e-8 + 1e-5 * abs(lo)) / count(*) FROM x), 6) + 0.0 AS at_floor, (SELECT count(DISTINCT round(x, 6)) FROM x) AS n_distinct FROM b""")
 def dynamic_range(spark, d):
-    """Range, spread, share of cells at the floor, and distinct values over all cells; sums are taken per frame first."""
-    f, x = frames(spark, d), F.col("cells")
-    s = f.agg(F.min(F.array_min(x)).alias("lo"), F.max(F.array_max(x)).alias("hi"), F.sum(F.size(x)).alias("n"), F.sum(A.total(x)).alias("s"), F.sum(A.dot(x, x)).alias("q"))
-    s = s.select("lo", "hi", "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)).alias("sd"))
-    floor = f.join(F.broadcast(s.select("lo"))).agg(F.sum(F.size(F.filter(x, lambda v: F.abs(v - F.col("lo")) <= F.lit(1e-8) + F.lit(1e-5) * F.abs("lo")))).alias("c"))
-    distinct = f.select(F.explode(x).alias("v")).agg(F.countDistinct(F.round("v", 6)).alias("n_distinct"))
-    return rounded(s.join(floor).join(distinct).select("lo", "hi", "mean", "sd", (F.col("c") / F.col("n")).alias("at_floor"), "n_distinct"))
+    """Range, spread, share of cells at the floor, and distinct values over all cells, from the distinct values and how often each occurs.
+
+    Frames are walked once; a frame sends its few distinct values, not its cells."""
+    v, n = F.col("v.value"), F.col("v.n")
+    x = written(frames(spark, d).select(F.explode(A.values(F.col("cells"))).alias("v")).groupBy(v.alias("x")).agg(F.sum(n).alias("n")))
+    s = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("s"), F.sum(F.col("x") * F.col("x") * F.col("n")).alias("q"), F.countDistinct(F.round("x", 6)).alias("n_distinct"))
+    s = s.select("lo", "hi", "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)).alias("sd"), "n_distinct")
+    floor = x.join(F.broadcast(s.select("lo"))).where(F.abs(F.col("x") - F.col("lo")) <= F.lit(1e-8) + F.lit(1e-5) * F.abs("lo")).agg(F.sum("n").alias("c"))
+    return rounded(s.join(floor).select("lo", "hi", "mean", "sd", (F.col("c") / F.col("n")).alias("at_floor"), "n_distinct"))
 
 
 @query("c18_column_profile", f"""WITH {FRAMES}, {LINEAR}, p AS (SELECT unit % 10 AS g, frame_id, c, list_sum(list_transform(range(5), lambda r: linear[r * 24 + c + 1])) AS s FROM lin, (SELECT unnest(range(24)) AS c)),
