@@ -58,3 +58,14 @@ def test_no_cell_by_cell_lambda(rows):
     made = rows[1].select(A.features(x, 6), A.concentration(x), A.above_floor(x), A.kept_cells(x, 9), A.masked_unit(x, 9))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan and "transform(" not in plan
+
+
+def test_packed_vectors_are_exact_and_short(spark, rows):
+    cells, df = rows
+    for c, r in zip(cells, df.where("id < 100").orderBy("id").select(A.packed(F.col("x")).alias("p")).collect(), strict=True):
+        assert len(r["p"]) == 10 + 10 * sum(v != min(c) for v in c)
+    channels = df.where("id < 100").select("id", F.array(A.packed(F.col("x")), A.packed(F.reverse("x"))).alias("c")).orderBy("id").toArrow()
+    got = {}
+    for at, x in matrices.vectors(channels["c"].combine_chunks()):
+        got.update(zip(at.tolist(), x.tolist(), strict=True))
+    assert [got[i] for i in range(len(cells))] == [c + c[::-1] for c in cells]

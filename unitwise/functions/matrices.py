@@ -168,3 +168,56 @@ def values(lists: pa.Array) -> pa.Array:
     items = pa.StructArray.from_arrays([pa.array(np.concatenate(found)[order]), pa.array(np.concatenate(n)[order])], ["value", "n"])
     ends = np.cumsum(np.bincount(np.concatenate(owner), minlength=len(lists)))
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), items)
+
+
+_ENTRY = np.dtype([("at", "<u2"), ("x", "<f8")])
+
+
+def packed(lists: pa.Array) -> pa.Array:
+    """Each list as binary: its size and least value, then place and value of every other cell. Exact, and short where most cells are at the floor.
+
+    Lists of over 65535 cells do not fit."""
+    out = [None] * len(lists)
+    for rows, x in blocks(lists):
+        if x.shape[1] > np.iinfo(np.uint16).max:
+            raise ValueError("lists of over 65535 cells are not packed")
+        low = np.fmin.reduce(x, 1)
+        at = np.nonzero(x != low[:, None])
+        held = np.empty(len(at[0]) + len(x), _ENTRY)
+        heads = np.searchsorted(at[0], np.arange(len(x))) + np.arange(len(x))
+        rest = np.ones(len(held), bool)
+        rest[heads] = False
+        held["at"][heads], held["x"][heads] = x.shape[1], low
+        held["at"][rest], held["x"][rest] = at[1], x[at]
+        raw, size = held.tobytes(), _ENTRY.itemsize
+        ends = np.append(heads[1:], len(held)) * size
+        for row, a, b in zip(rows.tolist(), (heads * size).tolist(), ends.tolist(), strict=True):
+            out[row] = raw[a:b]
+    return pa.array(out, pa.binary())
+
+
+def unpacked(binaries: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(cells of all, size of each) of packed lists, none of them null."""
+    lengths = pc.binary_length(binaries).to_numpy(zero_copy_only=False) // _ENTRY.itemsize
+    held = np.frombuffer(b"".join(binaries.to_pylist()), _ENTRY)
+    heads = np.cumsum(lengths) - lengths
+    sizes = held["at"][heads].astype(np.int64)
+    flat = np.repeat(held["x"][heads], sizes)
+    rest = np.ones(len(held), bool)
+    rest[heads] = False
+    flat[np.repeat(np.cumsum(sizes) - sizes, lengths)[rest] + held["at"][rest]] = held["x"][rest]
+    return flat, sizes
+
+
+def vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As `blocks`, of lists of doubles or of lists of packed channels, which are joined."""
+    if not pa.types.is_binary(column.type.value_type):
+        yield from blocks(column)
+        return
+    for i in range(0, len(column), STEP):
+        some = column.slice(i, STEP)
+        flat, sizes = unpacked(some.flatten())
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy())))
+        for rows, x in blocks(pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(flat))):
+            yield rows + i, x
