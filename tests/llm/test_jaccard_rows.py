@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from unitwise.llm import jaccard_join
 
 
@@ -29,3 +32,35 @@ def test_keep_one_of_equal_rows(spark):
     rows = [(1, a, "x"), (1, a, "y"), (2, a, "x"), (1, b, "x"), (None, b + " z", "x"), (9, None, "x"), (9, None, "x")]
     kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, th string")).collect()
     assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept) == sorted([(1, a[:9]), (1, b[:9]), (9, ""), (9, "")])
+
+
+@pytest.mark.parametrize(("threshold", "n"), [(85, 60), (80, 60), (85, 400), (80, 1500)])
+def test_sketches_tell_apart_what_is_near_but_does_not_link(threshold, n):
+    part, gen = jaccard_join.Partition(threshold), np.random.default_rng(n)
+    s = np.unique(gen.integers(0, 2**63, n).astype(np.uint64))
+    (band, allowed), passed = part.places(len(s))[0], 0
+    own = part.sketch(s, band)
+    for differences in [*range(0, allowed + 1, 2), *[2 * round(0.75 * allowed)] * 40]:
+        half = differences // 2
+        other = np.union1d(s[half:], gen.integers(0, 2**63, half).astype(np.uint64))
+        apart = int(np.bitwise_count((part.sketch(other, band) ^ own).view(np.uint64)).sum())
+        assert apart <= differences
+        passed += differences > allowed and apart <= allowed
+    assert passed <= 4  # nearly all of them with cells for three differences each
+
+
+def test_near_copies_that_do_not_link_are_seldom_read(spark, monkeypatch):
+    rng, base, read = random.Random(8), words(9, 200).split(), []
+    texts = [" ".join(f"x{i}y{j}" if j in own else w for j, w in enumerate(base)) for i in range(60) for own in [set(rng.sample(range(200), 3))]]
+    links = jaccard_join.Verifier.links
+    monkeypatch.setattr(jaccard_join.Verifier, "links", lambda self, pairs: read.append(pairs.count()) or links(self, pairs))
+    got = jaccard_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect()
+    sets = [set(zip(*(t.split()[i:] for i in range(4)), strict=False)) for t in texts]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert sum(read) <= 300
