@@ -197,3 +197,20 @@ def test_interaction_interval_and_deltas(spark):
     one = X.delta_summary(d).collect()[0]
     assert (one["n"], one["n_improved"], one["p_one_sided"], one["p_two_sided"]) == (2, 1, 0.75, 1.0)
     assert X.delta_summary(d.where("false")).collect()[0]["n"] == 0
+
+
+def test_similarity_forest_has_the_components_of_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(120, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    for chunk in (40, 500):
+        pairs, tree = (f(df, "id", "v", 0.3, chunk_rows=chunk).cache() for f in (SIM.similarity_pairs, SIM.similarity_forest))
+        assert tree.join(pairs, ["a", "b", "similarity"]).count() == tree.count()
+        n_chunks = -(-120 // chunk) + 16
+        assert tree.count() < min(pairs.count() / 2, 120 * n_chunks)
+        thresholds = [0.9, 0.3, 0.97, 0.99]
+        got, whole = (sorted(tuple(r) for r in CC.sweep(p, df.select(F.col("id").alias("node")), thresholds).collect()) for p in (tree, pairs))
+        each = [CC.summary(CC.components(pairs.where(F.col("similarity") > t), df.select(F.col("id").alias("node")))).first() for t in thresholds]
+        assert got == whole
+        assert sorted(tuple(r)[:5] for r in each) == sorted(x[:5] for x in got)

@@ -56,6 +56,27 @@ def compare(a: np.ndarray, b: np.ndarray, span: np.ndarray, threshold: float, sa
     return i, j, sims, n_full
 
 
+def forest(a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    """Places of the edges of a maximum spanning forest of (a, b): at every threshold they have the components of all edges."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root, kept = list(range(len(nodes))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    x, y = ends[: len(a)].tolist(), ends[len(a) :].tolist()
+    for e in np.argsort(-sims, kind="stable").tolist():
+        p, q = find(x[e]), find(y[e])
+        if p != q:
+            root[p] = q
+            kept.append(e)
+            if len(kept) == len(nodes) - 1:
+                break
+    return np.array(sorted(kept), np.int64)
+
+
 def _placed(rows: DataFrame, key: str, vector: str, block: str | None, threshold: float, chunk_rows: int, n_pivots: int, n_span: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Rows with their chunk (block, cell, part), the pairs of chunks that may hold a pair, and the span."""
     held = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("block"))
@@ -87,8 +108,10 @@ def _placed(rows: DataFrame, key: str, vector: str, block: str | None, threshold
     return chunked.drop("angles"), written(meets), span
 
 
-def _compared(rows: DataFrame, key: str, vector: str, threshold: float, block: str | None, chunk_rows: int, n_pivots: int, n_span: int) -> DataFrame:
-    """(a, b, similarity, n_full): pairs, and a row without a pair for each meeting of chunks with the full products it took."""
+def _compared(rows: DataFrame, key: str, vector: str, threshold: float, block: str | None, chunk_rows: int, n_pivots: int, n_span: int, spanning: bool = False) -> DataFrame:
+    """(a, b, similarity, n_full): pairs, and a row without a pair for each meeting of chunks with the full products it took.
+
+    With `spanning` a meeting gives the maximum spanning forest of its pairs only."""
     kind = rows.schema[key].dataType.simpleString()
     chunked, meets, span = _placed(rows, key, vector, block, threshold, chunk_rows, n_pivots, n_span)
     left = meets.join(chunked.withColumnRenamed("chunk", "a"), "a").select("a", "b", F.lit(0).alias("side"), "k", "v")
@@ -102,10 +125,13 @@ def _compared(rows: DataFrame, key: str, vector: str, threshold: float, block: s
         i, j, sims, n_full = compare(np.stack(first["v"].to_list()), np.stack(second["v"].to_list()), span, threshold, same)
         x, y = first["k"].to_numpy()[i], second["k"].to_numpy()[j]
         keep = x != y
-        x, y = x[keep], y[keep]
+        x, y, sims = x[keep], y[keep], sims[keep]
+        if spanning:
+            tree = forest(x, y, sims)
+            x, y, sims = x[tree], y[tree], sims[tree]
         turned = x > y
         low, high = np.where(turned, y, x).astype(object), np.where(turned, x, y).astype(object)
-        return pd.DataFrame({"a": np.append(low, None), "b": np.append(high, None), "similarity": np.append(sims[keep], np.nan), "n_full": np.append(np.zeros(len(low), np.int64), n_full)})
+        return pd.DataFrame({"a": np.append(low, None), "b": np.append(high, None), "similarity": np.append(sims, np.nan), "n_full": np.append(np.zeros(len(low), np.int64), n_full)})
 
     keyed = left.unionByName(right).withColumn("meeting", F.struct("a", "b")).drop("a", "b")
     return keyed.groupBy("meeting").applyInPandas(met, f"a {kind}, b {kind}, similarity double, n_full long")
@@ -121,6 +147,14 @@ def similarity_pairs(rows: DataFrame, key: str, vector: str, threshold: float, b
     return _compared(rows, key, vector, threshold, block, chunk_rows, n_pivots, n_span).where("a IS NOT NULL").select("a", "b", "similarity")
 
 
+def similarity_forest(rows: DataFrame, key: str, vector: str, threshold: float, block: str | None = None, chunk_rows: int = CHUNK_ROWS, n_pivots: int = N_PIVOTS, n_span: int = N_SPAN) -> DataFrame:
+    """Of the pairs of `similarity_pairs` as many as keep all their components at this and every higher threshold: fewer than the rows of two
+    chunks for each meeting of chunks, however many pairs it has."""
+    if threshold < 0:
+        raise ValueError("the threshold of similarity_forest is 0 or more")
+    return _compared(rows, key, vector, threshold, block, chunk_rows, n_pivots, n_span, spanning=True).where("a IS NOT NULL").select("a", "b", "similarity")
+
+
 def full_products(rows: DataFrame, key: str, vector: str, threshold: float, block: str | None = None, chunk_rows: int = CHUNK_ROWS, n_pivots: int = N_PIVOTS, n_span: int = N_SPAN) -> int:
     """How many pairs of vectors the bounds leave to be multiplied in full."""
     return _compared(rows, key, vector, threshold, block, chunk_rows, n_pivots, n_span).agg(F.sum("n_full")).first()[0] or 0

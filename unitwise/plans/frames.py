@@ -254,7 +254,7 @@ r(node, seen) AS (SELECT frame_id, frame_id FROM u UNION SELECT r.node, p.b FROM
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def components(spark, d):
     v = vectors(spark, d)
-    return CC.components(SIM.similarity_pairs(v, "frame_id", "v", 0.3, block="class"), v.select(F.col("frame_id").alias("node")))
+    return CC.components(SIM.similarity_forest(v, "frame_id", "v", 0.3, block="class"), v.select(F.col("frame_id").alias("node")))
 
 
 @query("e13_threshold_sweep", f"""WITH RECURSIVE {EMB}, t AS (SELECT unnest([0.28, 0.3, 0.32, 0.35]) AS threshold),
@@ -266,7 +266,7 @@ g AS (SELECT threshold, CAST(sum(size) AS BIGINT) AS n, count(*) AS n_components
 SELECT CAST(threshold AS DOUBLE) AS threshold, n, n_components, largest, singletons, round(frac_in_multi, 6) + 0.0 AS frac_in_multi, round(frac_in_multi * (1 - largest / n), 6) + 0.0 AS score FROM g""")
 def threshold_sweep(spark, d):
     v = vectors(spark, d)
-    pairs = CC.written(SIM.similarity_pairs(v, "frame_id", "v", 0.28, block="class"))
+    pairs = CC.written(SIM.similarity_forest(v, "frame_id", "v", 0.28, block="class"))
     return rounded(CC.sweep(pairs, v.select(F.col("frame_id").alias("node")), [0.28, 0.3, 0.32, 0.35]))
 
 
