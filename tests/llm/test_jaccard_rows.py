@@ -64,3 +64,21 @@ def test_near_copies_that_do_not_link_are_seldom_read(spark, monkeypatch):
                 root = [low if r == high else r for r in root]
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
     assert sum(read) <= 300
+
+
+def test_sketches_are_dealt_once_for_all_turns(spark):
+    sketches = spark.createDataFrame([(i, i, 50, [i]) for i in range(9)], "s long, e long, n long, cells array<long>")
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    v = jaccard_join.Verifier(docs, spark.createDataFrame([(1, 1, 1)], "e long, doc long, th long"), sketches, "doc_id", "text", 4, 85)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = spark.createDataFrame([(1, 2)], "sa long, sb long")
+        met = v.side("a").join(pairs, "sa")
+        assert [r.sb for r in met.collect()] == [2]
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        v.sketches.unpersist()
+    assert "InMemoryTableScan" in plan
+    assert "Exchange" not in plan.split("InMemoryTableScan")[0]  # the sketches stay where they were dealt
