@@ -68,3 +68,12 @@ def test_masked_unit_vectors(spark):
     assert got[2]["m"] == [0.0, 0.0, 0.0] and got[3]["m"] == [0.0, 0.0, 0.0] and got[3]["k"] == 1
     assert got[4]["m"] == [] and got[5]["m"] is None
     assert sum(x * x for x in got[3]["p"]) == pytest.approx(1)
+
+
+def test_a_frame_is_judged_once_for_all_runs(spark):
+    frames = [("p", "a", [1.0, 0.0], [0, 1], []), ("p", "b", [0.0, 1.0], [0], [1]), ("p", "b", [1.0, 1.0], [1], []), ("p", "a", [0.9, 0.2], [], [0, 1]), ("q", "a", [0.3, 1.0], [0], [0])]
+    rows = spark.createDataFrame(frames, "protocol string, class string, v array<double>, train array<int>, test array<int>")
+    got = sorted(map(tuple, R.judged_once(rows, "protocol", 3).collect()))
+    flat = spark.createDataFrame([(p, r, c, v, side) for p, c, v, train, test in frames for side, runs in (("train", train), ("test", test)) for r in runs], "protocol string, run long, class string, v array<double>, side string")
+    assert got == sorted((r.protocol, r.run, r["class"], r.y_pred) for r in R.judged(flat, ["protocol", "run"]).collect())
+    assert len(got) == 4

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,11 @@ def _centroids(rows: DataFrame, run: list[str], vector: str) -> DataFrame:
             columns = [pa.array([k[i] for k in held]) for i in range(len(by))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([h[0] for h in held.values()], pa.list_(pa.float64())), pa.array([h[1] for h in held.values()], pa.list_(pa.float64()))], names=[*by, "n", "s"])
 
-    partial = of.mapInArrow(sums, f"{kinds}, n array<double>, s array<double>")
+    return _means(of.mapInArrow(sums, f"{kinds}, n array<double>, s array<double>"), by)
+
+
+def _means(partial: DataFrame, by: list[str]) -> DataFrame:
+    """(by, m) of counts n and sums s by place."""
     means = partial.select(*by, F.posexplode(F.arrays_zip("n", "s")).alias("pos", "x")).groupBy(*by, "pos").agg((F.sum("x.s") / F.sum("x.n")).alias("m"))
     return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("m"))
 
@@ -132,6 +137,65 @@ def judged(sided: DataFrame, run: list[str], vector: str = "v") -> DataFrame:
     return rows.mapInArrow(nearest, f"{kinds}, y_pred string")
 
 
+def _marked(column: pa.Array, n_runs: int) -> np.ndarray:
+    """Rows by runs: whether a list of run numbers names the run."""
+    out = np.zeros((len(column), n_runs))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False)] = 1
+    return out
+
+
+def judged_once(frames: DataFrame, protocol: str, n_runs: int, vector: str = "v") -> DataFrame:
+    """(protocol, run, class, y_pred): as `judged`, of frames that name the runs, numbered from 0, in which they `train` and are `test`.
+
+    A frame comes once for each protocol, whatever the number of runs: its vector is summed for all of them at once."""
+    kind = frames.schema[protocol].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            keys, marks = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), _marked(b.column(2), n_runs)
+            codes = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            names, code = list(codes), np.fromiter((codes[k] for k in keys), np.int64, len(keys))
+            for at, x in matrices.vectors(b.column(3)):
+                for c in np.unique(code[at]):
+                    mine, own = marks[at][code[at] == c], x[code[at] == c]
+                    new = (np.repeat(mine.sum(0)[:, None], x.shape[1], 1), mine.T @ own)
+                    old = held.get(names[c], (np.zeros((n_runs, 0)),) * 2)
+                    size = max(old[0].shape[1], x.shape[1])
+                    held[names[c]] = tuple(np.pad(o, ((0, 0), (0, size - o.shape[1]))) + np.pad(z, ((0, 0), (0, size - x.shape[1]))) for o, z in zip(old, new, strict=True))
+        rows = [(*k, r, n[r], s[r]) for k, (n, s) in held.items() for r in np.flatnonzero(n.any(1)).tolist()]
+        if rows:
+            of, cls, run, n, s = zip(*rows, strict=True)
+            lists = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(cls), pa.array(run, pa.int32()), pa.array(n, lists), pa.array(s, lists)], names=[protocol, "class", "run", "n", "s"])
+
+    by = [protocol, "run", "class"]
+    partial = frames.select(protocol, "class", "train", vector).mapInArrow(sums, f"`{protocol}` {kind}, class string, run int, n array<double>, s array<double>")
+    model: dict[tuple, list] = {}
+    for r in sorted(_means(partial, by).collect(), key=lambda r: r["class"]):  # a row for a run and class
+        m = np.array(r["m"], float)
+        model.setdefault((r[protocol], r["run"]), []).append((r["class"], m / (np.linalg.norm(m) or 1.0)))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, marks = np.array(b.column(0).to_pylist(), object), _marked(b.column(2), n_runs)
+            place, run, found = [], [], []
+            for at, x in matrices.vectors(b.column(3)):
+                for (name, r), classes in model.items():
+                    mine = (of[at] == name) & (marks[at][:, r] > 0)
+                    if mine.any():
+                        sims = x[mine] @ np.stack([m for _, m in classes]).T
+                        place.append(at[mine])
+                        run.append(np.full(mine.sum(), r))
+                        found.append(np.array([n for n, _ in classes], object)[sims.argmax(1)])
+            if place:
+                rows = pa.array(np.concatenate(place))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(np.concatenate(run), pa.int32()), b.column(1).take(rows), pa.array(np.concatenate(found), pa.string())], names=[protocol, "run", "class", "y_pred"])
+
+    return frames.select(protocol, "class", "test", vector).mapInArrow(nearest, f"`{protocol}` {kind}, run int, class string, y_pred string")
+
+
 def random_runs(rows: DataFrame, side: str = "tag") -> DataFrame:
     """(arm, seed, value): accuracy on the random split that each row's tag names."""
     pred = judged(rows.withColumn("side", F.col(side)), ["arm", "seed"])

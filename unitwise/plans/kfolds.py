@@ -54,19 +54,26 @@ by_fold AS (SELECT protocol, metric, fold, avg(value) AS m, coalesce(stddev_samp
 )
 
 
-def seeded_rows(spark, d) -> DataFrame:
-    """Rows with (protocol, fold, seed, side) under grouped and random folds of one size."""
+def seeded_frames(spark, d) -> DataFrame:
+    """(protocol, class, v, train, test): each frame once under grouped and random folds of one size, with the numbers of the runs
+    (fold * seeds + seed's place) in which it trains and is tested."""
     v = written(vectors(spark, d).select("frame_id", "class", "unit", "v"))
     folds = written(P.grouped_folds(v, 5))
-    grouped = v.join(P.fold_sides(folds, SEEDS).drop("n"), ["class", "unit"]).withColumn("protocol", F.lit("grouped"))
+    run = (F.col("fold") * len(SEEDS) + F.array_position(F.array(*[F.lit(s).cast("long") for s in SEEDS]), F.col("seed")) - 1).cast("int")
+    sides = [F.collect_list(F.when(F.col("side") == side, run)).alias(side) for side in ("train", "test")]
+    grouped = v.join(P.fold_sides(folds, SEEDS).groupBy("class", "unit").agg(*sides), ["class", "unit"]).withColumn("protocol", F.lit("grouped"))
     own = P.random_folds(v.select("frame_id", "class"), folds, 3).select("frame_id", "fold")
-    random = v.join(P.random_fold_sides(own, SEEDS), "frame_id").withColumn("protocol", F.lit("random"))
-    return grouped.unionByName(random)
+    random = v.join(P.random_fold_sides(own, SEEDS).groupBy("frame_id").agg(*sides), "frame_id").withColumn("protocol", F.lit("random"))
+    of = ["protocol", "class", "v", "train", "test"]
+    return written(grouped.select(*of).unionByName(random.select(*of)))
 
 
 def seeded_runs(spark, d) -> DataFrame:
     """(protocol, fold, seed, metric, value) of five metrics."""
-    runs = metrics(R.judged(seeded_rows(spark, d), ["protocol", "fold", "seed"]), ["protocol", "fold", "seed"])
+    pred = R.judged_once(seeded_frames(spark, d), "protocol", 5 * len(SEEDS))
+    seed = F.element_at(F.array(*[F.lit(s).cast("long") for s in SEEDS]), F.col("run") % len(SEEDS) + 1)
+    pred = pred.select("protocol", F.floor(F.col("run") / len(SEEDS)).cast("long").alias("fold"), seed.alias("seed"), "class", "y_pred")
+    runs = metrics(pred, ["protocol", "fold", "seed"])
     named = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in NAMES]))
     return written(runs.select("protocol", "fold", "seed", named.alias("m")).select("protocol", "fold", "seed", "m.*"))
 
