@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from unitwise.llm import jaccard_join
@@ -82,3 +83,29 @@ def test_sketches_are_dealt_once_for_all_turns(spark):
         v.sketches.unpersist()
     assert "InMemoryTableScan" in plan
     assert "Exchange" not in plan.split("InMemoryTableScan")[0]  # the sketches stay where they were dealt
+
+
+def test_sets_and_signatures_of_many_texts_are_made_together(monkeypatch):
+    rng, part, calls = random.Random(4), jaccard_join.Partition(85), []
+    texts = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.choice([0, 1, 3, 4, 5, 30, 90, 400]))) for _ in range(300)] + [None, " \t", "A\nb  c\x0bd e"]
+    hashes, signatures = jaccard_join.shingle_hashes, jaccard_join.Partition.signatures
+    monkeypatch.setattr(jaccard_join, "shingle_hashes", lambda *a: calls.append(1) or hashes(*a))
+    ((values, cuts),) = jaccard_join.joined_sets(pa.array(texts), 4)
+    assert len(calls) == 1
+    sizes = [len({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))}) if (w := (t or "").lower().split()) else 0 for t in texts]
+    assert np.diff(cuts).tolist() == sizes
+
+    monkeypatch.setattr(jaccard_join.Partition, "signatures", lambda *a: calls.append(1) or signatures(*a))
+    sets, found = [values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [[] for _ in texts]
+    frequent = np.unique(np.concatenate([part.indexed(s, (values[:0], np.empty(0, np.int64))) for s in sets[::3]]))
+    heavy, counts = (frequent, np.arange(len(frequent)) % 5 + 1), jaccard_join.Heavy(frequent, np.arange(len(frequent)) % 5 + 1)
+    calls.clear()
+    for band, which, d, s, owner in part.by_band(values, cuts):
+        sigs, size = part.chosen(s, owner, d, band, counts)
+        cells = part.sketches(s, owner, len(which), band)
+        for i, own, cell in zip(which.tolist(), np.split(sigs, np.cumsum(size)[:-1]), cells, strict=True):
+            found[i].append(own)
+            assert np.array_equal(cell, part.sketch(sets[i], band))
+    assert len(calls) < 30  # not once for each set
+    for s, own in zip(sets, found, strict=True):
+        assert np.array_equal(np.unique(np.concatenate([s[:0], *own])), part.indexed(s, heavy))
