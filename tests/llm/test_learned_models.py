@@ -127,6 +127,26 @@ def test_attention_gradients_and_scores():
             assert own[i, j] == pytest.approx(np.log(prob[cls[y[i, j]]]) + model.within[y[i, j]], rel=1e-3)
 
 
+@pytest.mark.parametrize("size", [1, 30])  # with 30, exponents pass what needs no shift
+def test_attention_gradients_a_few_windows_at_a_time(size):
+    cls = np.arange(40) % 6
+    model = lm_scoring.Attention.new(40, cls, lm_scoring.within_class(np.arange(40.0), cls), dims=4, seed=1)
+    for k in "Eou":
+        model.p[k] *= size
+    g = np.random.default_rng(0)
+    texts = [np.append(g.integers(0, 39, n), 39) for n in (0, 3, 13, 14, 15, 40, 100)]
+    x, y, n = lm_scoring.windows_of(texts, 39)
+    alone = [lm_scoring.windows(t, 39) for t in texts]
+    assert n.tolist() == [len(a) for a, _ in alone] and np.array_equal(x, np.concatenate([a for a, _ in alone])) and np.array_equal(y, np.concatenate([b for _, b in alone]))
+    loss, whole = model.gradient(x, y, len(x))
+    few_loss, few = model.gradient(x, y, 2)
+    assert few_loss == pytest.approx(loss, rel=1e-5)
+    for k in whole:
+        assert np.isfinite(few[k]).all() and np.allclose(few[k], whole[k], rtol=1e-3, atol=1e-4 * np.abs(whole[k]).max()), k
+    logs = lm_scoring.Scorer(model).logs(x, y)[y >= 0] - model.within[y[y >= 0]]
+    assert loss == pytest.approx(np.minimum(-logs, 30 * math.log(10)).mean(), rel=1e-3)  # the loss adds 1e-30 to a probability
+
+
 def test_convolution_gradients():
     net = secret_scan.Cnn.new(dims=3, filters=4, seed=2)
     x = secret_scan.coded([secret_scan.view("key = abc123XYZ9 end", 6, 16), secret_scan.view("no", 0, 2)])

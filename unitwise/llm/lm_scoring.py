@@ -36,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MARKS, ChunkIds, encode_lines, load_ranks
-from .common import coded_words, discard, fold, materialize, mix64, most_frequent, ship
+from .common import coded_words, discard, fold, materialize, mix64, most_frequent, ship, spread
 
 OVERLAP, STRIDE = 6, 14
 LENGTH = OVERLAP + STRIDE
 #: The end of a text among word hashes; no word hashes to it but by chance in 2^64.
 END_WORD = 0x454E44
+#: Exponents up to this size are not shifted by their row's maximum.
+SAFE = 60.0
 #: Buckets of neighbours on each side of an id.
 BUCKETS = 16
 
@@ -72,15 +74,23 @@ def subwords(path: str, pattern: str) -> Subwords:
     return _subwords[path, pattern]
 
 
+def windows_of(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (n, LENGTH) and targets (n, STRIDE) of texts, one after the other, and how many windows each has; -1 pads.
+
+    Input i predicts what follows it; before a text stands the end id."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = -(-sizes // STRIDE)
+    lengths = OVERLAP + n * STRIDE + 1
+    at = np.cumsum(lengths) - lengths
+    line = np.full(int(lengths.sum()), -1, np.int64)
+    line[at + OVERLAP] = end
+    line[spread(at + OVERLAP + 1, sizes)] = np.concatenate(texts) if texts else line[:0]
+    start = (np.repeat(at - STRIDE * (np.cumsum(n) - n), n) + STRIDE * np.arange(n.sum()))[:, None]
+    return line[start + np.arange(LENGTH)], line[start + OVERLAP + 1 + np.arange(STRIDE)], n
+
+
 def windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (n, LENGTH) and targets (n, STRIDE) of a text; -1 pads. Input i predicts what follows it; before the text stands the end id."""
-    n = -(-len(ids) // STRIDE)
-    line = np.full(OVERLAP + n * STRIDE + 1, -1, np.int64)
-    line[OVERLAP] = end
-    line[OVERLAP + 1 : OVERLAP + 1 + len(ids)] = ids
-    x = np.lib.stride_tricks.sliding_window_view(line[:-1], LENGTH)[::STRIDE].copy()
-    y = line[OVERLAP + 1 :].reshape(n, STRIDE).copy()
-    return x, y
+    return windows_of([ids], end)[:2]
 
 
 @dataclass
@@ -97,71 +107,86 @@ class Attention:
         empty = np.where(np.bincount(classes, minlength=n) == 0, -30, 0).astype(np.float32)
         return cls({"E": f(0.3, vocabulary, dims), "q": f(0.3, dims, dims), "k": f(0.3, dims, dims), "v": f(0.3, dims, dims), "o": f(0.3, dims, n), "u": f(0.3, dims, n), "b": empty, "r": np.zeros(LENGTH, np.float32)}, classes, within)
 
-    def _mask(self, x: np.ndarray) -> np.ndarray:
-        """Relative bias; -1e9 for what follows, and for padding."""
-        i = np.arange(LENGTH)
-        gap = i[:, None] - i[None, :]
-        bias = np.where(gap >= 0, self.p["r"][np.abs(gap)], np.float32(-1e9))
-        return bias[None] + np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+    def _bias(self) -> np.ndarray:
+        """Relative bias of the positions that are scored; -1e9 for what follows."""
+        i, j = np.arange(OVERLAP, LENGTH)[:, None], np.arange(LENGTH)[None, :]
+        return np.where(i >= j, self.p["r"][np.abs(i - j)], np.float32(-1e9)).astype(np.float32)
 
     @staticmethod
-    def _softmax(a: np.ndarray) -> np.ndarray:
-        """In place."""
-        a -= a.max(-1, keepdims=True)
+    def _exp(a: np.ndarray) -> None:
+        """In place; each row is shifted by its maximum where an exponent could pass `SAFE`."""
+        if max(a.max(), -a.min()) > SAFE:
+            a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        return a
-
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """Queries, keys, values and direct logits of every id: the layer's input side, computed once."""
-        e = self.p["E"]
-        return e @ self.p["q"], e @ self.p["k"], e @ self.p["v"], e @ self.p["u"] + self.p["b"]
-
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p = self.p
-        at = np.maximum(x, 0)
-        e = p["E"][at]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        a = self._softmax(q @ k.transpose(0, 2, 1) + self._mask(x))
-        ctx = a @ v
-        c, d = ctx[:, OVERLAP:], e[:, OVERLAP:]
-        logits = c @ p["o"]
-        logits += d @ p["u"]
-        logits += p["b"]
-        prob = self._softmax(logits)
-        good = y >= 0
-        n, target = good.sum(), self.cls[np.maximum(y, 0)]
-        loss = -(np.log(np.take_along_axis(prob, target[..., None], 2)[..., 0] + 1e-30) * good).sum() / n
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        g = flat(prob)
-        g[np.arange(len(g)), target.reshape(-1)] -= 1
-        g *= (good / n).reshape(-1, 1).astype(np.float32)
-        out = {"o": flat(c).T @ g, "u": flat(d).T @ g, "b": g.sum(0)}
-        dctx, de = np.zeros_like(ctx), np.zeros_like(e)
-        dctx[:, OVERLAP:], de[:, OVERLAP:] = (g @ p["o"].T).reshape(c.shape), (g @ p["u"].T).reshape(d.shape)
-        da, dv = dctx @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dctx
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        i = np.arange(LENGTH)
-        gap = i[:, None] - i[None, :]
-        out["r"] = np.bincount(gap[gap >= 0], ds.sum(0)[gap >= 0], LENGTH).astype(np.float32)
-        for name, grad in (("q", dq), ("k", dk), ("v", dv)):
-            out[name] = flat(e).T @ flat(grad)
-            de += grad @ p[name].T
-        de[x < 0] = 0
-        out["E"] = np.zeros_like(p["E"])
-        order = np.argsort(at, axis=None, kind="stable")
-        ids, first = np.unique(at.reshape(-1)[order], return_index=True)
-        out["E"][ids] = np.add.reduceat(flat(de)[order], first)
-        return float(loss), out
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, some: int = 128) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss of the targets and its gradient; `some` windows at a time, so few that their logits stay in a core's cache."""
+        p, dims, n = self.p, self.p["E"].shape[1], (y >= 0).sum()
+        qkv, ou = np.concatenate((p["q"], p["k"], p["v"]), 1), np.concatenate((p["o"], p["u"]))
+        bias, gap, ones = self._bias(), np.arange(OVERLAP, LENGTH)[:, None] - np.arange(LENGTH)[None, :], np.ones(ou.shape[1], np.float32)
+        d_qkv, d_ou, d_b, d_bias, d_e, loss = np.zeros_like(qkv), np.zeros_like(ou), np.zeros_like(p["b"]), np.zeros_like(bias), np.zeros_like(p["E"]), 0.0
+        for i in range(0, len(x), some):
+            xi, yi = x[i : i + some], y[i : i + some]
+            at, rows = np.maximum(xi, 0), len(xi)
+            e = p["E"].take(at, 0)
+            f = (e.reshape(-1, dims) @ qkv).reshape(rows, LENGTH, 3 * dims)
+            q, k, v = f[:, OVERLAP:, :dims], f[:, :, dims : 2 * dims], f[:, :, 2 * dims :]
+            a = q @ k.transpose(0, 2, 1)
+            shift = max(a.max(), -a.min()) + np.abs(p["r"]).max() > SAFE
+            a += bias
+            padded = np.flatnonzero((xi < 0).any(1))
+            a[padded] += np.where(xi[padded] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+            if shift:
+                a -= a.max(-1, keepdims=True)
+            np.exp(a, out=a)
+            a /= (a.reshape(-1, LENGTH) @ np.ones(LENGTH, np.float32)).reshape(rows, STRIDE, 1)
+            cd = np.concatenate((a @ v, e[:, OVERLAP:]), 2).reshape(-1, 2 * dims)
+            g = cd @ ou
+            g += p["b"]
+            target = self.cls[np.maximum(yi, 0)].reshape(-1)
+            picked = np.arange(len(g)), target
+            weight = (yi >= 0).reshape(-1).astype(np.float32) / np.float32(n)
+            self._exp(g)
+            total = g @ ones
+            loss -= float(np.log(g[picked] / total + 1e-30) @ weight)
+            g *= (weight / total)[:, None]
+            g[picked] -= weight
+            d_ou += cd.T @ g
+            d_b += np.ones(len(g), np.float32) @ g
+            d_cd = (g @ ou.T).reshape(rows, STRIDE, 2 * dims)
+            d_ctx = d_cd[:, :, :dims]
+            da = d_ctx @ v.transpose(0, 2, 1)
+            da -= np.einsum("bij,bij->bi", da, a)[..., None]
+            da *= a
+            d_bias += da.sum(0)
+            df = np.zeros_like(f)
+            df[:, OVERLAP:, :dims] = da @ k
+            df[:, :, dims : 2 * dims] = da.transpose(0, 2, 1) @ q
+            df[:, :, 2 * dims :] = a.transpose(0, 2, 1) @ d_ctx
+            df = df.reshape(-1, 3 * dims)
+            d_qkv += e.reshape(-1, dims).T @ df
+            de = (df @ qkv.T).reshape(e.shape)
+            de[:, OVERLAP:] += d_cd[:, :, dims:]
+            de[padded] *= (xi[padded] >= 0)[..., None]
+            np.add.at(d_e.reshape(-1), (at[..., None] * dims + np.arange(dims)).reshape(-1), de.reshape(-1))
+        r = np.bincount(gap[gap >= 0], d_bias[gap >= 0], LENGTH).astype(np.float32)
+        dq, dk, dv = np.split(d_qkv, 3, 1)
+        return loss, {"E": d_e, "q": dq, "k": dk, "v": dv, "o": d_ou[:dims], "u": d_ou[dims:], "b": d_b, "r": r}
 
     def step(self, x: np.ndarray, y: np.ndarray, moments: tuple[dict, dict], done: int, rate: float) -> None:
         """One step of Adam; `done` counts the steps with these moments, this one included."""
         m, v = moments
         for k, g in self.gradient(x, y)[1].items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.99 * v[k] + 0.01 * g * g
-            self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+            m[k] *= 0.9
+            m[k] += 0.1 * g
+            v[k] *= 0.99
+            v[k] += 0.01 * g * g
+            down = v[k] / (1 - 0.99**done)
+            np.sqrt(down, out=down)
+            down += 1e-8
+            np.divide(m[k], down, out=down)
+            down *= rate / (1 - 0.9**done)
+            self.p[k] = self.p[k] - down
 
     def moments(self) -> tuple[dict, dict]:
         return {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
@@ -177,25 +202,27 @@ class Attention:
 
 
 class Scorer:
-    """Scores windows with the tables of a model. Where no exponent can pass `SAFE`, none is shifted by its row's maximum."""
+    """Scores windows with two tables of a model, computed once: queries and vectors of the ids that are scored from, keys and values of all.
 
-    SAFE = 60.0
+    Where no exponent can pass `SAFE`, none is shifted by its row's maximum."""
 
     def __init__(self, model: Attention):
         self.model, p = model, model.p
-        self.q, self.k, self.v, self.direct = model.tables()
-        i, j = np.arange(OVERLAP, LENGTH)[:, None], np.arange(LENGTH)[None, :]
-        self.bias = np.where(i >= j, p["r"][np.abs(i - j)], np.float32(-1e9)).astype(np.float32)
+        e, one = p["E"], np.ones((len(p["E"]), 1), np.float32)
+        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
+        self.own, self.all, self.dims = np.concatenate((q, e, one), 1), np.concatenate((k, v, one), 1), e.shape[1]
+        self.out = np.concatenate((p["o"], p["u"], p["b"][None]))
+        self.bias = model._bias()
         size = lambda a: float(np.sqrt((a.astype(float) ** 2).sum(1).max()))
-        self.shift_scores = size(self.q) * size(self.k) + float(np.abs(p["r"]).max()) > self.SAFE
-        self.shift_logits = size(self.v) * size(p["o"].T) + float(np.abs(self.direct).max()) > self.SAFE
-        self.cls, self.within, self.ones = model.cls.astype(np.int64), model.within.astype(np.float32), np.ones(self.direct.shape[1], np.float32)
+        self.shift_scores = size(q) * size(k) + float(np.abs(p["r"]).max()) > SAFE
+        self.shift_logits = size(v) * size(p["o"].T) + size(e) * size(p["u"].T) + float(np.abs(p["b"]).max()) > SAFE
+        self.cls, self.within, self.ones = model.cls.astype(np.int64), model.within.astype(np.float32), np.ones(self.out.shape[1], np.float32)
 
     def logs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each target; 0 where padded."""
-        at = np.maximum(x, 0)
-        own = at[:, OVERLAP:]
-        a = self.q.take(own, 0) @ self.k.take(at, 0).transpose(0, 2, 1)
+        at, dims = np.maximum(x, 0), self.dims
+        own, met = self.own.take(at[:, OVERLAP:], 0), self.all.take(at, 0)
+        a = own[:, :, :dims] @ met[:, :, :dims].transpose(0, 2, 1)
         a += self.bias
         first = np.flatnonzero(x[:, 0] < 0)  # only a text's first window has padding before its ids
         if len(first):
@@ -203,10 +230,9 @@ class Scorer:
         if self.shift_scores:
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        ctx = a @ self.v.take(at, 0)
-        ctx /= a.sum(-1, keepdims=True)
-        logits = ctx.reshape(-1, ctx.shape[-1]) @ self.model.p["o"]
-        logits += self.direct.take(own.reshape(-1), 0)
+        ctx = a @ met[:, :, dims:]  # values, and the sum of the weights
+        own = own.reshape(-1, own.shape[-1])
+        logits = np.concatenate((ctx[:, :, :dims] / ctx[:, :, dims:], own[:, dims:].reshape(*ctx.shape[:2], -1)), 2).reshape(len(own), -1) @ self.out
         target = np.maximum(y, 0).reshape(-1)
         picked = logits[np.arange(len(target)), self.cls[target]]
         top = logits.max(-1) if self.shift_logits else 0
@@ -217,24 +243,15 @@ class Scorer:
 
     def score(self, texts: list[np.ndarray], end: int, most: int = 4096) -> list[float]:
         """log10 probabilities; windows of many texts go through attention together."""
-        out = np.zeros(len(texts))
-        held, owner, size = [], [], 0
-
-        def flush() -> None:
-            x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            who = np.repeat(owner, [len(h[0]) for h in held])
+        out, first = np.zeros(len(texts)), 0
+        ends = np.cumsum([-(-len(t) // STRIDE) for t in texts])
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+            x, y, n = windows_of(texts[first:last], end)
+            who = np.repeat(np.arange(first, last), n)
             for i in range(0, len(x), 96):  # so few that the logits stay in a core's cache
                 np.add.at(out, who[i : i + 96], self.logs(x[i : i + 96], y[i : i + 96]).sum(1, dtype=np.float64))
-
-        for i, ids in enumerate(texts):
-            held.append(windows(ids, end))
-            owner.append(i)
-            size += len(held[-1][0])
-            if size >= most:
-                flush()
-                held, owner, size = [], [], 0
-        if held:
-            flush()
+            first = last
         return (out / np.log(10)).tolist()
 
 
@@ -337,8 +354,7 @@ def _with_vectors(model: Attention, ids: np.ndarray, rest: np.ndarray) -> Attent
 
 
 def _cut(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [windows(t, end) for t in texts]
-    return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
+    return windows_of(texts, end)[:2]
 
 
 def refine(docs: DataFrame, model: Attention, batch: int = 512, rows: int = 400) -> Attention:
