@@ -131,3 +131,38 @@ def test_no_anchor_of_a_long_text_is_left_out(spark):
         assert level == 0 and len(places) > 900 and c[0] == r["fingerprint"]
         assert first is None or places.tolist() == sorted(first.values())
         assert fp.parsed(r["edited_fingerprint"])[0] == 0
+
+
+def test_anchors_are_written_in_few_characters(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijk é") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (4, 60, 3000, 9000)]
+    texts.append(texts[2] * 3 + texts[3] + "x" * 100_000 + texts[1][::-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for t, r in zip(texts, fp.report(docs).orderBy("doc_id").collect(), strict=True):
+        at, hashes = fp.anchors(np.array([ord(c) for c in t], np.uint64))
+        _, first = np.unique(hashes, return_index=True)
+        level, kept, places = fp.parsed(r["fingerprint"])
+        assert level == 0 and places.tolist() == at[np.sort(first)].tolist()
+        assert len(np.unique(kept)) == len(np.unique(hashes)) and ((hashes[np.sort(first)] ^ kept) % (1 << 40) == 0).all()
+        for f in (r["fingerprint"], r["edited_fingerprint"]):
+            assert len(f) < 8 * len(fp.parsed(f)[1]) + 16  # as Parquet: the row's size, since hashes do not compress
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.dictionaries(st.one_of(st.integers(0, 40), st.integers(0, (1 << 32) - 2)), st.integers(0, (1 << 42) - 1), max_size=8), max_size=5))
+def test_what_is_written_is_read_again(all_marks):
+    marks = [(i, np.array([m[p] for p in sorted(m)], np.uint64), np.array(sorted(m), np.int64)) for i, m in enumerate(all_marks)]
+    for (level, hashes, places), f in zip(marks, fp.written(marks), strict=True):
+        got = fp.parsed(f)
+        assert got[0] == level and got[1].tolist() == hashes.tolist() and got[2].tolist() == places.tolist()
+
+
+def test_first_of_its_kind_in_long_and_short_lists():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 500, (1 << 22) + 5):
+        hashes = rng.integers(0, max(1, n // 3), n, np.uint64) << np.uint64(20)
+        want = np.zeros(n, bool)
+        want[np.unique(hashes, return_index=True)[1]] = True
+        assert (fp._firsts(hashes) == want).all()
+    assert fp._firsts(np.array([0, (1 << 42) - 1, 0, (1 << 42) - 1], np.uint64)).tolist() == [True, True, False, False]

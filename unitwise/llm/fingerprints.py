@@ -7,6 +7,10 @@ are without one. A fingerprint holds each distinct anchor's hash with the place
 (but one at least), again a choice by the anchor alone, so two fingerprints can be compared on what both kept. The whole text is read in any case. A text without
 an anchor (all shorter than k are) has its own hash as the only one; an empty text has none.
 
+As text an anchor takes 7 characters, 42 bits of its hash and the step to its place, since fingerprints are many times as large
+as the texts' files. Two different anchors have one hash once in 4e12 pairs, so comparing texts of 2,000 anchors goes
+wrong by one of them once in a million times.
+
 Likeness matches anchors by hash and keeps the longest chain of matches that stand in the same order in both texts:
 2 * chain / (anchors of one + anchors of the other), at the coarser of the two selections. Equal texts have equal
 fingerprints and likeness 1, two empty texts too.
@@ -18,7 +22,6 @@ text are not looked at, whatever their names.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -35,6 +38,11 @@ from .common import mix64, ship, steps
 
 K, S, MOST = 9, 4, 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BITS, NEAR, WIDTH, FAR_WIDTH = 42, 6, 7, 5  # bits of a hash; the largest step to the next place that is written with it; characters of both, and of a larger step
+DIGITS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!#$%&()*+-;<=>?@^_`{|}~", np.uint8)
+VALUES = np.zeros(256, np.uint64)
+VALUES[DIGITS] = np.arange(len(DIGITS))
+Mark = tuple[int, np.ndarray, np.ndarray]  # level, hashes and places of a fingerprint, in the order of places
 
 
 def window_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -64,42 +72,89 @@ def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
     return at, whole
 
 
-def _text(level: int, hashes: np.ndarray, places: np.ndarray) -> str:
-    return f"{level}.{base64.b64encode(hashes.astype('<u8').tobytes()).decode()}.{base64.b64encode(places.astype('<u4').tobytes()).decode()}"
+def _digits(numbers: np.ndarray, width: int) -> str:
+    """Each number in so many digits of base 85."""
+    base, out = np.uint64(len(DIGITS)), np.empty((len(numbers), width), np.uint8)
+    for i in reversed(range(width)):
+        rest = numbers // base
+        out[:, i] = DIGITS[numbers - rest * base]
+        numbers = rest
+    return out.tobytes().decode()
 
 
-def parsed(fingerprint: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Level, hashes and places of a fingerprint, in the order of places."""
-    level, hashes, places = fingerprint.split(".")
-    return int(level), np.frombuffer(base64.b64decode(hashes), "<u8"), np.frombuffer(base64.b64decode(places), "<u4")
+def _numbers(digits: str, width: int) -> np.ndarray:
+    values, out = VALUES[np.frombuffer(digits.encode(), np.uint8)].reshape(-1, width), np.uint64(0)
+    for i in range(width):
+        out = out * np.uint64(len(DIGITS)) + values[:, i]
+    return out
 
 
-def fingerprints(texts: list[str], k: int = K, s: int = S, most: int | None = MOST) -> list[str]:
-    """The fingerprint of each text. The texts are read as one array, so call it with some megabytes at a time."""
+def written(marks: list[Mark]) -> list[str]:
+    """Fingerprints as text: the level, an anchor after the other (7 times its hash, and its step from the place before if that is at most NEAR), the larger steps."""
+    ends = np.cumsum([0, *(len(hashes) for _, hashes, _ in marks)])
+    hashes = np.concatenate([np.empty(0, np.uint64), *(h for _, h, _ in marks)])
+    places = np.concatenate([np.empty(0, np.int64), *(p for _, _, p in marks)])
+    step, starts = np.diff(places, prepend=0), ends[:-1][np.diff(ends) > 0]
+    step[starts] = places[starts] + 1
+    far = step > NEAR
+    near = _digits(hashes * np.uint64(NEAR + 1) + np.where(far, 0, step).astype(np.uint64), WIDTH)
+    larger, cuts = _digits(step[far].astype(np.uint64), FAR_WIDTH), np.concatenate(([0], np.cumsum(far)))[ends] * FAR_WIDTH
+    ends, cuts = (ends * WIDTH).tolist(), cuts.tolist()
+    return [f"{level}.{near[ends[d] : ends[d + 1]]}.{larger[cuts[d] : cuts[d + 1]]}" for d, (level, _, _) in enumerate(marks)]
+
+
+def parsed(fingerprint: str) -> Mark:
+    """Level, hashes and places of a fingerprint, in the order of places."""
+    level, near, larger = fingerprint.split(".")
+    hashes, step = np.divmod(_numbers(near, WIDTH), np.uint64(NEAR + 1))
+    step = step.astype(np.int64)
+    step[step == 0] = _numbers(larger, FAR_WIDTH)
+    return int(level), hashes, np.cumsum(step) - 1
+
+
+def _firsts(hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash, of BITS bits, is the first of its kind."""
+    first, low = np.zeros(len(hashes), bool), np.uint64(64 - BITS)
+    if len(hashes) >> int(low):
+        first[np.unique(hashes, return_index=True)[1]] = True
+        return first
+    both = (hashes << low) | np.arange(len(hashes), dtype=np.uint64)
+    both.sort()
+    new = np.diff(both >> low, prepend=~np.uint64(0)) != 0
+    first[both[new] & np.uint64((1 << int(low)) - 1)] = True
+    return first
+
+
+def marks(texts: list[str], k: int = K, s: int = S, most: int | None = MOST) -> list[Mark]:
+    """The fingerprint of each text, not yet written. The texts are read as one array, so call it with some megabytes at a time."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes)
+    ends, kept_bits = np.cumsum(sizes), np.uint64((1 << BITS) - 1)
     at, hashes = anchors(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64), k, s)
     doc = np.searchsorted(ends, at, "right")
     inside = at + k <= ends[doc] if len(at) else np.empty(0, bool)
-    at, hashes, doc = at[inside], hashes[inside], doc[inside]
+    at, hashes, doc = at[inside], hashes[inside] & kept_bits, doc[inside]
     cuts, out = np.searchsorted(doc, np.arange(len(texts) + 1)), []
     for d, text in enumerate(texts):
-        mine, first = np.unique(hashes[cuts[d] : cuts[d + 1]], return_index=True)
-        level = 0
+        mine, places, level = hashes[cuts[d] : cuts[d + 1]], at[cuts[d] : cuts[d + 1]], 0
         if not len(mine):
-            mine = np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))] if text else [], np.uint64)
+            mine = np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))] if text else [], np.uint64) & kept_bits
             places = np.zeros(len(mine), np.int64)
         else:
+            first = _firsts(mine)
+            mine, places = mine[first], places[first] - (ends[d] - sizes[d])
             if most is not None and len(mine) > most:
                 zeros = mine & (~mine + np.uint64(1))  # the lowest bit that is set
                 while len(mine) > most and (kept := (zeros >= np.uint64(2 << level)) | (zeros == 0)).any():
-                    level, mine, first, zeros = level + 1, mine[kept], first[kept], zeros[kept]
-            places = at[cuts[d] : cuts[d + 1]][first] - (ends[d] - sizes[d])
-        order = np.argsort(places)
-        out.append(_text(level, mine[order], places[order]))
+                    level, mine, places, zeros = level + 1, mine[kept], places[kept], zeros[kept]
+        out.append((level, mine, places))
     return out
 
 
+def fingerprints(texts: list[str], k: int = K, s: int = S, most: int | None = MOST) -> list[str]:
+    """The fingerprint of each text. The texts are read as one array, so call it with some megabytes at a time."""
+    return written(marks(texts, k, s, most))
+
+
 def chain(places: list[int]) -> int:
     """The length of the longest increasing choice of these numbers."""
     tails: list[int] = []
@@ -109,11 +164,9 @@ def chain(places: list[int]) -> int:
     return len(tails)
 
 
-def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of anchors that two fingerprints have in common in the same order."""
-    if a == b:
-        return 1.0
-    (level_a, hashes_a, places_a), (level_b, hashes_b, places_b) = parsed(a), parsed(b)
+def common(a: Mark, b: Mark) -> float:
+    """The share of anchors that two different fingerprints have in common in the same order."""
+    (level_a, hashes_a, places_a), (level_b, hashes_b, places_b) = a, b
     mask = np.uint64((1 << max(level_a, level_b)) - 1)
     if level_a != level_b:
         kept_a, kept_b = hashes_a & mask == 0, hashes_b & mask == 0
@@ -127,6 +180,11 @@ def likeness(a: str, b: str) -> float:
     return 2 * chain(places_b[in_b[np.argsort(places_a[in_a])]].tolist()) / total
 
 
+def likeness(a: str, b: str) -> float:
+    """0 to 1: the share of anchors that two fingerprints have in common in the same order."""
+    return 1.0 if a == b else common(parsed(a), parsed(b))
+
+
 def fingerprint(text: Column, k: int = K, s: int = S, most: int | None = None) -> Column:
     """The fingerprint of a column of texts."""
 
@@ -195,13 +253,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     names = [id_col, *(p.split()[0] for p in _RESULT.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, whose next is still to come: bucket, ahead, text, fingerprint
+        held = None  # the last row, whose next is still to come: bucket, ahead, text, fingerprint unwritten and written
         held_id = None
         for b in batches:
             buckets, ahead, place = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
             for part in steps(b.column(3), 1_000_000):  # so few that all anchors of the texts and their edited forms stay small
                 texts = part.to_pylist()
-                rows = list(zip(buckets[place : place + len(texts)], ahead[place : place + len(texts)], texts, fingerprints(texts, k, s, most), strict=True))
+                own_marks = marks(texts, k, s, most)
+                rows = list(zip(buckets[place : place + len(texts)], ahead[place : place + len(texts)], texts, own_marks, written(own_marks), strict=True))
                 ids = b.column(2).slice(place, len(texts))
                 if held is not None:
                     rows.insert(0, held)
@@ -209,16 +268,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                 place += len(texts)
                 own = [i for i in range(len(rows) - 1) if not rows[i][1]]
                 new = [edited(rows[i][2], rows[i + 1][2]) for i in own]
-                marks = fingerprints(new, k, s, most)
+                new_marks = marks(new, k, s, most)
+                new_written = written(new_marks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pc.take(ids, pa.array(own, pa.int64())),
                         pa.array([len(rows[i][2]) for i in own], pa.int64()),
                         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new], pa.string()),
-                        pa.array([rows[i][3] for i in own], pa.string()),
-                        pa.array(marks, pa.string()),
-                        pa.array([likeness(rows[i][3], m) for i, m in zip(own, marks, strict=True)], pa.float64()),
-                        pa.array([likeness(rows[i][3], rows[i + 1][3]) for i in own], pa.float64()),
+                        pa.array([rows[i][4] for i in own], pa.string()),
+                        pa.array(new_written, pa.string()),
+                        pa.array([1.0 if rows[i][4] == w else common(rows[i][3], m) for i, m, w in zip(own, new_marks, new_written, strict=True)], pa.float64()),
+                        pa.array([1.0 if rows[i][4] == rows[i + 1][4] else common(rows[i][3], rows[i + 1][3]) for i in own], pa.float64()),
                     ],
                     names=names,
                 )
